@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup
+from . import classify, decontaminate, line_dedup, media, mixing, tokens
 
 QUERIES = {
+    "op1_toxicity": classify.op1_toxicity,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_token_counts": tokens.op3_token_counts,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_mix_sources": mixing.op5_mix_sources,
+    "op7_media_png": media.op7_media_png,
+    "op10_quality": classify.op10_quality,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.SQL,
     "op4_decontaminate": decontaminate.SQL,
+    "op5_mix_sources": mixing.SQL,
 }
