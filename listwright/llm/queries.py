@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classify, decontaminate, line_dedup, media, mixing, tokens
+from . import classify, decontaminate, line_dedup, media, mixing, near_dedup, tokens
 
 QUERIES = {
     "op1_toxicity": classify.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_counts": tokens.op3_token_counts,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_minhash_setsketch": near_dedup.op6_minhash_setsketch,
     "op7_media_png": media.op7_media_png,
     "op10_quality": classify.op10_quality,
 }
@@ -17,4 +18,5 @@ ORACLES = {
     "op2_line_dedup": line_dedup.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op5_mix_sources": mixing.SQL,
+    "op6_minhash_setsketch": near_dedup.SQL,
 }
