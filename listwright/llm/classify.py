@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,3 +187,16 @@ def op10_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = fit_quality(docs, labels.filter(crc_mod("doc_id", 3) != 1))
     return score_quality(docs, weights, held_out=crc_mod("doc_id", 3) == 1)
+
+
+def without_toxic(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Rows of ``docs`` scored below one half, all columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    @F.pandas_udf("boolean")
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one, w = toxicity_features()(), sent.value
+        for texts in batches:
+            yield texts.map(lambda t: linear_margin(w, one(bytes(t))) >= 0).astype(bool)
+
+    return docs.filter(~toxic(as_bytes("text")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classify, decontaminate, line_dedup, lm_score, media, mixing, near_dedup, tokens
+from . import classify, decontaminate, line_dedup, lm_score, media, mixing, near_dedup, substring_dedup, tokens
 
 QUERIES = {
     "op1_toxicity": classify.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_minhash_setsketch": near_dedup.op6_minhash_setsketch,
     "op7_media_png": media.op7_media_png,
     "op8_lm_score": lm_score.op8_lm_score,
+    "op9_suffix_dedup": substring_dedup.op9_suffix_dedup,
     "op10_quality": classify.op10_quality,
 }
 ORACLES = {
