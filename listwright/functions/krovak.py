@@ -1,6 +1,7 @@
 """WGS84 to and from S-JTSK / Krovak East North (EPSG:5514), by the published formulas.
 
-One formula text serves Columns (JVM side) and NumPy; ``M`` and ``C`` hold the functions' names.
+The formulas are NumPy; ``to_plane`` applies them to Arrow batches (as Columns their expression
+tree would repeat every shared term and take the code generator minutes).
 """
 
 from __future__ import annotations
@@ -9,11 +10,11 @@ import math
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 M = SimpleNamespace(sin=np.sin, cos=np.cos, tan=np.tan, asin=np.arcsin, atan=np.arctan, atan2=np.arctan2, sqrt=np.sqrt, pow=np.power)
-C = SimpleNamespace(sin=F.sin, cos=F.cos, tan=F.tan, asin=F.asin, atan=F.atan, atan2=F.atan2, sqrt=F.sqrt, pow=lambda a, b: F.pow(a, F.lit(b)))
 
 # The ellipsoids, the datum shift (metres, arc seconds, ppm) and the projection's constants.
 WGS = (6378137.0, 1 / 298.257223563)
@@ -85,9 +86,15 @@ def _forward(m, lat, lon):
     return project(m, *_geodetic(m, x, y, z, BESSEL))
 
 
-def to_plane(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Degrees to metres, as Columns."""
-    return _forward(C, F.radians(lat), F.radians(lon))
+def to_plane(lat: Column, lon: Column) -> Column:
+    """Degrees to metres: struct<x, y>, null where a coordinate is."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        x, y = to_plane_np(a, b)
+        return pd.DataFrame({"x": x, "y": y})
+
+    ok = lat.isNotNull() & lon.isNotNull()
+    return F.when(ok, F.pandas_udf(run, "x double, y double")(lat, lon))
 
 
 def to_plane_np(lat, lon):

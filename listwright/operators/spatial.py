@@ -47,8 +47,8 @@ def areas_join(listings: DataFrame, areas: DataFrame, cell: float = 0.05) -> Dat
     """
     shapes = areas.select("area_id", geo.rings_of_wkt(F.col("wkt")).alias("_rings"))
     ends = F.flatten("_rings")
-    edge = {n: f(F.transform(ends, lambda p, k=k: p[k])) for n, f, k in (("x0", F.array_min, "lon"), ("x1", F.array_max, "lon"), ("y0", F.array_min, "lat"), ("y1", F.array_max, "lat"))}
-    tiles = shapes.select("area_id", "_rings", F.explode(_cells(edge["x0"], edge["x1"], cell)).alias("_cx"), _cells(edge["y0"], edge["y1"], cell).alias("_cys")).select("area_id", "_rings", "_cx", F.explode("_cys").alias("_cy"))
+    lons, lats = F.transform(ends, lambda p: p["lon"]), F.transform(ends, lambda p: p["lat"])
+    tiles = shapes.select("area_id", "_rings", F.explode(_cells(F.array_min(lons), F.array_max(lons), cell)).alias("_cx"), _cells(F.array_min(lats), F.array_max(lats), cell).alias("_cys")).select("area_id", "_rings", "_cx", F.explode("_cys").alias("_cy"))
     points = listings.filter("latitude IS NOT NULL AND longitude IS NOT NULL").withColumns({"_cx": F.floor(F.col("longitude") / cell), "_cy": F.floor(F.col("latitude") / cell)})
     return points.join(tiles, ["_cx", "_cy"]).filter(geo.in_polygon(F.col("longitude"), F.col("latitude"), F.col("_rings"))).drop("_cx", "_cy", "_rings")
 
@@ -56,8 +56,7 @@ def areas_join(listings: DataFrame, areas: DataFrame, cell: float = 0.05) -> Dat
 def segments(routes: DataFrame) -> DataFrame:
     """(area_id, radius, x1, y1, x2, y2) in metres, of ``routes`` (area_id, wkt, radius)."""
     pts = routes.select("area_id", "radius", F.posexplode(geo.points_of_wkt(F.col("wkt"))).alias("k", "p"))
-    x, y = krovak.to_plane(F.col("p.lat"), F.col("p.lon"))
-    flat = pts.select("area_id", "radius", "k", x.alias("x"), y.alias("y"))
+    flat = pts.select("area_id", "radius", "k", krovak.to_plane(F.col("p.lat"), F.col("p.lon")).alias("q")).select("area_id", "radius", "k", "q.x", "q.y")
     nxt = flat.select(F.col("area_id").alias("_a"), (F.col("k") - 1).alias("_k"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     return flat.join(nxt, (F.col("area_id") == F.col("_a")) & (F.col("k") == F.col("_k"))).select("area_id", "radius", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
 
@@ -67,8 +66,8 @@ def corridor_members(listings: DataFrame, routes: DataFrame, cell: float = 5000.
     seg = segments(routes)
     tiles = seg.withColumn("_cx", F.explode(_cells(F.least("x1", "x2") - F.col("radius"), F.greatest("x1", "x2") + F.col("radius"), cell)))
     tiles = tiles.withColumn("_cy", F.explode(_cells(F.least("y1", "y2") - F.col("radius"), F.greatest("y1", "y2") + F.col("radius"), cell)))
-    x, y = krovak.to_plane(F.col("latitude"), F.col("longitude"))
-    pts = listings.filter("is_active AND latitude IS NOT NULL AND longitude IS NOT NULL").select("id", x.alias("px"), y.alias("py")).withColumns({"_cx": F.floor(F.col("px") / cell), "_cy": F.floor(F.col("py") / cell)})
+    own = listings.filter("is_active AND latitude IS NOT NULL AND longitude IS NOT NULL")
+    pts = own.select("id", krovak.to_plane(F.col("latitude"), F.col("longitude")).alias("q")).select("id", F.col("q.x").alias("px"), F.col("q.y").alias("py")).withColumns({"_cx": F.floor(F.col("px") / cell), "_cy": F.floor(F.col("py") / cell)})
     near = geo.segment_distance(*(F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2"))) <= F.col("radius")
     return pts.join(tiles, ["_cx", "_cy"]).filter(near).select("area_id", "id").distinct()
 
@@ -79,8 +78,11 @@ def corridor_counts(listings: DataFrame, routes: DataFrame) -> DataFrame:
     return routes.select("area_id").join(n, "area_id", "left").select("area_id", F.coalesce("n", F.lit(0)).alias("listing_count"))
 
 
-@F.udf("string")
-def buffer_wkt(points, radius):
+def buffer_wkt(points: Column, radius: Column) -> Column:
+    return F.udf(outlined, "string")(points, radius)
+
+
+def outlined(points, radius) -> str | None:
     """MULTIPOLYGON of one outline per segment; together they cover the buffer of the line."""
     if not points or len(points) < 2:
         return None

@@ -54,9 +54,11 @@ def parse(markup: str | None) -> list[dict]:
     return [{"idx": i, "parent": p, "tag": t, "attrs": a, "text": " ".join(x)} for i, (p, t, a, x) in enumerate(reader.found)]
 
 
-@F.pandas_udf(f"array<{ELEMENT}>")
-def elements(markup: pd.Series) -> pd.Series:
-    return markup.map(parse)
+def elements(markup: Column) -> Column:
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(parse)
+
+    return F.pandas_udf(run, f"array<{ELEMENT}>")(markup)
 
 
 def attr(e: Column, name: str) -> Column:

@@ -86,9 +86,11 @@ def decoded(markup: str | None, marker: str = '"listings":') -> list[dict]:
     return [r for r in rows if isinstance(r, dict)]
 
 
-@F.pandas_udf("array<string>")
-def pushed_rows(markup: pd.Series) -> pd.Series:
-    return markup.map(lambda m: [json.dumps(r, ensure_ascii=False) for r in decoded(m)])
+def pushed_rows(markup: Column) -> Column:
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda m: [json.dumps(r, ensure_ascii=False) for r in decoded(m)])
+
+    return F.pandas_udf(run, "array<string>")(markup)
 
 
 def estates(pages: DataFrame) -> DataFrame:
