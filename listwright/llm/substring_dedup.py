@@ -8,9 +8,10 @@ in a bounded block, and the column-wise construction runs in the blocks:
    anchor.  Equal windows have equal anchors at equal places, so every repeat shows as an anchor that occurs twice.
 2. Counting.  Anchors that occur once leave.  Occurrences whose surroundings (112 bytes on both sides) are
    equal as a whole need no comparison; one of them stands for all, whether two or a million.
-3. Blocks.  Different surroundings of one anchor are compared.  Each becomes a row of symbols: left bytes, one
-   symbol for the anchor, right bytes.  One symbol of every row is inserted per round into
+3. Blocks.  Different surroundings of one anchor are compared.  Each becomes a row of symbols, its left bytes,
+   with the anchor and the right bytes as ending.  One symbol of every row is inserted per round into
    the collection's Burrows-Wheeler transform; neighbours in its order with a common prefix over the anchor's window length are repeats.
+   (the endings are sorted once, so only left bytes take rounds).
 4. Anchors with more surroundings than a block holds are split by longer shared strings (halving the range of
    window offsets each round) until all that remain together are equal; counts decide those.
 
@@ -35,7 +36,7 @@ GRAM = 288
 PLACES = WINDOW - GRAM + 1
 REACH = PLACES - 1
 #: Rows of a collection, and surroundings of one anchor that go into one collection.
-ROWS = 2048
+ROWS = 1024
 GROUP = 1024
 #: Words of the fixed-size Bloom filter (8 MB).
 BLOOM = 1 << 20
@@ -97,19 +98,20 @@ def anchors(text: bytes, grams: Rolling, around: Rolling) -> tuple[np.ndarray, n
     return chosen, h[chosen], mix(s + (chosen - a).astype(np.uint64) * np.uint64(1009) + (b - chosen).astype(np.uint64))
 
 
-def collection_order(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def collection_order(rows: np.ndarray, lengths: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted suffixes of a collection, by inserting one symbol of every row per round.
 
-    ``rows``: symbols, right-aligned; row r has ``lengths[r]`` of them.  The transform holds, for every suffix so
-    far in sorted order, the symbol before it.  A round fills in those symbols for the newest
-    suffixes; the place of each new suffix is the rank of its symbol (counting sort of the transform), as
+    ``rows``: symbols above 0, right-aligned; row r has ``lengths[r]`` of them and goes on with an ending that the
+    rows share an order of, ``base`` (rank of each row's ending, all endings sort first).  The transform holds, for every
+    suffix so far in sorted order, the symbol before it.  A round fills in those symbols for the newest
+    suffixes; the place of each new suffix is the rank of its symbol (a counting sort of the transform), as
     old suffixes keep their order.  Returns row and start column of all suffixes, sorted.
     """
     m, width = rows.shape
-    live = np.arange(m)
-    before = np.zeros(m, np.uint16)  # all rows start with an empty suffix
-    row, start = live.astype(np.int32), np.full(m, width, np.int32)
-    place = live.copy()
+    before = np.zeros(m, np.uint16)
+    place = base.astype(np.int64).copy()
+    row, start = np.empty(m, np.int32), np.full(m, width, np.int16)
+    row[place] = np.arange(m)
     for column in range(width - 1, -1, -1):
         own = np.flatnonzero(lengths >= width - column)
         if not len(own):
@@ -117,24 +119,23 @@ def collection_order(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
         before[place[own]] = rows[own, column]
         order = np.argsort(before, kind="stable")
         # Suffixes without a symbol before them (0: rows that ended) sort first and stand for no new suffix.
-        ended = np.searchsorted(before[order], 1)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - ended + m
+        ended = len(before) - np.count_nonzero(before)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(m - ended, m - ended + len(order), dtype=np.int32)
         new = rank[place[own]]
         n = len(before) + len(own)
-        fresh = np.zeros(n, bool)
-        fresh[new] = True
+        old = np.ones(n, bool)
+        old[new] = False
         grown = []
-        for old, value in ((before, 0), (row, own), (start, column)):
-            x = np.empty(n, old.dtype)
-            x[~fresh] = old
+        for was, value in ((before, 0), (row, own), (start, column)):
+            x = np.empty(n, was.dtype)
+            x[old] = was
             x[new] = value
             grown.append(x)
         before, row, start = grown
-        rest = np.flatnonzero(lengths < width - column)
-        if len(rest):
-            where = np.flatnonzero(~fresh)
-            place[rest] = where[place[rest]]
+        if len(own) < m:
+            rest = np.flatnonzero(lengths < width - column)
+            place[rest] = np.flatnonzero(old)[place[rest]]
         place[own] = new
     return row, start
 
@@ -145,24 +146,21 @@ def repeats(lefts: list[bytes], rights: list[bytes], groups: np.ndarray, origins
     ``origins``: a number per row such that origin - j is the window's place in the corpus.
     """
     m, width = len(lefts), 2 * REACH + 1
+    # Symbols: 1 to 256 for bytes, 257 for the anchor, 0 for none.
     rows = np.zeros((m, width), np.uint16)
-    lengths = np.zeros(m, np.int64)
-    # Symbols: 1 to 256 for bytes, from 257 for anchors, 0 for none; rows end at the right edge.
+    rows[:, REACH] = 257
     for i, (a, b) in enumerate(zip(lefts, rights, strict=True)):
-        n = len(a) + 1 + len(b)
-        line = rows[i, width - n :]
-        line[: len(a)] = np.frombuffer(a, np.uint8)
-        line[: len(a)] += 1
-        line[len(a)] = 257 + groups[i]
-        line[len(a) + 1 :] = np.frombuffer(b, np.uint8)
-        line[len(a) + 1 :] += 1
-        lengths[i] = n
-    row, start = collection_order(rows, lengths)
-    hub = width - np.array([len(b) for b in rights]) - 1
-    j = hub[row] - start
-    fits = np.flatnonzero((j >= 0) & (start + PLACES <= width) & (j <= REACH))
-    row, start, j = row[fits], start[fits], j[fits]
-    out: list[list[np.ndarray]] = [[] for _ in range(m)]
+        rows[i, REACH - len(a) : REACH] = np.frombuffer(a, np.uint8)
+        rows[i, REACH - len(a) : REACH] += 1
+        rows[i, REACH + 1 : REACH + 1 + len(b)] = np.frombuffer(b, np.uint8)
+        rows[i, REACH + 1 : REACH + 1 + len(b)] += 1
+    lengths = np.array([len(a) for a in lefts])
+    base = np.empty(m, np.int64)
+    base[sorted(range(m), key=lambda i: (groups[i], rights[i]))] = np.arange(m)
+    row, start = collection_order(rows[:, :REACH], lengths, base)
+    room = np.array([len(b) for b in rights])
+    fits = np.flatnonzero(start <= room[row])
+    row, start = row[fits], start[fits].astype(np.int64)
     if len(fits) < 2:
         return [np.empty(0, np.int64)] * m
     # Common prefixes of neighbours, window by window.
@@ -170,14 +168,15 @@ def repeats(lefts: list[bytes], rights: list[bytes], groups: np.ndarray, origins
     same = np.zeros(len(fits), bool)
     for at in range(1, len(fits), 4096):
         k = np.arange(at, min(at + 4096, len(fits)))
-        same[k] = (rows[row[k, None], start[k, None] + span] == rows[row[k - 1, None], start[k - 1, None] + span]).all(1)
-    run = np.cumsum(~same)
-    place = origins[row] - j
-    lo, hi = (f.reduceat(place, np.flatnonzero(~same)) for f in (np.minimum, np.maximum))
-    found = (lo < hi)[run - 1]
-    for r, v in zip(row[found].tolist(), j[found].tolist(), strict=True):
-        out[r].append(v)
-    return [np.array(sorted(x), np.int64) for x in out]
+        near = k[(groups[row[k]] == groups[row[k - 1]]) & (start[k] == start[k - 1])]
+        same[near] = (rows[row[near, None], start[near, None] + span] == rows[row[near - 1, None], start[near - 1, None] + span]).all(1)
+    first = np.flatnonzero(~same)
+    place = origins[row] - (REACH - start)
+    lo, hi = (f.reduceat(place, first) for f in (np.minimum, np.maximum))
+    found = (lo < hi)[np.cumsum(~same) - 1]
+    row, j = row[found], (REACH - start)[found]
+    order = np.argsort(row, kind="stable")
+    return np.split(j[order], np.cumsum(np.bincount(row, minlength=m))[:-1])
 
 
 def bloom(keys: DataFrame, name: str) -> np.ndarray:
@@ -185,8 +184,8 @@ def bloom(keys: DataFrame, name: str) -> np.ndarray:
     h = [F.xxhash64(F.lit(i), F.col(name)) for i in range(3)]
     bits = keys.select(F.explode(F.array(*h)).alias("h")).select(F.pmod("h", F.lit(BLOOM)).cast("int").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) AS INT))").alias("b"))
     out = np.zeros(BLOOM, np.int64)
-    for r in bits.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        out[r["w"]] = r["b"]
+    words = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
     return out
 
 
