@@ -7,9 +7,10 @@
 3. In each bucket the smallest id is the pivot; members are compared with it only.  Register pairs give a
    joint maximum-likelihood similarity; pairs clearly below the threshold (six standard errors) stop
    here, the rest are compared on full sets.
-4. Links give components.  Buckets that still hold several components compare members across components,
-   less those the triangle inequality of the Jaccard distance rules out from their
-   distances to the pivot; buckets of more than 64 members are first split by a second band.
+4. Links give components.  In buckets that still hold several, a document can be linked to another component
+   only if three quarters of its shingles occur under another root; the others leave.  The rest meet
+   the most typical member of each bucket, and what is open even then is compared across components
+   (buckets of more than 64 members are first split by a second band).
    So a link that could join two components is not lost to the star shape.
 
 A pair at similarity 0.75 shares a band with probability 1 - 1e-6 (closer pairs: more).
@@ -147,6 +148,55 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame
     return map_rows(both, make, "a long, b long, inter long, total long", step=128)
 
 
+def opened(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(rep, n, root) of the documents in buckets that hold several components."""
+    placed = buckets.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    return placed.join(keys, "key", "left_semi").select("rep", "n", "root").distinct()
+
+
+def reachable(rows: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(rep, n, root, s) of the documents that can have a link to another component.
+
+    ``s`` counts the shingles that also occur under another root.  A link needs at least ``threshold`` percent
+    of a set in common with the other set, so documents with fewer such shingles leave; what they
+    alone shared is private then, and the count is taken again while it pays.
+    """
+    rows = keep(rows, "open")
+
+    def run(batches):
+        cache = WordHash()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [shingles(t, cache, words) for t in part.column(2).to_pylist()]
+                times = [len(f) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *(pa.array(np.repeat(part.column(i).to_numpy(), times)) for i in (0, 1))], names=["h", "rep", "root"])
+
+    held = keep(docs.select(F.col("doc_id").cast("long").alias("rep"), as_bytes("text").alias("t")).join(rows, "rep").select("rep", "root", "t").mapInArrow(run, "h long, rep long, root long"), "shingles")
+    before = rows.count()
+    while True:
+        shared = held.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
+        counted = held.join(shared, "h").groupBy("rep").agg(F.count("*").alias("s"))
+        live = keep(rows.join(counted, "rep").filter(F.col("s") * 100 >= F.col("n") * threshold), "live")
+        now = live.count()
+        if now * 10 > before * 9 or not now:
+            return live
+        held, before = held.join(live.select("rep"), "rep", "left_semi"), now
+
+
+def crossed(spread: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of one bucket, different components, whose sizes and shared shingles allow a link."""
+    sized = spread.join(spread.groupBy("key").agg(F.count("*").alias("size")), "key")
+    more = classes.select("rep", F.explode("bands").alias("second"))
+    split = sized.filter(F.col("size") > SMALL).join(more, "rep").filter("second <> key").withColumn("key", F.xxhash64(F.least("key", "second"), F.greatest("key", "second"))).drop("second").distinct()
+    side = sized.filter(F.col("size") <= SMALL).unionByName(split)
+    a, b = side.alias("a"), side.alias("b")
+    fits = (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * threshold) & (F.least("a.s", "b.s") * (100 + threshold) >= (F.col("a.n") + F.col("b.n")) * threshold)
+    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & fits)
+    return cross.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+
+
 def near_components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     prof = keep(profiles(docs, words), "profiles")
@@ -168,28 +218,24 @@ def near_components(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     links = exact.filter(is_link).select("a", "b")
     roots = keep(components(links), "roots")
 
-    # What the stars leave: buckets with several components.
-    placed = buckets.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    near = est.join(exact, ["a", "b"], "left").select(
-        F.col("a").alias("rep"), F.col("b").alias("pivot"),
-        F.coalesce(1 - F.col("inter") / F.col("total"), F.greatest(F.lit(0.0), 1 - F.col("est") - margin)).alias("near"),
-        F.coalesce(1 - F.col("inter") / F.col("total"), F.lit(1.0)).alias("far"),
-    )
-    left = placed.join(open_keys, "key", "left_semi").join(near, ["rep", "pivot"], "left")
-    own = F.when(F.col("rep") == F.col("pivot"), 0.0)
-    left = keep(left.select("key", "rep", "n", "root", "size", F.coalesce(own, F.col("near"), F.lit(0.25)).alias("near"), F.coalesce(own, F.col("far"), F.lit(1.0)).alias("far")), "left")
-    if not left.isEmpty():
-        more = classes.select("rep", F.explode("bands").alias("second"))
-        split = left.filter(F.col("size") > SMALL).join(more, "rep").filter("second <> key").withColumn("key", F.xxhash64("key", "second")).drop("second")
-        side = left.filter(F.col("size") <= SMALL).unionByName(split)
-        a, b = side.alias("a"), side.alias("b")
-        reach = 1 - threshold / 100
-        cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * threshold) & (F.col("a.near") - F.col("b.far") <= reach + 1e-9) & (F.col("b.near") - F.col("a.far") <= reach + 1e-9))
-        cross = cross.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct().join(est.select("a", "b"), ["a", "b"], "left_anti")
-        second = keep(verified(keep(estimated(cross, classes, margin), "estimates").filter("may"), docs, words), "verified")
-        if not (found := second.filter(is_link).select("a", "b")).isEmpty():
-            roots = keep(components(links.unionByName(found)), "roots")
+    # What the stars leave: buckets with several components, and in them the documents that can still be linked.
+    tried = est.select("a", "b")
+    for last in (False, True):
+        live = reachable(opened(buckets, roots), docs, words, threshold)
+        if live.isEmpty():
+            break
+        spread = keep(buckets.select("key", "rep").join(live, "rep"), "spread")
+        if last:
+            pairs = crossed(spread, classes, threshold)
+        else:
+            typical = spread.groupBy("key").agg(F.min_by(F.struct("rep", "n", "root"), F.struct(1 - F.col("s") / F.col("n"), "rep")).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("m"), F.col("p.root").alias("pivot_root"))
+            pairs = spread.join(typical, "key").filter((F.col("root") != F.col("pivot_root")) & fits).select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"))
+        more = keep(estimated(pairs.distinct().join(tried, ["a", "b"], "left_anti"), classes, margin), "estimates")
+        found = keep(verified(more.filter("may"), docs, words).filter(is_link).select("a", "b"), "links")
+        tried = tried.unionByName(more.select("a", "b"))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = keep(components(links), "roots")
 
     ids = classes.select("digest", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("_root"))
     out = member.join(ids, "digest", "left")
