@@ -7,11 +7,11 @@
 3. In each bucket the smallest id is the pivot; members are compared with it only.  Register pairs give a
    joint maximum-likelihood similarity; pairs clearly below the threshold (six standard errors) stop
    here, the rest are compared on full sets.
-4. Links give components.  In buckets that still hold several, a document can be linked to another component
-   only if three quarters of its shingles occur under another root; the others leave.  The rest meet
-   the most typical member of each bucket, and what is open even then is compared across components
-   (buckets of more than 64 members are first split by a second band).
-   So a link that could join two components is not lost to the star shape.
+4. Links give components.  For documents in buckets that still hold several, shingles are counted by how many
+   documents and components hold them.  Documents with too few shingles of other components leave.  The rest
+   meet where they share a rare shingle (held by at most 100), or in their bucket if common shingles alone could
+   make a link: first the most typical member, then each other.  Both bounds are exact, so a link
+   that could join two components is not lost to the star shape.
 
 A pair at similarity 0.75 shares a band with probability 1 - 1e-6 (closer pairs: more).
 
@@ -36,8 +36,8 @@ REGISTERS, BAND = 250, 5
 #: SetSketch parameters: base, rate, and the largest register value.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 THRESHOLD = 75
-#: Largest bucket whose leftovers are compared without splitting by a second band.
-SMALL = 64
+#: Documents that may hold a shingle that counts as rare.
+RARE = 100
 
 _MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BANDS = REGISTERS // BAND
@@ -148,19 +148,25 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame
     return map_rows(both, make, "a long, b long, inter long, total long", step=128)
 
 
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
 def opened(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """(rep, n, root) of the documents in buckets that hold several components."""
-    placed = buckets.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    placed = rooted(buckets.select("key", "rep", "n"), roots)
     keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     return placed.join(keys, "key", "left_semi").select("rep", "n", "root").distinct()
 
 
-def reachable(rows: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """(rep, n, root, s) of the documents that can have a link to another component.
+def reachable(rows: DataFrame, docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The documents that can have a link to another component, and their rare shingles.
 
-    ``s`` counts the shingles that also occur under another root.  A link needs at least ``threshold`` percent
-    of a set in common with the other set, so documents with fewer such shingles leave; what they
-    alone shared is private then, and the count is taken again while it pays.
+    The first table is (rep, n, root, s, c): ``s`` counts the shingles that also occur under another root, ``c``
+    those of them that more than RARE documents hold.  A link needs at least ``threshold`` percent of a set
+    in common with the other set, so documents with a smaller ``s`` leave.  Of two linked documents either both have
+    ``c`` as large as the overlap asked for, or they share a rare shingle; the second table, (h, rep, n, root, s),
+    lets these meet, at most RARE to a shingle.
     """
     rows = keep(rows, "open")
 
@@ -173,28 +179,21 @@ def reachable(rows: DataFrame, docs: DataFrame, words: int, threshold: int) -> D
                 times = [len(f) for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *(pa.array(np.repeat(part.column(i).to_numpy(), times)) for i in (0, 1))], names=["h", "rep", "root"])
 
-    held = keep(docs.select(F.col("doc_id").cast("long").alias("rep"), as_bytes("text").alias("t")).join(rows, "rep").select("rep", "root", "t").mapInArrow(run, "h long, rep long, root long"), "shingles")
-    before = rows.count()
-    while True:
-        shared = held.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
-        counted = held.join(shared, "h").groupBy("rep").agg(F.count("*").alias("s"))
-        live = keep(rows.join(counted, "rep").filter(F.col("s") * 100 >= F.col("n") * threshold), "live")
-        now = live.count()
-        if now * 10 > before * 9 or not now:
-            return live
-        held, before = held.join(live.select("rep"), "rep", "left_semi"), now
-
-
-def crossed(spread: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) of one bucket, different components, whose sizes and shared shingles allow a link."""
-    sized = spread.join(spread.groupBy("key").agg(F.count("*").alias("size")), "key")
-    more = classes.select("rep", F.explode("bands").alias("second"))
-    split = sized.filter(F.col("size") > SMALL).join(more, "rep").filter("second <> key").withColumn("key", F.xxhash64(F.least("key", "second"), F.greatest("key", "second"))).drop("second").distinct()
-    side = sized.filter(F.col("size") <= SMALL).unionByName(split)
-    a, b = side.alias("a"), side.alias("b")
-    fits = (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * threshold) & (F.least("a.s", "b.s") * (100 + threshold) >= (F.col("a.n") + F.col("b.n")) * threshold)
-    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & fits)
-    return cross.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), as_bytes("text").alias("t"))
+    held = keep(texts.join(rows, "rep").select("rep", "root", "t").mapInArrow(run, "h long, rep long, root long"), "shingles")
+    shared = held.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h", "df")
+    held = keep(held.select("h", "rep").join(shared, "h"), "shared")
+    counted = held.groupBy("rep").agg(F.count("*").alias("s"), F.count_if(F.col("df") > RARE).alias("c"))
+    live = keep(rows.join(counted, "rep").filter(F.col("s") * 100 >= F.col("n") * threshold), "live")
+    return live, held.filter(F.col("df") <= RARE).select("h", "rep").join(live.drop("c"), "rep")
+
+
+def meeting(rows: DataFrame, key: str, most: str, threshold: int) -> DataFrame:
+    """(a, b) of one ``key`` and different roots, where ``most`` common shingles allow a link."""
+    a, b = rows.alias("a"), rows.alias("b")
+    fits = F.least(f"a.{most}", f"b.{most}") * (100 + threshold) >= (F.col("a.n") + F.col("b.n")) * threshold
+    both = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & fits)
+    return both.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
 
 
 def near_components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -219,18 +218,13 @@ def near_components(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     roots = keep(components(links), "roots")
 
     # What the stars leave: buckets with several components, and in them the documents that can still be linked.
+    live, rare = reachable(opened(buckets, roots), docs, words, threshold)
     tried = est.select("a", "b")
-    for last in (False, True):
-        live = reachable(opened(buckets, roots), docs, words, threshold)
-        if live.isEmpty():
-            break
-        spread = keep(buckets.select("key", "rep").join(live, "rep"), "spread")
-        if last:
-            pairs = crossed(spread, classes, threshold)
-        else:
-            typical = spread.groupBy("key").agg(F.min_by(F.struct("rep", "n", "root"), F.struct(1 - F.col("s") / F.col("n"), "rep")).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("m"), F.col("p.root").alias("pivot_root"))
-            pairs = spread.join(typical, "key").filter((F.col("root") != F.col("pivot_root")) & fits).select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"))
-        more = keep(estimated(pairs.distinct().join(tried, ["a", "b"], "left_anti"), classes, margin), "estimates")
+    dense = keep(buckets.select("key", "rep").join(live.filter(F.col("c") * 100 >= F.col("n") * threshold), "rep"), "dense")
+    typical = dense.groupBy("key").agg(F.min_by(F.struct("rep", "root"), F.struct(1 - F.col("c") / F.col("n"), "rep")).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.root").alias("pivot_root"))
+    first = dense.join(typical, "key").filter(F.col("root") != F.col("pivot_root")).select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"))
+    for pairs in (lambda: first.unionByName(meeting(rare, "h", "s", threshold)), lambda: meeting(rooted(dense.drop("root"), roots), "key", "c", threshold)):
+        more = keep(estimated(pairs().distinct().join(tried, ["a", "b"], "left_anti"), classes, margin), "estimates")
         found = keep(verified(more.filter("may"), docs, words).filter(is_link).select("a", "b"), "links")
         tried = tried.unionByName(more.select("a", "b"))
         if not found.isEmpty():

@@ -180,7 +180,7 @@ def test_near_dedup(spark, texts):
 
 
 def test_near_dedup_borderline(spark, monkeypatch):
-    """Chains around the threshold, of which stars alone would miss links; large buckets are split."""
+    """Chains around the threshold, of which stars alone would miss links, for any bound of rare shingles."""
     rng = random.Random(11)
     base = words(rng, 80).split()
     docs = []
@@ -190,8 +190,8 @@ def test_near_dedup_borderline(spark, monkeypatch):
             w[rng.randrange(80)] = f"new{rng.randrange(12)}"
         docs.append((k, " ".join(w)))
     expected = near_expected(docs)
-    for small in (64, 2):
-        monkeypatch.setattr(near_dedup, "SMALL", small)
+    for rare in (100, 1, 7):
+        monkeypatch.setattr(near_dedup, "RARE", rare)
         got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_components(frame(spark, docs)).collect())
         assert got == expected
 
