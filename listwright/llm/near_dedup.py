@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom, maybe
 from .common import LOWER, WordHash, as_bytes, keep, map_rows, mix, ngram_hashes, table
 from .graph import components
 
@@ -125,7 +126,8 @@ def estimated(pairs: DataFrame, classes: DataFrame, margin: float) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(a, b, inter, total) of the full sets."""
     ends = pairs.select(F.col("a").alias("_end")).unionByName(pairs.select(F.col("b").alias("_end"))).distinct()
-    texts = keep(docs.select(F.col("doc_id").cast("long").alias("_end"), F.col("text").alias("_text")).join(ends, "_end", "left_semi"), "texts")
+    own = docs.select(F.col("doc_id").cast("long").alias("_end"), F.col("text").alias("_text"))
+    texts = keep(maybe(own, "_end", bloom(ends, "_end")).join(ends, "_end", "left_semi"), "texts")
     both = pairs.select("a", "b").join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", as_bytes("ta"), as_bytes("tb"))
 
     def make():
@@ -180,7 +182,7 @@ def reachable(rows: DataFrame, docs: DataFrame, words: int, threshold: int) -> t
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *(pa.array(np.repeat(part.column(i).to_numpy(), times)) for i in (0, 1))], names=["h", "rep", "root"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), as_bytes("text").alias("t"))
-    held = keep(texts.join(rows, "rep").select("rep", "root", "t").mapInArrow(run, "h long, rep long, root long"), "shingles")
+    held = keep(maybe(texts, "rep", bloom(rows, "rep")).join(rows, "rep").select("rep", "root", "t").mapInArrow(run, "h long, rep long, root long"), "shingles")
     shared = held.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h", "df")
     held = keep(held.select("h", "rep").join(shared, "h"), "shared")
     counted = held.groupBy("rep").agg(F.count("*").alias("s"), F.count_if(F.col("df") > RARE).alias("c"))
