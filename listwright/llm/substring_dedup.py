@@ -38,7 +38,7 @@ PLACES = WINDOW - GRAM + 1
 REACH = PLACES - 1
 #: Rows of a collection, and surroundings of one anchor that go into one collection.
 ROWS = 1024
-GROUP = 1024
+GROUP = 256
 
 _TABLES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(m)) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _BASES = [0x2127599BF4325C37, 0x880355F21E6D1965]
