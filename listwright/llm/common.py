@@ -24,7 +24,7 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 class WordHash(dict):
     """64-bit word hashes, remembered up to a fixed number of words."""
 
-    limit = 300_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -182,7 +182,9 @@ def reachable(rows: DataFrame, docs: DataFrame, words: int, threshold: int) -> t
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *(pa.array(np.repeat(part.column(i).to_numpy(), times)) for i in (0, 1))], names=["h", "rep", "root"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), as_bytes("text").alias("t"))
-    held = keep(maybe(texts, "rep", bloom(rows, "rep")).join(rows, "rep").select("rep", "root", "t").mapInArrow(run, "h long, rep long, root long"), "shingles")
+    # Kept first: the filter and the next step in one task would need two Python workers at a time.
+    texts = keep(maybe(texts, "rep", bloom(rows, "rep")).join(rows, "rep").select("rep", "root", "t"), "open_texts")
+    held = keep(texts.mapInArrow(run, "h long, rep long, root long"), "shingles")
     shared = held.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h", "df")
     held = keep(held.select("h", "rep").join(shared, "h"), "shared")
     counted = held.groupBy("rep").agg(F.count("*").alias("s"), F.count_if(F.col("df") > RARE).alias("c"))
