@@ -129,11 +129,13 @@ def answers(sent: DataFrame) -> DataFrame:
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(c, np.uint32) for c in t.column("counts").to_pylist()]))
         squeeze, cuts = zstandard.ZstdCompressor(1), np.cumsum([len(k) for k in keys])[:-1]
-        back = [squeeze.compress(x.tobytes()) for x in np.split(total.astype(np.uint32)[inverse], cuts)]
+        # Four bytes a count, eight in ranges where a total is larger.
+        width = 4 if total.max(initial=0) < 1 << 32 else 8
+        back = [squeeze.compress(x.tobytes()) for x in np.split(total.astype(f"u{width}")[inverse], cuts)]
         first = np.arange(len(keys)) == 0
-        return pa.table({"part": t.column("part"), "level": t.column("level"), "block": t.column("block"), "totals": pa.array(back, pa.binary()), "types": pa.array((first * (total > 0).sum()).astype(np.int64)), "tokens": pa.array((first * total.sum()).astype(np.int64))})
+        return pa.table({"part": t.column("part"), "level": t.column("level"), "block": t.column("block"), "width": pa.array([width] * len(keys), pa.int32()), "totals": pa.array(back, pa.binary()), "types": pa.array((first * (total > 0).sum()).astype(np.int64)), "tokens": pa.array((first * total.sum()).astype(np.int64))})
 
-    return sent.groupBy("part", "level").applyInArrow(run, "part int, level int, block long, totals binary, types long, tokens long")
+    return sent.groupBy("part", "level").applyInArrow(run, "part int, level int, block long, width int, totals binary, types long, tokens long")
 
 
 def followed(x: Block, totals: list[np.ndarray], docs: int, tokens: int, types: int, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,10 +167,10 @@ def scores(docs: DataFrame, held_out, order: int = ORDER, weight: float = WEIGHT
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[int, list] = {}
-        for level, part, blob in zip(*(right.column(c).to_pylist() for c in ("level", "part", "totals")), strict=True):
-            found.setdefault(level, []).append((part, blob))
+        for level, *row in zip(*(right.column(c).to_pylist() for c in ("level", "part", "width", "totals")), strict=True):
+            found.setdefault(level, []).append(row)
         squeeze = zstandard.ZstdDecompressor()
-        totals = [np.concatenate([np.frombuffer(squeeze.decompress(b), np.uint32) for _, b in sorted(found[k])]) for k in range(order)]
+        totals = [np.concatenate([np.frombuffer(squeeze.decompress(b), f"u{width}") for _, width, b in sorted(found[k])]) for k in range(order)]
         ids, held, sizes, body = (left.column(c).to_pylist()[0] for c in ("ids", "held", "sizes", "body"))
         x = Block(sizes, body, order)
         known, base, score = followed(x, totals, train_docs, tokens, types, weight)
@@ -176,7 +178,7 @@ def scores(docs: DataFrame, held_out, order: int = ORDER, weight: float = WEIGHT
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(x.counts.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)), "train_tokens": pa.array([tokens] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(back.select("block", "level", "part", "totals").groupBy("block")).applyInArrow(run, schema)
+    return blocks.groupBy("block").cogroup(back.select("block", "level", "part", "width", "totals").groupBy("block")).applyInArrow(run, schema)
 
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:
