@@ -16,12 +16,16 @@ table gives an empty table; rows that repeat a doc_id and text draw the same cou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep, table
 
 SEED = 17
+#: Probabilities of all sources together (8 bytes each) that are sent to every task; beyond it the join is shuffled.
+MOST_ENTRIES = 2_000_000
 
 
 def uniform(*parts: Column, seed: int = SEED) -> Column:
@@ -43,23 +47,33 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, size: float
     return own.crossJoin(F.broadcast(whole)).select("_source", "_rows", (F.coalesce("_share", left) * F.col("_all") * F.lit(float(size)) / F.col("_rows")).alias("_rate"))
 
 
-def distribution(rate: Column) -> Column:
-    """Cumulative Poisson probabilities 0, 1, 2, ... until the tail is below any hashed number.
+def distributions(own: DataFrame) -> DataFrame:
+    """_source, _first, _cdf: cumulative Poisson probabilities of the counts _first, _first + 1, ...
 
-    The point probability is taken by logarithms, so large rates do not underflow.
+    Both ends lie where the tails are below any hashed number, so an array has some 24 root(rate) entries, also for
+    a small source with a large rate.  Point probabilities are taken by logarithms, so large rates do not underflow.
+    Sources with rate 0 have no row.
     """
-    top = (F.ceil(rate + 12 * F.sqrt(rate) + 24)).cast("int")
-    points = F.transform(F.sequence(F.lit(0), top), lambda k: F.exp(k * F.log(rate) - rate - F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))))
-    sums = F.aggregate(points, F.struct(F.array().cast("array<double>").alias("c"), F.lit(0.0).alias("s")), lambda a, p: F.struct(F.concat(a["c"], F.array(a["s"] + p)).alias("c"), (a["s"] + p).alias("s")))["c"]
-    return F.when(rate > 0, sums).otherwise(F.array(F.lit(1.0)))
+    rate, k, n = F.col("_rate"), F.col("_k"), F.col("_first").cast("double")
+    reach = 12 * F.sqrt(rate) + 24
+    first = F.when(rate < 1000, F.lit(0)).otherwise(F.floor(rate - reach)).cast("long")
+    points = own.filter(rate > 0).select("_source", "_rate", first.alias("_first"), F.explode(F.sequence(first, F.ceil(rate + reach).cast("long"))).alias("_k"))
+    up = Window.partitionBy("_source").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    # The logarithm of _first! by Stirling's series (_first is 0 or some hundreds at least), then factor by factor.
+    start = F.when(n > 0, n * F.log(n) - n + F.log(2 * math.pi * n) / 2 + 1 / (12 * n) - 1 / (360 * n * n * n)).otherwise(0.0)
+    factors = F.sum(F.when(k > F.col("_first"), F.log(k.cast("double"))).otherwise(0.0)).over(up)
+    summed = points.withColumn("_p", F.exp(k * F.log(rate) - rate - start - factors)).withColumn("_c", F.sum("_p").over(up))
+    return summed.groupBy("_source", "_first").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_c"))), lambda x: x["_c"]).alias("_cdf"))
 
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, size: float = 1.0, seed: int = SEED, rest: bool = True) -> DataFrame:
     """``docs`` repeated by its sources' rates, with _copy (from 0) and _order, globally shuffled."""
-    table_of_rates = rates(docs, targets, size, rest).select("_source", distribution(F.col("_rate")).alias("_cdf"))
+    table_of_rates = keep(distributions(rates(docs, targets, size, rest)), "distributions")
+    if table_of_rates.agg(F.coalesce(F.sum(F.size("_cdf")), F.lit(0))).first()[0] <= MOST_ENTRIES:
+        table_of_rates = F.broadcast(table_of_rates)
     drawn = docs.join(table_of_rates, F.col("source").eqNullSafe(F.col("_source")))
     u = uniform(F.col("doc_id"), seed=seed)
-    count = F.size(F.filter("_cdf", lambda c: c < F.col("_u")))
+    count = (F.col("_first") + F.size(F.filter("_cdf", lambda c: c < F.col("_u")))).cast("int")
     copies = drawn.withColumn("_u", u).withColumn("_n", count).filter("_n > 0")
     out = copies.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
     return out.withColumn("_order", uniform(F.col("doc_id"), F.col("_copy"), seed=seed + 1))
