@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -207,10 +209,41 @@ def category(raw: Column) -> Column:
     return model.lookup({c: c for c in model.PHOTO_CATEGORIES} | model.PHOTO_ALIASES, F.lower(F.trim(raw)), F.lit("other"))
 
 
-def strip_accents(text: Column) -> Column:
+ASCII = bytes(range(128))
+
+
+@cache
+def without_marks(c: str) -> str:
+    """Decomposed (NFD), combining marks dropped."""
+    return "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+
+
+def plain(text: str | None) -> str | None:
+    """The text without combining marks, character by character, or at once where decomposing could change the order."""
+    if text is None or text.isascii():
+        return text
+    found = set(text.encode().translate(None, ASCII).decode())
+    if any(unicodedata.combining(x) for c in found for x in without_marks(c)):
+        return without_marks.__wrapped__(text)
+    # What comes out of one character is never stripped again, so the order of replacements has no part in it.
+    for c in found:
+        if without_marks(c) != c:
+            text = text.replace(c, without_marks(c))
+    return text
+
+
+def translate_accents(text: Column) -> Column:
+    """The letters of a fixed table only; ``strip_accents`` takes every mark off."""
     return F.translate(text, ACCENTED, PLAIN)
 
 
+def strip_accents(text: Column) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(plain)
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def czech_flags(text: Column) -> tuple[Column, Column, Column]:
     """Share of accented letters above 3 %, four domain words, no English phrases."""
     letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
@@ -221,8 +254,8 @@ def czech_flags(text: Column) -> tuple[Column, Column, Column]:
 
 
 def topic_score(text: Column) -> Column:
-    plain = strip_accents(text)
-    hits = [plain.rlike("(?i)" + p).cast("int") for _, p in TOPICS] + [c.cast("int") for c in czech_flags(text)]
+    bare = strip_accents(text)
+    hits = [bare.rlike("(?i)" + p).cast("int") for _, p in TOPICS] + [c.cast("int") for c in czech_flags(text)]
     return reduce(lambda a, b: a + b, hits)
 
 

@@ -379,7 +379,13 @@ def json_tags(listings):
 
 @query("SELECT doc_id, translate(left(text, 2000), 'áčďéěíňóřšťúůýž', 'acdeeinorstuuyz') AS plain FROM documents WHERE lang = 'en'")
 def accents_stripped(documents):
-    return documents.filter("lang = 'en'").select("doc_id", text.strip_accents(F.left("text", F.lit(2000))).alias("plain"))
+    return documents.filter("lang = 'en'").select("doc_id", text.translate_accents(F.left("text", F.lit(2000))).alias("plain"))
+
+
+@query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
+def accents_stripped_all(documents):
+    """Whole texts of all rows; accents_stripped is bound to its SQL's languages, prefix and letters."""
+    return documents.select("doc_id", text.strip_accents(F.col("text")).alias("plain"))
 
 
 @query()
