@@ -82,8 +82,11 @@ def per_area_batch(price: Column, built: Column, land: Column) -> Column:
 
 
 def price_display(price: Column, missing: str = "neuvedena") -> Column:
-    """Millions with one digit, thousands without, a label for null."""
-    return F.when(price.isNull(), missing).when(price >= 1_000_000, F.concat(F.format_string("%.1f", (price / 1_000_000).cast("double")), F.lit(" M"))).otherwise(F.concat(F.format_string("%.0f", (price / 1000).cast("double")), F.lit(" k")))
+    """Millions with one digit, thousands without, a label for null; decimals, ties away from zero."""
+    exact = price.cast("decimal(20,4)")
+    millions = F.round(exact / 1_000_000, 1).cast("decimal(20,1)").cast("string")
+    thousands = F.round(exact / 1000, 0).cast("decimal(20,0)").cast("string")
+    return F.when(price.isNull(), missing).when(price >= 1_000_000, F.concat(millions, F.lit(" M"))).otherwise(F.concat(thousands, F.lit(" k")))
 
 
 def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:

@@ -329,6 +329,13 @@ def price_display(listings):
     return listings.filter("(CAST(price AS BIGINT) % 1000 <> 500 AND CAST(price AS BIGINT) % 100000 <> 50000) OR price IS NULL").select("id", numbers.price_display(F.col("price")).alias("shown"))
 
 
+@query("""WITH c AS (SELECT id, price, CAST(price * 100 AS BIGINT) AS cents FROM listings), r AS (SELECT *, (cents + 5000000) // 10000000 AS tenths, (cents + 50000) // 100000 AS thousands FROM c)
+SELECT id, CASE WHEN price IS NULL THEN 'neuvedena' WHEN price >= 1000000 THEN concat(tenths // 10, '.', tenths % 10, ' M') ELSE concat(thousands, ' k') END AS shown FROM r""")
+def price_display_all(listings):
+    """Every listing, rounding ties too; price_display is bound to its SQL's rows."""
+    return listings.select("id", numbers.price_display(F.col("price")).alias("shown"))
+
+
 @query("SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'House' WHEN 'SMALL' THEN 'Land' ELSE 'Other' END AS kind FROM part")
 def map_lookup_default(part):
     from ..model import lookup

@@ -4,7 +4,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from listwright.functions import text
+from listwright.functions import numbers, text
 from listwright.plans import catalog
 
 
@@ -17,3 +17,13 @@ def test_accents_all_marks(spark, sf):
     whole = {r.doc_id: r.text for r in catalog.view(spark, sf, "documents").collect()}
     stripped = catalog.QUERIES["accents_stripped_all"](spark, sf).collect()
     assert len(stripped) == len(whole) and all(r.plain == "".join(c for c in unicodedata.normalize("NFD", whole[r.doc_id]) if unicodedata.category(c) != "Mn") for r in stripped)
+
+
+def test_price_ties(spark, sf):
+    ties = {"1050000.00": "1.1 M", "1150000.00": "1.2 M", "1250000.00": "1.3 M", "1049999.99": "1.0 M", "12345650000.00": "12345.7 M", "500.00": "1 k", "1500.00": "2 k", "2500.00": "3 k", "2499.99": "2 k", "999500.00": "1000 k", "0.00": "0 k"}
+    df = spark.createDataFrame([(p,) for p in [*ties, None]], "p string").withColumn("shown", numbers.price_display(F.col("p").cast("decimal(15,2)")))
+    assert {r.p: r.shown for r in df.collect()} == ties | {None: "neuvedena"}
+
+    listings = catalog.view(spark, sf, "listings")
+    shown = catalog.QUERIES["price_display_all"](spark, sf)
+    assert listings.select("id").exceptAll(shown.select("id")).isEmpty() and shown.count() == listings.count()
