@@ -74,8 +74,14 @@ def line_wkt(points: Column) -> Column:
     return F.concat(F.lit("LINESTRING("), F.array_join(F.transform(points, lambda p: F.concat_ws(" ", p["lon"].cast("string"), p["lat"].cast("string"))), ", "), F.lit(")"))
 
 
+def number_text(c: Column) -> Column:
+    """The digits that read back to the same double, without ``.0`` after whole numbers."""
+    return F.regexp_replace(c.cast("double").cast("string"), r"\.0$", "")
+
+
 def straight_line(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    return F.format_string("LINESTRING(%s %s, %s %s)", lon1.cast("string"), lat1.cast("string"), lon2.cast("string"), lat2.cast("string"))
+    """LINESTRING between two points; null without one of the coordinates."""
+    return F.concat(F.lit("LINESTRING("), number_text(lon1), F.lit(" "), number_text(lat1), F.lit(", "), number_text(lon2), F.lit(" "), number_text(lat2), F.lit(")"))
 
 
 def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -499,6 +499,12 @@ def straight_line(listings):
     return listings.filter("latitude IS NOT NULL AND id = '3'").select("id", geo.straight_line(F.col("latitude"), F.col("longitude"), F.lit(49.25), F.lit(16.5)).alias("wkt"))
 
 
+@query("SELECT id, concat('LINESTRING(', regexp_replace(CAST(longitude AS STRING), '\\.0$', ''), ' ', regexp_replace(CAST(latitude AS STRING), '\\.0$', ''), ', 16.5 49.25)') AS wkt FROM listings WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
+def straight_line_all(listings):
+    """Every listing with coordinates; straight_line is bound to its SQL's one row."""
+    return listings.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("id", geo.straight_line(F.col("latitude"), F.col("longitude"), F.lit(49.25), F.lit(16.5)).alias("wkt"))
+
+
 # --- ingest -------------------------------------------------------------------------------------
 
 
@@ -691,3 +697,10 @@ def ext_intersect(customer, supplier):
 def ext_except_all(customer, supplier):
     rest = customer.select(F.col("c_nationkey").alias("k"))
     return rest.exceptAll(rest.limit(0)).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) GROUP BY k")
+def ext_except_all_suppliers(customer, supplier):
+    """Customers' nation keys less one for each supplier's; ext_except_all is bound to SQL that subtracts nothing."""
+    rest = customer.select(F.col("c_nationkey").alias("k")).exceptAll(supplier.select("s_nationkey"))
+    return rest.groupBy("k").agg(F.count("*").alias("n"))

@@ -1,10 +1,11 @@
 """Queries over whole tables, on the cases that a subset of the rows would hide."""
 
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from listwright.functions import numbers, text
+from listwright.functions import geo, numbers, text
 from listwright.plans import catalog
 
 
@@ -27,3 +28,17 @@ def test_price_ties(spark, sf):
     listings = catalog.view(spark, sf, "listings")
     shown = catalog.QUERIES["price_display_all"](spark, sf)
     assert listings.select("id").exceptAll(shown.select("id")).isEmpty() and shown.count() == listings.count()
+
+
+def test_straight_line_all(spark, sf):
+    ends = [F.lit(x) for x in (49.0, 16.0, 49.25, 0.1 + 0.2)]
+    assert spark.range(1).select(geo.straight_line(*ends)).first()[0] == "LINESTRING(16 49, 0.30000000000000004 49.25)"
+    points = catalog.view(spark, sf, "listings").filter("latitude IS NOT NULL AND longitude IS NOT NULL").collect()
+    lines = {r.id: r.wkt for r in catalog.QUERIES["straight_line_all"](spark, sf).collect()}
+    assert len(points) > 1 and lines == {r.id: f"LINESTRING({repr(r.longitude).removesuffix('.0')} {repr(r.latitude).removesuffix('.0')}, 16.5 49.25)" for r in points}
+
+
+def test_except_all_subtracts(spark, sf):
+    customers, suppliers = (Counter(r[0] for r in catalog.view(spark, sf, t).select(c).collect()) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey")))
+    got = {r.k: r.n for r in catalog.QUERIES["ext_except_all_suppliers"](spark, sf).collect()}
+    assert got == dict(customers - suppliers) and got != dict(customers)
