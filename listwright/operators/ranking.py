@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -77,11 +78,27 @@ def deduplicated_first(df: DataFrame, keys: Sequence[str], position: str) -> Dat
     return top(df, keys, [F.col(position).asc()])
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Row numbers from 1 over the whole table: ranges of the order, numbered within, after the counts of the ranges before.
+
+    The ranges are written once, so that counts and numbers come from the same cut.
+    """
+    cut = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/listwright"
+    cut.write.parquet(path := f"{shared.rstrip('/')}/kept/{uuid.uuid4().hex}/ranges")
+    ranged = df.sparkSession.read.schema(cut.schema).parquet(path)
+    # One row a range.
+    sizes = sorted(ranged.groupBy("_range").count().collect())
+    before = [(r, sum(n for _, n in sizes[:i])) for i, (r, _) in enumerate(sizes)]
+    offsets = df.sparkSession.createDataFrame(before, "_range int, _before long")
+    own = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
+    return own.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_n")).drop("_range", "_before", "_n")
+
+
 def ranked_with_best(entries: DataFrame, score: str, tie: str) -> DataFrame:
-    """Entries by score, with the best score beside every row (an aggregate of one row, not one big window)."""
+    """Entries by score, with the best score beside every row (an aggregate of one row); no window holds the whole table."""
     best = entries.agg(F.max(score).alias("max_score"))
-    n = entries.withColumn("position", F.row_number().over(W.orderBy(F.col(score).desc(), F.col(tie))))
-    return n.crossJoin(F.broadcast(best))
+    return numbered(entries, [F.col(score).desc(), F.col(tie)], "position").crossJoin(F.broadcast(best))
 
 
 def topic_ranking(answers: DataFrame) -> DataFrame:

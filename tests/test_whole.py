@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from listwright.functions import geo, numbers, text
+from listwright.operators import ranking
 from listwright.plans import catalog
 
 
@@ -42,3 +43,13 @@ def test_except_all_subtracts(spark, sf):
     customers, suppliers = (Counter(r[0] for r in catalog.view(spark, sf, t).select(c).collect()) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey")))
     got = {r.k: r.n for r in catalog.QUERIES["ext_except_all_suppliers"](spark, sf).collect()}
     assert got == dict(customers - suppliers) and got != dict(customers)
+
+
+def test_rank_in_ranges(spark):
+    rows = [(i, None if i % 50 == 0 else i * 37 % 101) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, s int")
+    got = ranking.ranked_with_best(df, "s", "k")
+    assert "Window" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "windowspecdefinition(s" not in plan
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert {r.k: (r.position, r.max_score) for r in got.collect()} == {k: (i + 1, 100) for i, (k, _) in enumerate(want)}
+    assert ranking.ranked_with_best(df.limit(0), "s", "k").count() == 0
