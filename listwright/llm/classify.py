@@ -1,26 +1,28 @@
 """Toxicity (FTRL-proximal) and quality (Naive Bayes support vectors) over hashed n-grams.
 
 Fitting takes a *bounded sample* of labelled rows: the ``sample`` labelled ids whose hash is smallest
-(default 12,000).  Only their hashed features reach the fit, never the texts, so what the
-fit holds is bounded by the parameter.  Scoring covers every row with weights of a fixed
-size (2**bits), broadcast once.
+(default 12,000).  Only their hashed features reach the fit, never the texts: they are written as a table and
+read partition by partition into one array, whose size is counted beforehand.  Scoring covers every row;
+only the weights that are not zero are sent, and each task spreads them over 2**bits places.
 
 Defined results: null and empty texts have no features and get the score of the bias; labels that
 are null are not used; several labels of one document count one each; with no labels or one class
-only, the bias alone decides; rows that repeat a doc_id are scored separately.
+only, the bias alone decides; rows that repeat a doc_id are scored separately; columns of any other name pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_bytes, crc_mod, table
+from .common import WordHash, as_bytes, crc_mod, keep, table
 from .features import ShapeHash, style_features, word_features
 
 BITS = 20
@@ -31,6 +33,48 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
+@dataclass
+class Examples:
+    """Feature sets of labelled rows in one array; ``starts`` has one entry more than ``labels``."""
+
+    features: np.ndarray
+    starts: np.ndarray
+    labels: np.ndarray
+
+    @classmethod
+    def of(cls, rows) -> Examples:
+        rows = list(rows)
+        starts = np.concatenate(([0], np.cumsum([len(x) for x, _ in rows]))).astype(np.int64)
+        return cls(np.concatenate([np.empty(0, np.uint32), *(x for x, _ in rows)]).astype(np.uint32), starts, np.array([y for _, y in rows], np.int64))
+
+    def __len__(self) -> int:
+        return len(self.labels)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.features[self.starts[k] : self.starts[k + 1]]
+
+    def only(self, wanted: np.ndarray) -> Examples:
+        """The same rows with the features at which ``wanted`` is true."""
+        keep_them = wanted[self.features]
+        counts = np.concatenate(([0], np.cumsum(keep_them)))
+        return Examples(self.features[keep_them], counts[self.starts], self.labels)
+
+
+@dataclass
+class Weights:
+    """The weights that are not zero: places, one row of values per kind, and the biases."""
+
+    at: np.ndarray
+    values: np.ndarray
+    bias: np.ndarray
+    bits: int = BITS
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self.values), 1 << self.bits), np.float32)
+        out[:, self.at] = self.values
+        return out
+
+
 class Ftrl:
     """FTRL-proximal logistic regression with per-coordinate rates and L1 sparsity."""
 
@@ -50,74 +94,84 @@ class Ftrl:
         self.n[at] = n + g * g
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 3, **settings) -> np.ndarray:
-        """Dense float32 weights, the bias last."""
+    def fit(cls, rows: Examples, bits: int = BITS, epochs: int = 3, **settings) -> Weights:
+        """A gradient is at most 1, so a feature seen ``c`` times in all epochs keeps a zero weight while c <= l1:
+        such features are left out, which changes no other weight."""
         model, bias, rng = cls(bits, **settings), 1 << bits, np.random.default_rng(7)
+        rows = rows.only(epochs * np.bincount(rows.features, minlength=1 << bits) > model.l1)
         for _ in range(epochs):
             for k in rng.permutation(len(rows)):
-                model.learn(np.append(rows[k][0], bias), rows[k][1])
-        return model.weights(slice(None)).astype(np.float32)
+                model.learn(np.append(rows[k], bias), int(rows.labels[k]))
+        w = model.weights(slice(None)).astype(np.float32)
+        at = np.flatnonzero(w[:-1])
+        return Weights(at.astype(np.uint32), w[None, at], w[-1:], bits)
 
 
-def fit_nbsvm(rows: list[tuple[np.ndarray, int]], bits: int = BITS, smooth: float = 1.0, c: float = 0.1, epochs: int = 12, blend: float = 0.25, least: int = 3) -> np.ndarray:
+def fit_nbsvm(rows: Examples, bits: int = BITS, smooth: float = 1.0, c: float = 0.1, epochs: int = 12, blend: float = 0.25, least: int = 3) -> Weights:
     """Log-count ratios scale the indicators; dual coordinate descent fits the hinge loss.
 
-    Features of fewer than ``least`` documents are left out.  As in the published
-    method, weights are interpolated with their mean magnitude by ``blend``.
+    The vocabulary is the features of at least ``least`` sampled documents.  Rows are scaled to length 1; the bound of the
+    dual variables is larger for the rarer class.  As published, the result is interpolated with the model's
+    mean magnitude, (1 - blend) * mean|w| + blend * w, which moves it towards Naive Bayes; the bias is the linear model's.
+    Values of the result: ratios, then weights.
     """
     size, bias = 1 << bits, 1 << bits
-    y = np.array([1.0 if label else -1.0 for _, label in rows])
-    counts = np.zeros((2, size))
-    for x, label in rows:
-        counts[int(bool(label))][x] += 1
-    pos, neg = counts[1] + smooth, counts[0] + smooth
+    y = np.where(rows.labels != 0, 1.0, -1.0)
+    owner = np.repeat(rows.labels != 0, np.diff(rows.starts))
+    pos, neg = (np.bincount(rows.features[x], minlength=size) for x in (owner, ~owner))
     n1, n0 = max(1, (y > 0).sum()), max(1, (y < 0).sum())
-    r = np.where(counts.sum(0) >= least, np.log(pos / (n1 + 2 * smooth)) - np.log(neg / (n0 + 2 * smooth)), 0.0)
-    r[np.abs(r) < 0.25] = 0.0
+    r = np.where(pos + neg >= least, np.log((pos + smooth) / (n1 + 2 * smooth)) - np.log((neg + smooth) / (n0 + 2 * smooth)), 0.0)
+    rows = rows.only(r != 0)
     r = np.append(r, 1.0)
-    xs = []
-    for x, _ in rows:
-        at = np.append(x[r[x] != 0], bias)
-        v = r[at]
-        xs.append((at, v / np.sqrt((v * v).sum())))
+    scale = np.array([1 / np.sqrt((r[rows[k]] ** 2).sum() + 1) for k in range(len(rows))])
     w, alpha, rng = np.zeros(size + 1), np.zeros(len(rows)), np.random.default_rng(7)
     top = np.where(y > 0, c, c * n1 / n0) * 10
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            at, v = xs[k]
+            at = np.append(rows[k], bias)
+            v = r[at] * scale[k]
             g = y[k] * (w[at] @ v) - 1
             new = min(max(alpha[k] - g, 0.0), top[k])
             if new != alpha[k]:
                 w[at] += (new - alpha[k]) * y[k] * v
                 alpha[k] = new
-    mean = np.abs(w[:-1]).sum() / max(1, (w[:-1] != 0).sum())
-    w = (1 - blend) * mean * np.sign(w) * (w != 0) + blend * w if len(rows) and blend < 1 else w
-    return np.append(r, w).astype(np.float32)
+    at = np.flatnonzero(r[:-1])
+    mean = np.abs(w[at]).mean() if len(at) else 0.0
+    return Weights(at.astype(np.uint32), np.stack([r[at], (1 - blend) * mean + blend * w[at]]).astype(np.float32), w[-1:].astype(np.float32), bits)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """text and label of the ``sample`` labelled rows with the smallest hashes."""
-    own = labels.select(F.col("doc_id").alias("_label_id"), F.col(label).cast("int").alias("_label")).filter(F.col("_label").isNotNull() & F.col("_label_id").isNotNull())
-    own = own.orderBy(F.xxhash64("_label_id"), "_label_id", "_label").limit(sample)
+    """text, label and order of the ``sample`` labelled rows with the smallest hashes."""
+    own = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).filter("label IS NOT NULL AND id IS NOT NULL")
+    own = own.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     # At most ``sample`` pairs of numbers: the bound is what makes this broadcast safe.
-    return docs.join(F.broadcast(own), F.col("doc_id") == F.col("_label_id")).select("text", "_label", F.xxhash64("_label_id").alias("_order"))
+    texts = docs.select(F.col("doc_id").alias("id"), as_bytes("text").alias("text"))
+    return texts.join(F.broadcast(own), "id").select("text", "label", F.xxhash64("id").alias("at"))
 
 
-def featured(rows: DataFrame, featurise: Callable[[], Callable[[bytes], np.ndarray]]) -> list[tuple[np.ndarray, int]]:
+def featured(rows: DataFrame, featurise: Callable[[], Callable[[bytes], np.ndarray]]) -> Examples:
     """Features of the sampled rows, in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = featurise()
         for b in batches:
             found = [one(t).tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1), b.column(2)], names=["x", "label", "at"])
-
-    got = rows.select(as_bytes("text"), "_label", "_order").mapInArrow(run, "x binary, label int, at long").collect()
-    got.sort(key=lambda r: (r["at"], bytes(r["x"])))
-    return [(np.frombuffer(bytes(r["x"]), np.uint32), int(r["label"])) for r in got]
-
-
-def scored(docs: DataFrame, weights: np.ndarray, featurise, margin, extra: dict[str, Column]) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1), b.column(2), pa.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in found], pa.int64())], names=["x", "label", "at", "tie"])
+
+    kept = keep(rows.mapInArrow(run, "x binary, label int, at long, tie long"), "features")
+    order = kept.select(F.octet_length("x").alias("n"), "label", "at", "tie").toPandas().sort_values(["at", "tie", "label"])
+    starts = np.concatenate(([0], np.cumsum(order["n"].to_numpy() // 4)))
+    place: dict[tuple[int, int, int], list[int]] = {}
+    for k, key in enumerate(zip(order["at"], order["tie"], order["label"], strict=True)):
+        place.setdefault(key, []).append(k)
+    out = np.empty(starts[-1], np.uint32)
+    for r in kept.toLocalIterator():
+        k = place[r["at"], r["tie"], r["label"]].pop()
+        out[starts[k] : starts[k + 1]] = np.frombuffer(r["x"], np.uint32)
+    return Examples(out, starts, order["label"].to_numpy())
+
+
+def scored(docs: DataFrame, weights: Weights, featurise, margin, extra: dict[str, Column]) -> DataFrame:
     """doc_id, the ``extra`` columns, score and predicted for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     names = list(extra)
@@ -125,9 +179,9 @@ def scored(docs: DataFrame, weights: np.ndarray, featurise, margin, extra: dict[
     kinds = ", ".join(f"{n} {src.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, w = featurise(), sent.value
+        one, w, bias = featurise(), sent.value.dense(), float(sent.value.bias[0])
         for b in batches:
-            score = np.array([float(sigmoid(margin(w, one(t)))) for t in b.column(1).to_pylist()])
+            score = np.array([float(sigmoid(margin(w, bias, one(t)))) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(2 + i) for i in range(len(names))), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", *names, "score", "predicted"])
 
     return src.mapInArrow(run, f"doc_id long, {kinds + ', ' if kinds else ''}score double, predicted int")
@@ -149,31 +203,29 @@ def quality_features(bits: int = BITS):
     return make
 
 
-def linear_margin(w: np.ndarray, x: np.ndarray) -> float:
-    return float(w[x].sum(dtype=np.float64) + w[-1])
+def linear_margin(w: np.ndarray, bias: float, x: np.ndarray) -> float:
+    return float(w[0, x].sum(dtype=np.float64)) + bias
 
 
-def scaled_margin(w: np.ndarray, x: np.ndarray) -> float:
-    """Margin of the log-count-ratio model; ``w`` holds ratios, then weights, each with the bias."""
-    half = len(w) // 2
-    at = np.append(x[w[x] != 0], half - 1)
-    v = w[at].astype(np.float64)
-    return 3.0 * float(w[half + at] @ v / np.sqrt((v * v).sum()))
+def scaled_margin(w: np.ndarray, bias: float, x: np.ndarray) -> float:
+    """Margin of the log-count-ratio model; ``w`` holds ratios, then weights."""
+    r = w[0, x].astype(np.float64)
+    return 3.0 * (float(w[1, x] @ r) + bias) / np.sqrt(r @ r + 1)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
     return Ftrl.fit(featured(sampled(docs, labels, "toxic", sample), toxicity_features()))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
     return fit_nbsvm(featured(sampled(docs, labels, "quality", sample), quality_features()))
 
 
-def score_toxicity(docs: DataFrame, weights: np.ndarray, **extra: Column) -> DataFrame:
+def score_toxicity(docs: DataFrame, weights: Weights, **extra: Column) -> DataFrame:
     return scored(docs, weights, toxicity_features(), linear_margin, extra)
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, **extra: Column) -> DataFrame:
+def score_quality(docs: DataFrame, weights: Weights, **extra: Column) -> DataFrame:
     return scored(docs, weights, quality_features(), scaled_margin, extra)
 
 
@@ -189,14 +241,14 @@ def op10_quality(spark, sf_dir: str) -> DataFrame:
     return score_quality(docs, weights, held_out=crc_mod("doc_id", 3) == 1)
 
 
-def without_toxic(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def without_toxic(docs: DataFrame, weights: Weights) -> DataFrame:
     """Rows of ``docs`` scored below one half, all columns as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("boolean")
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one, w = toxicity_features()(), sent.value
+        one, w, bias = toxicity_features()(), sent.value.dense(), float(sent.value.bias[0])
         for texts in batches:
-            yield texts.map(lambda t: linear_margin(w, one(bytes(t))) >= 0).astype(bool)
+            yield texts.map(lambda t: linear_margin(w, bias, one(bytes(t))) >= 0).astype(bool)
 
     return docs.filter(~toxic(as_bytes("text")))

@@ -9,9 +9,10 @@ Only built-in expressions are used.  Source sizes come from one aggregate with m
 table of rates and distributions has one row per source.  Each output row falls into a hash range, so a source with a
 third of all rows spreads over all tasks.
 
-Defined results: a null source is a source of its own; null texts are kept with size 0 words of weight
-as every row counts one; sources without a target share get the rest in equal parts, or nothing if ``rest`` is false; an empty
-table gives an empty table; rows that repeat a doc_id and text draw the same count.
+Defined results: a null source is a source of its own; null texts are documents like others, as every row
+counts one; sources without a target share get the rest in equal parts, or nothing if ``rest`` is false; an empty
+table gives an empty table; rows that repeat a doc_id and source draw the same count.  The result has the input's
+columns, copy_no and shuffle_key; input columns of these two names are replaced, all others pass whatever their name.
 """
 
 from __future__ import annotations
@@ -67,30 +68,32 @@ def distributions(own: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, size: float = 1.0, seed: int = SEED, rest: bool = True) -> DataFrame:
-    """``docs`` repeated by its sources' rates, with _copy (from 0) and _order, globally shuffled."""
+    """Whole documents repeated by their sources' rates, with copy_no (from 0) and shuffle_key."""
     table_of_rates = keep(distributions(rates(docs, targets, size, rest)), "distributions")
     if table_of_rates.agg(F.coalesce(F.sum(F.size("_cdf")), F.lit(0))).first()[0] <= MOST_ENTRIES:
         table_of_rates = F.broadcast(table_of_rates)
-    drawn = docs.join(table_of_rates, F.col("source").eqNullSafe(F.col("_source")))
-    u = uniform(F.col("doc_id"), seed=seed)
+    passed = [f"`{c}`" for c in docs.columns if c not in ("copy_no", "shuffle_key")]
+    # The documents travel as one column, so that no name of theirs meets a name used here.
+    rows = docs.select(F.struct(*passed).alias("_row"), F.col("source").alias("_own"), F.col("doc_id").alias("_id"))
+    drawn = rows.join(table_of_rates, F.col("_own").eqNullSafe(F.col("_source"))).withColumn("_u", uniform(F.col("_id"), seed=seed))
     count = (F.col("_first") + F.size(F.filter("_cdf", lambda c: c < F.col("_u")))).cast("int")
-    copies = drawn.withColumn("_u", u).withColumn("_n", count).filter("_n > 0")
-    out = copies.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
-    return out.withColumn("_order", uniform(F.col("doc_id"), F.col("_copy"), seed=seed + 1))
+    copies = drawn.select("_row", "_id", count.alias("_n")).filter("_n > 0").select("_row", "_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy_no"))
+    return copies.select("_row.*", "copy_no", uniform(F.col("_id"), F.col("copy_no"), seed=seed + 1).alias("shuffle_key"))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
     """The global order: hash ranges over all tasks, sorted within each."""
-    return mixed.repartitionByRange(F.col("_order")).sortWithinPartitions("_order", "doc_id", "_copy")
+    return mixed.repartitionByRange(F.col("shuffle_key")).sortWithinPartitions("shuffle_key", "doc_id", "copy_no")
 
 
-#: The production mixture: half of the output from the largest domain group, the rest spread evenly.
+#: The production mixture: shares of four sources; all other sources share the rest (0.55) in equal parts.
 TARGETS = {"src0": 0.15, "src1": 0.12, "src2": 0.10, "src3": 0.08}
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"), TARGETS)
-    return shuffled(mixed).select("doc_id", "source", F.col("_copy").alias("copy_no"), F.col("_order").alias("shuffle_key"))
+    """Whole documents are repeated and shuffled; their texts' digests are taken behind the shuffle."""
+    mixed = shuffled(mix(table(spark, sf_dir, "documents"), TARGETS))
+    return mixed.select("doc_id", "source", "copy_no", "shuffle_key", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
 SHARES = " ".join(f"WHEN source = '{k}' THEN {v}" for k, v in TARGETS.items())
@@ -100,8 +103,9 @@ w AS (SELECT sum(n) AS total, coalesce(sum(share), 0) AS given, count(*) FILTER
 r AS (SELECT source, coalesce(share, greatest(0, 1 - given) / open) * total / n AS rate FROM s, w),
 k AS (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 24) AS BIGINT) + 1)) AS k FROM r),
 c AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
-u AS (SELECT doc_id, source, (CAST('0x' || substr(md5('{SEED}|' || doc_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM documents),
-m AS (SELECT doc_id, u.source, count(*) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf < u.u GROUP BY doc_id, u.source)
-SELECT doc_id, source, CAST(copy_no AS INTEGER) AS copy_no, (CAST('0x' || substr(md5('{SEED + 1}|' || doc_id || '|' || copy_no), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS shuffle_key
-FROM (SELECT doc_id, source, unnest(range(0, n)) AS copy_no FROM m)
+u AS (SELECT doc_id, source, text, (CAST('0x' || substr(md5('{SEED}|' || doc_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM documents),
+m AS (SELECT doc_id, u.source, any_value(u.text) AS text, count(*) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf < u.u GROUP BY doc_id, u.source)
+SELECT doc_id, source, CAST(copy_no AS INTEGER) AS copy_no, (CAST('0x' || substr(md5('{SEED + 1}|' || doc_id || '|' || copy_no), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS shuffle_key,
+  octet_length(encode(text)) AS n_bytes, sha256(text) AS text_sha256
+FROM (SELECT doc_id, source, text, unnest(range(0, n)) AS copy_no FROM m)
 """

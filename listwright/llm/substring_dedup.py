@@ -9,11 +9,15 @@ in a bounded block, and the column-wise construction runs in the blocks:
 2. Counting.  Anchors that occur once leave.  Occurrences whose surroundings (112 bytes on both sides) are
    equal as a whole need no comparison; one of them stands for all, whether two or a million.
 3. Blocks.  Different surroundings of one anchor are compared.  Each becomes a row of symbols, its left bytes,
-   with the anchor and the right bytes as ending.  One symbol of every row is inserted per round into
-   the collection's Burrows-Wheeler transform; neighbours in its order with a common prefix over the anchor's window length are repeats.
-   (the endings are sorted once, so only left bytes take rounds).
-4. Anchors with more surroundings than a block holds are split by longer shared strings (halving the range of
-   window offsets each round) until all that remain together are equal; counts decide those.
+   with the anchor and the right bytes as ending (the endings are sorted once, so only left bytes take rounds).  A
+   round inserts one symbol of every row into the collection's Burrows-Wheeler transform and updates the common
+   prefixes of neighbours by range minima; neighbours with a common prefix over the anchor's window length repeat.
+4. An anchor with more surroundings than a block holds is first dealt by content: the 113 window offsets are cut in
+   ranges, and occurrences that agree in what all windows of a range share form a group of their own; then steps 2
+   and 3 again.  Groups that are still too large are cut to single offsets, where a group is one string.
+
+A block's transform is a few megabytes and stays in memory; its segments are read and written in order, as the
+published construction does with files.
 
 Defined results: null is the empty text; texts under 400 bytes lose nothing; rows that repeat a doc_id are
 documents of their own, and equal rows remove each other; null ids keep their row.
@@ -29,16 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, maybe
-from .common import as_bytes, keep, map_rows, mix, table
+from .common import Scratch, as_bytes, map_rows, mix, table
 
 WINDOW = 400
 GRAM = 288
 #: Anchor positions in a window; surroundings reach one less to both sides.
 PLACES = WINDOW - GRAM + 1
 REACH = PLACES - 1
-#: Rows of a collection, and surroundings of one anchor that go into one collection.
+#: Surroundings of one anchor that one collection takes, and rows after which a collection ends at the next anchor.
 ROWS = 1024
-GROUP = 256
+#: Window offsets of the ranges by which larger groups are dealt, level by level.
+WIDTHS = (15, 1)
+TEXT = ["u1", "u2"]
 
 _TABLES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(m)) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _BASES = [0x2127599BF4325C37, 0x880355F21E6D1965]
@@ -97,46 +103,73 @@ def anchors(text: bytes, grams: Rolling, around: Rolling) -> tuple[np.ndarray, n
     return chosen, h[chosen], mix(s + (chosen - a).astype(np.uint64) * np.uint64(1009) + (b - chosen).astype(np.uint64))
 
 
-def collection_order(rows: np.ndarray, lengths: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted suffixes of a collection, by inserting one symbol of every row per round.
+def range_minima(x: np.ndarray, after: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """Minima of x over (after, upto]; ``upto`` ascends."""
+    cuts = np.stack((after + 1, upto + 1), 1).ravel()
+    return np.minimum.reduceat(np.append(x, x[-1:]), cuts)[::2]
+
+
+def collection_order(rows: np.ndarray, lengths: np.ndarray, base: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted suffixes of a collection and their common prefixes, by inserting one symbol of every row per round.
 
-    ``rows``: symbols above 0, right-aligned; row r has ``lengths[r]`` of them and goes on with an ending that the
-    rows share an order of, ``base`` (rank of each row's ending, all endings sort first).  The transform holds, for every
-    suffix so far in sorted order, the symbol before it.  A round fills in those symbols for the newest
-    suffixes; the place of each new suffix is the rank of its symbol (a counting sort of the transform), as
-    old suffixes keep their order.  Returns row and start column of all suffixes, sorted.
+    ``rows``: symbols above 0, right-aligned; row r has ``lengths[r]`` of them and goes on with an ending.  ``base``
+    ranks the rows' endings (all endings sort first), ``shared`` counts the symbols each ending has in common with the
+    one before it.  The transform holds, for every suffix so far in sorted order, the symbol before it.  A round fills in
+    those symbols for the newest suffixes; the place of each new suffix is the rank of its symbol (a counting
+    sort of the transform), as old suffixes keep their order.  Two suffixes that meet under one symbol have one
+    more in common than what follows it, which is the smallest common prefix between the two places they come from;
+    that gives the values of the new suffix and of the one behind it.
+    Returns row and start column of all suffixes, sorted, and the symbols in common with the suffix before.
     """
     m, width = rows.shape
     before = np.zeros(m, np.uint16)
     place = base.astype(np.int64).copy()
     row, start = np.empty(m, np.int32), np.full(m, width, np.int16)
     row[place] = np.arange(m)
+    common = shared.astype(np.int16)
     for column in range(width - 1, -1, -1):
         own = np.flatnonzero(lengths >= width - column)
         if not len(own):
             break
-        before[place[own]] = rows[own, column]
+        own = own[np.argsort(place[own])]
+        source = place[own]
+        before[source] = rows[own, column]
         order = np.argsort(before, kind="stable")
         # Suffixes without a symbol before them (0: rows that ended) sort first and stand for no new suffix.
         ended = len(before) - np.count_nonzero(before)
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(m - ended, m - ended + len(order), dtype=np.int32)
-        new = rank[place[own]]
+        new = rank[source]
         n = len(before) + len(own)
+        # Neighbours under the same symbol, and what they have in common.
+        at = new - (m - ended)
+        values = []
+        for step in (-1, 1):
+            beside = order[np.clip(at + step, 0, len(order) - 1)]
+            known = (at + step >= 0) & (at + step < len(order)) & (before[beside] == before[source])
+            low, high = (beside, source) if step < 0 else (source, beside)
+            there = np.flatnonzero(known)
+            value = np.zeros(len(own), np.int16)
+            if len(there):
+                by = there[np.argsort(high[there], kind="stable")]
+                value[by] = range_minima(common, low[by], high[by]) + 1
+            values.append((value, beside, known))
         old = np.ones(n, bool)
         old[new] = False
         grown = []
-        for was, value in ((before, 0), (row, own), (start, column)):
+        for was, value in ((before, 0), (row, own), (start, column), (common, values[0][0])):
             x = np.empty(n, was.dtype)
             x[old] = was
             x[new] = value
             grown.append(x)
-        before, row, start = grown
+        before, row, start, common = grown
+        value, beside, known = values[1]
+        common[rank[beside[known]]] = value[known]
         if len(own) < m:
             rest = np.flatnonzero(lengths < width - column)
             place[rest] = np.flatnonzero(old)[place[rest]]
         place[own] = new
-    return row, start
+    return row, start, common
 
 
 def repeats(lefts: list[bytes], rights: list[bytes], groups: np.ndarray, origins: np.ndarray) -> list[np.ndarray]:
@@ -144,72 +177,79 @@ def repeats(lefts: list[bytes], rights: list[bytes], groups: np.ndarray, origins
 
     ``origins``: a number per row such that origin - j is the window's place in the corpus.
     """
-    m, width = len(lefts), 2 * REACH + 1
-    # Symbols: 1 to 256 for bytes, 257 for the anchor, 0 for none.
-    rows = np.zeros((m, width), np.uint16)
-    rows[:, REACH] = 257
+    m = len(lefts)
+    # Symbols: 1 to 256 for bytes, 0 for none.
+    rows, ends = np.zeros((2, m, REACH), np.uint16)
     for i, (a, b) in enumerate(zip(lefts, rights, strict=True)):
-        rows[i, REACH - len(a) : REACH] = np.frombuffer(a, np.uint8)
-        rows[i, REACH - len(a) : REACH] += 1
-        rows[i, REACH + 1 : REACH + 1 + len(b)] = np.frombuffer(b, np.uint8)
-        rows[i, REACH + 1 : REACH + 1 + len(b)] += 1
-    lengths = np.array([len(a) for a in lefts])
-    base = np.empty(m, np.int64)
-    base[sorted(range(m), key=lambda i: (groups[i], rights[i]))] = np.arange(m)
-    row, start = collection_order(rows[:, :REACH], lengths, base)
-    room = np.array([len(b) for b in rights])
-    fits = np.flatnonzero(start <= room[row])
-    row, start = row[fits], start[fits].astype(np.int64)
-    if len(fits) < 2:
-        return [np.empty(0, np.int64)] * m
-    # Common prefixes of neighbours, window by window.
-    span = np.arange(PLACES)
-    same = np.zeros(len(fits), bool)
-    for at in range(1, len(fits), 4096):
-        k = np.arange(at, min(at + 4096, len(fits)))
-        near = k[(groups[row[k]] == groups[row[k - 1]]) & (start[k] == start[k - 1])]
-        same[near] = (rows[row[near, None], start[near, None] + span] == rows[row[near - 1, None], start[near - 1, None] + span]).all(1)
-    first = np.flatnonzero(~same)
-    place = origins[row] - (REACH - start)
+        rows[i, REACH - len(a) :] = np.frombuffer(a, np.uint8)
+        rows[i, REACH - len(a) :] += 1
+        ends[i, : len(b)] = np.frombuffer(b, np.uint8)
+        ends[i, : len(b)] += 1
+    order = np.array(sorted(range(m), key=lambda i: (groups[i], rights[i])))
+    base, shared = np.empty(m, np.int64), np.zeros(m, np.int64)
+    base[order] = np.arange(m)
+    # Endings of one group have the anchor and the start of their right bytes in common.
+    x, y = ends[order[:-1]], ends[order[1:]]
+    equal = np.logical_and.accumulate((x == y) & (x > 0), 1).sum(1)
+    shared[1:] = np.where(groups[order[:-1]] == groups[order[1:]], equal + 1, 0)
+    row, start, common = collection_order(rows, np.array([len(a) for a in lefts]), base, shared)
+    # A window is j left bytes, the anchor (one symbol) and REACH - j right bytes.
+    first = np.flatnonzero(common < PLACES)
+    j = REACH - start.astype(np.int64)
+    place = origins[row] - j
     lo, hi = (f.reduceat(place, first) for f in (np.minimum, np.maximum))
-    found = (lo < hi)[np.cumsum(~same) - 1]
-    row, j = row[found], (REACH - start)[found]
-    order = np.argsort(row, kind="stable")
-    return np.split(j[order], np.cumsum(np.bincount(row, minlength=m))[:-1])
+    found = (lo < hi)[np.cumsum(common < PLACES) - 1]
+    row, j = row[found], j[found]
+    by = np.argsort(row, kind="stable")
+    return np.split(j[by], np.cumsum(np.bincount(row, minlength=m))[:-1])
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(a, s, uid, pos) of all anchors; uid identifies a row's id and text."""
+    """(a, s, u1, u2, pos) of all anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, around = Rolling(0), Rolling(1)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                uids, texts = part.column(0).to_numpy(), part.column(1).to_pylist()
-                found = [anchors(t, grams, around) for t in texts]
+                found = [anchors(t, grams, around) for t in part.column(2).to_pylist()]
                 sizes = [len(f[0]) for f in found]
                 pos, a, s = (np.concatenate([f[i] for f in found]) for i in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(np.repeat(uids, sizes)), pa.array(pos.astype(np.int32))], names=["a", "s", "uid", "pos"])
+                names = [pa.array(np.repeat(part.column(i).to_numpy(), sizes)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), *names, pa.array(pos.astype(np.int32))], names=["a", "s", "u1", "u2", "pos"])
 
-    return docs.select("uid", as_bytes("text")).mapInArrow(run, "a long, s long, uid long, pos int")
+    return docs.select(*TEXT, as_bytes("text")).mapInArrow(run, "a long, s long, u1 long, u2 long, pos int")
+
+
+def of_keys(rows: DataFrame, marks: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """Rows whose key is (``left_semi``) or is not (``left_anti``) among ``marks`` (on, cnt: its rows).
+
+    Keys with more than a thousandth of all marked rows would fill a task: of these there are at most a thousand, so
+    they are sent to the rows; the others meet their rows in an exchange.
+    """
+    limit = (marks.agg(F.sum("cnt")).first()[0] or 0) / 1000
+    hot, cold = F.broadcast(marks.filter(F.col("cnt") > limit).select(on)), marks.filter(F.col("cnt") <= limit).select(on)
+    rest = rows.join(hot, on, "left_anti").join(cold, on, how)
+    return rest if how == "left_anti" else rows.join(hot, on, "left_semi").unionByName(rest)
 
 
 def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(a, uid, pos, left, right, cnt) for ``wanted`` (uid, pos, a, cnt): the bytes beside each anchor."""
-    asked = wanted.groupBy("uid").agg(F.collect_list(F.struct("pos", "a", "cnt")).alias("asked"))
-    texts = maybe(docs.select("uid", "text"), "uid", bloom(asked, "uid")).join(asked, "uid").dropDuplicates(["uid"]).select("uid", as_bytes("text").alias("t"), "asked.pos", "asked.a", "asked.cnt")
+    """(key, u1, u2, pos, left, right, cnt) for ``wanted``, the bytes beside each anchor."""
+    asked = wanted.groupBy(TEXT).agg(F.collect_list(F.struct("pos", "a", "cnt")).alias("asked"))
+    own = maybe(docs.select(*TEXT, "text"), "u1", bloom(wanted, "u1")).join(asked, TEXT).dropDuplicates(TEXT)
+    texts = own.select(*TEXT, as_bytes("text").alias("t"), "asked.pos", "asked.a", "asked.cnt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uid, t, ps, a, cnt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([uid] * len(ps), pa.int64()), pa.array(ps, pa.int32()), pa.array([t[max(0, p - REACH) : p] for p in ps], pa.binary()), pa.array([t[p + GRAM : p + GRAM + REACH] for p in ps], pa.binary()), pa.array(cnt, pa.int64())], names=["a", "uid", "pos", "left", "right", "cnt"])
+            for u1, u2, t, ps, a, cnt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = len(ps)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([u1] * n, pa.int64()), pa.array([u2] * n, pa.int64()), pa.array(ps, pa.int32()), pa.array([t[max(0, p - REACH) : p] for p in ps], pa.binary()), pa.array([t[p + GRAM : p + GRAM + REACH] for p in ps], pa.binary()), pa.array(cnt, pa.int64())], names=["key", "u1", "u2", "pos", "left", "right", "cnt"])
 
-    return texts.mapInArrow(run, "a long, uid long, pos int, left binary, right binary, cnt long")
+    return texts.mapInArrow(run, "key long, u1 long, u2 long, pos int, left binary, right binary, cnt long")
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    """(uid, lo, hi): repeated byte ranges found in the collections."""
+    """(u1, u2, lo, hi): repeated byte ranges found in the collections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -217,22 +257,22 @@ def compared(rows: DataFrame) -> DataFrame:
         def flush(part: list[tuple]) -> pa.RecordBatch:
             names: dict[int, int] = {}
             groups = np.array([names.setdefault(r[0], len(names)) for r in part])
-            # Places in the corpus: documents far apart, positions as they are.
-            docs: dict[int, int] = {}
-            origins = np.array([(docs.setdefault(r[1], len(docs)) << 32) + r[2] for r in part], np.int64)
-            uid, lo, hi = [], [], []
-            for r, js in zip(part, repeats([r[3] for r in part], [r[4] for r in part], groups, origins), strict=True):
+            # Places in the corpus: texts far apart, positions as they are.
+            docs: dict[tuple, int] = {}
+            origins = np.array([(docs.setdefault(r[1:3], len(docs)) << 32) + r[3] for r in part], np.int64)
+            out: list[tuple] = []
+            for r, js in zip(part, repeats([r[4] for r in part], [r[5] for r in part], groups, origins), strict=True):
                 if len(js):
-                    starts = np.sort(r[2] - js)
+                    starts = np.sort(r[3] - js)
                     cut = np.flatnonzero(np.diff(starts) > WINDOW)
-                    lo += starts[np.concatenate(([0], cut + 1))].tolist()
-                    hi += (starts[np.concatenate((cut, [len(starts) - 1]))] + WINDOW).tolist()
-                    uid += [r[1]] * (len(cut) + 1)
-            return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["uid", "lo", "hi"])
+                    lo, hi = starts[np.concatenate(([0], cut + 1))], starts[np.concatenate((cut, [len(starts) - 1]))] + WINDOW
+                    out += [(r[1], r[2], a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            u1, u2, lo, hi = zip(*out, strict=True) if out else ((),) * 4
+            return pa.RecordBatch.from_arrays([pa.array(u1, pa.int64()), pa.array(u2, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["u1", "u2", "lo", "hi"])
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                # Rows come sorted by anchor; a collection ends between anchors.
+                # Rows come sorted by group; a collection ends between groups.
                 if len(held) >= ROWS and held[-1][0] != r[0]:
                     yield flush(held)
                     held = []
@@ -240,57 +280,60 @@ def compared(rows: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    return rows.select("a", "uid", "pos", "left", "right").mapInArrow(run, "uid long, lo int, hi int")
-
-
-def halved(rows: DataFrame) -> list[DataFrame]:
-    """Anchors with too many surroundings, split by halving the offset range; (uid, lo, hi) tables."""
-    found, level = [], 0
-    rows = rows.select(F.col("a").alias("key"), "uid", "pos", "left", "right", "cnt", F.lit(0).alias("j0"), F.lit(REACH).alias("j1"))
-    while not (rows := keep(rows, f"halves{level}")).isEmpty():
-        mid = ((F.col("j0") + F.col("j1")) / 2).cast("int")
-        sides = rows.select("*", F.explode(F.array(F.struct(F.col("j0").alias("k0"), mid.alias("k1")), F.struct((mid + 1).alias("k0"), F.col("j1").alias("k1")))).alias("h")).select("*", "h.k0", "h.k1").filter("k0 <= k1")
-        # A window of offset j takes the last j left bytes and the first REACH - j right bytes.
-        sides = sides.withColumn("k1", F.least("k1", F.length("left"))).withColumn("k0", F.greatest("k0", REACH - F.length("right"))).filter("k0 <= k1")
-        name = F.xxhash64("key", "h.k0", "h.k1")
-        core = F.expr("concat(substring(left, length(left) - h.k0 + 1, h.k0), X'00', substring(right, 1, greatest(0, {0} - h.k1)))".format(REACH))
-        whole = F.expr("concat(substring(left, length(left) - least(length(left), h.k1) + 1, least(length(left), h.k1)), X'00', substring(right, 1, {0} - h.k0))".format(REACH))
-        # A side that the row covers only in part has a shorter core; it is compared on what all its rows have.
-        sides = sides.filter((F.length("left") >= F.col("h.k0")) & (F.length("right") >= REACH - F.col("h.k1")))
-        sides = keep(sides.select(F.xxhash64(name, core).alias("key"), F.xxhash64(F.lit(5), whole).alias("w"), "uid", "pos", "left", "right", "cnt", F.col("h.k0").alias("j0"), F.col("h.k1").alias("j1"), "k0", "k1"), "sides")
-        sizes = sides.groupBy("key").agg(F.sum("cnt").alias("n"), F.min("w").alias("w0"), F.max("w").alias("w1")).filter("n > 1")
-        alive = sides.join(sizes, "key")
-        done = (F.col("w0") == F.col("w1")) | (F.col("j0") == F.col("j1"))
-        found.append(keep(alive.filter(done & (F.col("cnt") == 1)).select("uid", (F.col("pos") - F.col("k1")).alias("lo"), (F.col("pos") - F.col("k0") + WINDOW).alias("hi")), "found"))
-        rows = alive.filter(~done).select("key", "uid", "pos", "left", "right", "cnt", "j0", "j1")
-        level += 1
-    return found
-
-
-def removed_ranges(docs: DataFrame) -> DataFrame:
-    """uid, spans (array of lo, hi): byte ranges to remove, before merging."""
-    rows = keep(anchor_rows(docs), "anchors")
-    again = keep(rows.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "again")
-    shared = maybe(rows, "a", bloom(again, "a")).join(again, "a", "left_semi")
-    shared = keep(shared, "shared")
-    kinds = keep(shared.groupBy("a", "s").agg(F.count("*").alias("cnt"), F.min(F.struct("uid", "pos")).alias("x")).select("a", "s", "cnt", "x.uid", "x.pos"), "kinds")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "u1", "u2", "pos")
+    return dealt.select("key", "u1", "u2", "pos", "left", "right").mapInArrow(run, "u1 long, u2 long, lo int, hi int")
+
+
+def sides(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` dealt by ranges of ``width`` window offsets: key by what a range's windows share, ``whole`` by all it sees.
+
+    A window of offset j takes the last j left bytes and the first REACH - j right bytes.
+    """
+    cut = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(REACH), F.lit(width))).alias("j0")).withColumn("j1", F.least(F.col("j0") + (width - 1), F.lit(REACH)))
+    cut = cut.withColumn("k0", F.greatest("j0", REACH - F.length("right"))).withColumn("k1", F.least("j1", F.length("left"))).filter("k0 <= k1")
+
+    def part(left: str, right: str) -> tuple:
+        return F.expr(f"substring(left, length(left) - {left} + 1, {left})"), F.expr(f"substring(right, 1, {right})")
+
+    core, whole = part("j0", f"({REACH} - j1)"), part("k1", f"({REACH} - k0)")
+    return cut.select(F.xxhash64("key", "j0", F.lit(width), *core).alias("key"), F.xxhash64(F.lit(5), "k0", "k1", *whole).alias("whole"), "u1", "u2", "pos", whole[0].alias("left"), whole[1].alias("right"), "cnt", "k0", "k1")
+
+
+def removed_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """u1, u2, spans (array of lo, hi): byte ranges to remove, before merging."""
+    rows = scratch.keep(anchor_rows(docs), "anchors")
+    again = scratch.keep(rows.groupBy("a").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "again")
+    # The filter passes some anchors that occur once; the counts below drop them.
+    shared = scratch.keep(maybe(rows, "a", bloom(again, "a")), "shared")
+    scratch.drop("anchors", "again")
+    kinds = scratch.keep(shared.groupBy("a", "s").agg(F.count("*").alias("cnt"), *(F.first(c).alias(c) for c in ("u1", "u2", "pos"))), "kinds")
     # Whole surroundings that occur twice.
-    twice = shared.join(kinds.filter("cnt > 1").select("a", "s"), ["a", "s"], "left_semi").select("uid", (F.col("pos") - REACH).alias("lo"), (F.col("pos") + GRAM + REACH).alias("hi"))
+    twice = of_keys(shared, kinds.filter("cnt > 1").select("a", "s", "cnt"), ["a", "s"])
+    found = [twice.select(*TEXT, (F.col("pos") - REACH).alias("lo"), (F.col("pos") + GRAM + REACH).alias("hi"))]
     # Different surroundings of one anchor, at least one of them alone.
     groups = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.min("cnt").alias("least")).filter("kinds > 1 AND least = 1").select("a", "kinds")
-    wanted = keep(kinds.join(groups, "a").select("uid", "pos", "a", "cnt", "kinds"), "wanted")
-    beside = surroundings(docs, wanted.select("uid", "pos", "a", "cnt"))
-    large = wanted.filter(F.col("kinds") > GROUP).select("a").distinct()
-    found = [twice]
-    if not large.isEmpty():
-        beside = keep(beside, "beside")
-        found += halved(beside.join(large, "a", "left_semi"))
-        beside = beside.join(large, "a", "left_anti")
-    found.append(compared(beside.repartition("a").sortWithinPartitions("a", "uid", "pos")))
+    wanted = scratch.keep(kinds.join(groups, "a").select(*TEXT, "pos", "a", "cnt", "kinds"), "wanted")
+    large = wanted.filter(F.col("kinds") > ROWS).groupBy(F.col("a").alias("key")).agg(F.count("*").alias("cnt"))
+    large = scratch.keep(large, "large")
+    beside = scratch.keep(surroundings(docs, wanted), "beside")
+    found.append(compared(of_keys(beside, large, ["key"], "left_anti")))
+    rest = of_keys(beside, large, ["key"])
+    for level, width in enumerate(WIDTHS):
+        if level and rest.isEmpty():
+            break
+        cut = scratch.keep(sides(rest, width), f"sides{level}")
+        kinds = scratch.keep(cut.groupBy("key", "whole").agg(F.sum("cnt").alias("cnt")), f"kinds{level}")
+        same = of_keys(cut.filter("cnt = 1"), kinds.filter("cnt > 1"), ["key", "whole"])
+        found.append(same.select(*TEXT, (F.col("pos") - F.col("k1")).alias("lo"), (F.col("pos") - F.col("k0") + WINDOW).alias("hi")))
+        groups = kinds.groupBy("key").agg(F.count("*").alias("cnt"), F.min("cnt").alias("least")).filter("cnt > 1 AND least = 1")
+        groups = scratch.keep(groups, f"groups{level}")
+        small, large = groups.filter(F.col("cnt") <= ROWS), groups.filter(F.col("cnt") > ROWS)
+        found.append(compared(of_keys(cut, small, ["key"]).dropDuplicates(["key", "whole"])))
+        rest = scratch.keep(of_keys(cut, large, ["key"]).dropDuplicates(["key", "whole"]), f"rest{level}")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return out.groupBy(TEXT).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def merged(spans, size: int) -> list[tuple[int, int]]:
@@ -316,15 +359,21 @@ def cut_out(text: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join([*kept, text[at:]]), sum(hi - lo for lo, hi in gone), len(gone)
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("uid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+def deduplicated(docs: DataFrame, view=lambda kept: kept) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept: ``view`` of the remaining bytes, of every row.
 
-
-def deduplicated(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of the rows that lose something."""
-    own = identified(docs.select("doc_id", "text"))
-    found = keep(removed_ranges(own), "ranges") if found is None else found
-    hit = maybe(own, "uid", bloom(found, "uid")).join(found, "uid")
+    A text that occurs twice goes as a whole, which needs no bytes of it; other texts that lose something
+    meet their ranges in an exchange; the rest stay where they are and send a view only.
+    """
+    scratch = Scratch(docs.sparkSession)
+    whole = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", F.xxhash64(whole).alias("u1"), F.xxhash64(F.lit(17), whole).alias("u2"), whole.alias("text"))
+    size = F.octet_length("text").cast("long")
+    zero = F.lit(0).cast("long")
+    copies = scratch.keep(own.filter(size >= WINDOW).groupBy(TEXT).agg(F.count("*").alias("cnt")).filter("cnt > 1"), "copies")
+    ranges = scratch.keep(removed_ranges(own, scratch), "all_ranges")
+    found = scratch.keep(ranges.join(copies.select(TEXT), TEXT, "left_anti"), "ranges")
+    scratch.drop(*(set(scratch.paths) - {"copies", "ranges"}))
 
     def make():
         def one(doc_id, text, spans):
@@ -333,14 +382,15 @@ def deduplicated(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
 
         return one
 
-    return map_rows(hit.select("doc_id", as_bytes("text"), "spans"), make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", step=128)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+    hit = maybe(own, "u1", bloom(found, "u1")).join(found, TEXT)
+    cut = map_rows(hit.select("doc_id", as_bytes("text"), "spans"), make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", step=128).withColumn("kept", view(F.col("kept")))
+    gone = of_keys(own.select("doc_id", *TEXT, size.alias("n_bytes")), copies, TEXT).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), view(F.lit(b"")).alias("kept"))
+    same = own.select("doc_id", *TEXT, size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), view(F.col("text").cast("binary")).alias("kept"))
+    same = of_keys(same, copies, TEXT, "left_anti").join(found.select(TEXT), TEXT, "left_anti")
+    return cut.select(names).unionByName(gone.select(names)).unionByName(same.select(names))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    own = identified(docs)
-    found = keep(removed_ranges(own), "ranges")
-    changed = deduplicated(docs, found).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    whole = own.select("doc_id", "uid", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-    same = whole.join(found.select("uid"), "uid", "left_anti").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256")
-    return changed.unionByName(same)
+    found = deduplicated(table(spark, sf_dir, "documents"), lambda kept: F.sha2(kept, 256))
+    return found.withColumnRenamed("kept", "kept_sha256")

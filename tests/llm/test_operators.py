@@ -242,9 +242,9 @@ def repeats_expected(texts):
     return out
 
 
-@pytest.mark.parametrize("group", [1024, 1])
+@pytest.mark.parametrize("group", [1024, 4, 1])
 def test_substring_dedup(spark, texts, tmp_path, monkeypatch, group):
-    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(substring_dedup, "ROWS", group)
     rng = random.Random(8)
     common = words(rng, 90)
     more = [(100 + i, words(rng, rng.randrange(5)) + " " + common[rng.randrange(40) : 300 + rng.randrange(300)] + " " + words(rng, 5)) for i in range(12)]
@@ -265,9 +265,14 @@ def test_collection_order():
             rows[i, w - k :] = [rng.choice([1, 2]) for _ in range(k)]
         base = np.empty(m, np.int64)
         base[sorted(range(m), key=lambda i: ends[i])] = np.arange(m)
-        row, start = substring_dedup.collection_order(rows, np.array(n), base)
+        ranked = sorted(range(m), key=lambda i: ends[i])
+        both = [next((k for k, (x, y) in enumerate(zip(ends[a], ends[b], strict=True)) if x != y), 3) + 1 for a, b in zip(ranked, ranked[1:], strict=False)]
+        row, start, common = substring_dedup.collection_order(rows, np.array(n), base, np.array([0, *both]))
         suffixes = [(*rows[a, b:].tolist(), 0, *ends[a]) for a, b in zip(row, start, strict=True)]
         assert suffixes == sorted(suffixes) and len(suffixes) == sum(n) + m
+        for k, (x, y) in enumerate(zip(suffixes, suffixes[1:], strict=False), 1):
+            same = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+            assert common[k] == same
 
 
 # --- media
@@ -374,12 +379,21 @@ def test_mixing_rates(spark):
     n = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
     for source, share in (("big", 0.3), ("mid", 0.5), (None, 0.2)):
         assert abs(n[source] / 12000 - share) < 0.02
-    assert out.drop("_copy", "_order").columns == docs.columns
+    assert out.columns == [*docs.columns, "copy_no", "shuffle_key"]
     again = mixing.mix(docs.repartition(7), {"big": 0.3, "mid": 0.5}, size=2.0)
     assert again.exceptAll(out).count() == 0
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.shuffled(out).count() == out.count()
 
 
+def test_mixing_columns(spark):
+    docs = frame(spark, [(1, "a"), (2, None), (None, ""), (2, None)])
+    clash = docs.withColumns({c: F.lit(5) for c in ("_u", "_n", "_order", "_source", "_first", "_cdf", "_row", "_id", "_own", "copy_no", "dotted.name")})
+    out = mixing.mix(clash, size=4.0)
+    assert sorted(out.columns) == sorted([*clash.columns, "shuffle_key"]) and out.filter("_u <> 5 OR _cdf <> 5 OR _row <> 5").count() == 0
+    assert out.select("doc_id", "text", "copy_no").exceptAll(mixing.mix(docs, size=4.0).select("doc_id", "text", "copy_no")).count() == 0
+    assert out.filter("copy_no = 5").count() < out.count()
+
+
 def test_token_counts(spark, texts):
     pieces = tokens.vocabulary()
     longest, floor = max(map(len, pieces)), min(pieces.values()) - 5
@@ -437,4 +451,70 @@ def test_classifier_edges(spark, labelled, texts):
     w = classify.fit_toxicity(docs, labels.unionByName(labels))
     kept = classify.without_toxic(docs, w)
     assert kept.columns == docs.columns and abs(kept.count() - 720) < 15
-    assert (w != 0).sum() < 2000
+    assert len(w.at) < 2000
+
+
+def test_classifier_column_names(spark, labelled):
+    docs, labels = labelled
+    own = docs.withColumns({c: F.lit(1) for c in ("_label", "label", "id", "at", "_t", "x")})
+    w = classify.fit_toxicity(own, labels.withColumn("text", F.lit("mine")))
+    assert (w.at == classify.fit_toxicity(docs, labels).at).all()
+    assert classify.without_toxic(own, w).columns == own.columns and classify.score_toxicity(own, w).count() == own.count()
+
+
+def examples(rng, n=200):
+    rows = []
+    for i in range(n):
+        x = {rng.randrange(30) for _ in range(6)} | ({31} if i % 3 == 0 and rng.random() < 0.9 else set())
+        rows.append((np.array(sorted(x), np.uint32), int(i % 3 == 0)))
+    return rows
+
+
+def test_ftrl_plain():
+    """Per-coordinate FTRL-proximal, one number at a time."""
+    rows = examples(random.Random(1))
+    got = classify.Ftrl.fit(classify.Examples.of(rows), bits=6, l1=2.0, alpha=0.5)
+    z, n, rng = Counter(), Counter(), np.random.default_rng(7)
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= 2 else -(z[f] - np.sign(z[f]) * 2) / ((1 + n[f] ** 0.5) / 0.5)
+
+    for _ in range(3):
+        for k in rng.permutation(len(rows)):
+            at, y = [*rows[k][0].tolist(), "bias"], rows[k][1]
+            w = {f: weight(f) for f in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for f in at:
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / 0.5 * w[f]
+                n[f] += g * g
+    want = np.array([weight(f) for f in range(64)])
+    assert np.allclose(got.dense()[0], want, atol=1e-5) and abs(got.bias[0] - weight("bias")) < 1e-5
+    assert 0 < len(got.at) < 31
+
+
+def test_nbsvm_plain():
+    """Ratios by counting; the dual by plain lists; interpolation as published."""
+    rows = examples(random.Random(2))
+    got = classify.fit_nbsvm(classify.Examples.of(rows), bits=6)
+    docs = Counter(f for x, _ in rows for f in x.tolist())
+    pos = Counter(f for x, y in rows if y for f in x.tolist())
+    n1 = sum(y for _, y in rows)
+    n0 = len(rows) - n1
+    r = {f: np.log((pos[f] + 1) / (n1 + 2)) - np.log((docs[f] - pos[f] + 1) / (n0 + 2)) for f in docs if docs[f] >= 3}
+    r["bias"] = 1.0
+    w, alpha, rng = Counter(), [0.0] * len(rows), np.random.default_rng(7)
+    for _ in range(12):
+        for k in rng.permutation(len(rows)):
+            at = [f for f in [*rows[k][0].tolist(), "bias"] if f in r]
+            size = sum(r[f] ** 2 for f in at) ** 0.5
+            y = 1 if rows[k][1] else -1
+            g = y * sum(w[f] * r[f] / size for f in at) - 1
+            new = min(max(alpha[k] - g, 0.0), 1.0 if y > 0 else n1 / n0)
+            for f in at:
+                w[f] += (new - alpha[k]) * y * r[f] / size
+            alpha[k] = new
+    names = [f for f in r if f != "bias"]
+    mean = sum(abs(w[f]) for f in names) / len(names)
+    dense = got.dense()
+    assert all(abs(dense[0, f] - r[f]) < 1e-5 and abs(dense[1, f] - (0.75 * mean + 0.25 * w[f])) < 1e-4 for f in names)
+    assert abs(got.bias[0] - w["bias"]) < 1e-4
