@@ -7,7 +7,6 @@ the shared folder and reads it again, so a lost executor never costs more than o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from listwright.llm import classify, decontaminate, mixing, near_dedup
 from listwright.llm.common import crc_mod, keep, table
@@ -36,9 +35,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights, in a global random order."""
-    mixed = mixing.shuffled(mixing.mix(docs, mixing.TARGETS))
-    return mixed.select(*docs.columns, F.col("_copy").alias("copy_no"), F.col("_order").alias("shuffle_key"))
+    """Sources at their target weights, in a global random order; adds copy_no and shuffle_key."""
+    return mixing.shuffled(mixing.mix(docs, mixing.TARGETS))
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mixture", mixture)]
