@@ -1,14 +1,15 @@
 """Reversible line de-duplication: sharded cuckoo filters over exact reference counts.
 
-The *postings* table (key, doc_id) is the exact state.  Reference counts are an
-aggregate of it with map-side combine, so a line that a third of all documents hold
-costs one row per task.  Keys at or over the threshold go into cuckoo filters,
-one per shard of the key space; a filter answers "surely not frequent" without touching
-the exact table and, unlike a Bloom filter, gives entries back when documents leave.
-
-Defined results: a null text is one empty line; null ids form one document for dropping but never
-own a line; rows that repeat a doc_id count as separate documents; extra columns of
-``docs`` are passed through by :meth:`LineDedup.apply`.
+The state is three tables in the shared folder.  *Postings* (key, doc_id) is exact; *counts* (key, documents, largest
+doc_id) is its aggregate with map-side combine, so a line that a third of all documents hold costs one row per task;
+*filters* holds one cuckoo filter per shard of the key space, with the keys at or over the threshold.  A filter answers
+"surely not frequent" without touching the counts and, unlike a Bloom filter, gives entries back: an
+insertion or deletion changes the counts of its own lines only, and the keys that cross the threshold are added to or
+discarded from the filters of their shards; the other filters are taken over as they are.
+
+Defined results: a null text is one empty line; all rows with a null id form one document, which counts once, loses
+frequent lines like others and owns a line only if no document with an id holds it; rows that repeat a doc_id are one
+document too; extra columns of ``docs`` pass through :meth:`LineDedup.apply`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +30,11 @@ BLANKS = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 40
 MIN_DOCS = 5
 SLOTS = 4
-#: Filters up to this size together are sent to every task; beyond it the exact join runs alone.
+#: Filters up to this size together are sent to every task; larger ones meet the postings of their shards in an exchange.
 FILTER_BYTES = 4 << 20
+#: Postings of one shard that meet its filter in one group.
+GROUP_ROWS = 1_000_000
+KEY = ["k1", "k2"]
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -105,14 +109,29 @@ def built(k1: np.ndarray, k2: np.ndarray) -> CuckooFilter:
             room *= 2
 
 
+def changed_filter(cells: bytes | None, add: np.ndarray, drop: np.ndarray) -> bytes | None:
+    """A filter's cells after insertions and deletions; None if it has no room (or is new) and is to be built."""
+    if cells is None:
+        return None
+    f = CuckooFilter.load(cells)
+    f.discard(drop[:, 0], drop[:, 1])
+    try:
+        f.add(add[:, 0], add[:, 1])
+    except OverflowError:
+        return None
+    return f.dump()
+
+
 @dataclass
 class LineDedup:
     """Incremental state.  ``insert`` and ``remove`` return a new state; nothing is changed in place."""
 
     postings: DataFrame
+    counts: DataFrame
+    filters: DataFrame
+    shards: int
     min_chars: int = MIN_CHARS
     min_docs: int = MIN_DOCS
-    shard_keys: int = 50_000
 
     @staticmethod
     def read_postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -138,44 +157,73 @@ class LineDedup:
         return docs.select(F.col("doc_id").cast("long"), as_bytes("text")).mapInArrow(run, "k1 long, k2 long, doc_id long")
 
     @classmethod
-    def of(cls, docs: DataFrame, **settings) -> LineDedup:
-        chars = settings.get("min_chars", MIN_CHARS)
-        return cls(keep(cls.read_postings(docs, chars), "postings"), **settings)
+    def of(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = 50_000) -> LineDedup:
+        postings = keep(cls.read_postings(docs, min_chars), "postings")
+        counts = keep(counted(postings), "counts")
+        shards = max(1, -(-counts.filter(F.col("refs") >= min_docs).count() // shard_keys))
+        state = cls(postings, counts, None, shards, min_chars, min_docs)
+        state.filters = keep(state.built_filters(state.frequent()), "filters")
+        return state
 
     def insert(self, docs: DataFrame) -> LineDedup:
-        more = self.read_postings(docs, self.min_chars)
-        return LineDedup(keep(self.postings.unionByName(more), "postings"), self.min_chars, self.min_docs, self.shard_keys)
+        """``docs``: documents that the state does not hold yet."""
+        more = keep(self.read_postings(docs, self.min_chars), "inserted")
+        counts = self.counts.unionByName(counted(more)).groupBy(KEY).agg(F.sum("refs").alias("refs"), F.max("owner").alias("owner"))
+        return self.moved(keep(self.postings.unionByName(more), "postings"), keep(counts, "counts"), more.select(KEY))
 
     def remove(self, doc_ids: DataFrame) -> LineDedup:
         """``doc_ids``: one column doc_id.  All traces of these documents leave the counts."""
-        left = self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("k1", "k2", "doc_id")
-        return LineDedup(keep(left, "postings"), self.min_chars, self.min_docs, self.shard_keys)
+        # Two readings of the exact table: what leaves, and what stays.
+        ids = doc_ids.select("doc_id").distinct()
+        gone = keep(self.postings.join(ids, "doc_id", "left_semi").select(KEY).distinct(), "removed")
+        left = keep(self.postings.join(ids, "doc_id", "left_anti").select(*KEY, "doc_id"), "postings")
+        # Only the lines of removed documents are counted again: their largest id may have left.
+        again = counted(left.join(gone, KEY, "left_semi"))
+        return self.moved(left, keep(self.counts.join(gone, KEY, "left_anti").unionByName(again), "counts"), gone)
+
+    def moved(self, postings: DataFrame, counts: DataFrame, touched: DataFrame) -> LineDedup:
+        """The new state, with the filters changed by the ``touched`` keys that crossed the threshold."""
+        new = LineDedup(postings, counts, None, self.shards, self.min_chars, self.min_docs)
+        keys = touched.distinct()
+        was, now = (s.frequent().select(KEY).join(keys, KEY, "left_semi") for s in (self, new))
+        both = now.withColumn("by", F.lit(1)).unionByName(was.withColumn("by", F.lit(-1))).groupBy(KEY).agg(F.sum("by").cast("int").alias("by")).filter("by <> 0")
+
+        def change(old: pa.Table, moves: pa.Table) -> pa.Table:
+            cells = old.column("cells").to_pylist()
+            k1, k2, by = (moves.column(c).to_numpy() for c in (*KEY, "by"))
+            k = np.stack((k1, k2), 1)
+            shard = (old if len(cells) else moves).column("shard")[:1]
+            return pa.table({"shard": shard, "cells": pa.array([changed_filter(cells[0] if cells else None, k[by > 0], k[by < 0]) if len(by) else cells[0]], pa.binary())})
+
+        changed = keep(self.filters.groupBy("shard").cogroup(both.withColumn("shard", self.shard()).groupBy("shard")).applyInArrow(change, "shard int, cells binary"), "changed")
+        fresh = new.frequent().withColumn("shard", self.shard()).join(changed.filter("cells IS NULL").select("shard"), "shard", "left_semi")
+        new.filters = keep(changed.filter("cells IS NOT NULL").unionByName(self.built_filters(fresh)), "filters")
+        return new
+
+    def shard(self):
+        return F.pmod("k2", F.lit(self.shards)).cast("int")
 
     def references(self) -> DataFrame:
         """The exact table: key, number of documents, largest doc_id."""
-        return self.postings.groupBy("k1", "k2").agg(F.count("*").alias("refs"), F.max("doc_id").alias("owner"))
+        return self.counts
 
     def frequent(self) -> DataFrame:
-        return self.references().filter(F.col("refs") >= self.min_docs)
+        return self.counts.filter(F.col("refs") >= self.min_docs)
 
-    def filters(self, frequent: DataFrame, shards: int) -> DataFrame:
-        """One cuckoo filter per shard: (shard, cells)."""
+    def built_filters(self, keys: DataFrame) -> DataFrame:
+        """New filters of the shards of ``keys``: (shard, cells)."""
 
-        def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            f = built(pdf["k1"].to_numpy(), pdf["k2"].to_numpy())
-            return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "cells": [f.dump()]})
+        def build(t: pa.Table) -> pa.Table:
+            return pa.table({"shard": t.column("shard")[:1], "cells": pa.array([built(t.column("k1").to_numpy(), t.column("k2").to_numpy()).dump()], pa.binary())})
 
-        return frequent.select("k1", "k2", F.pmod("k2", F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInPandas(build, "shard int, cells binary")
+        return keys.select(*KEY, self.shard().alias("shard")).groupBy("shard").applyInArrow(build, "shard int, cells binary")
 
-    def drops(self) -> DataFrame:
-        """(doc_id, keys): the lines each document loses, as 16-byte keys."""
-        frequent = keep(self.frequent(), "frequent")
-        n = frequent.count()
-        hits = self.postings
-        if n * 16 <= FILTER_BYTES:  # about 2.5 bytes a key, rounded up to powers of two and then some
-            shards = max(1, -(-n // self.shard_keys))
-            cells = {r["shard"]: bytes(r["cells"]) for r in self.filters(frequent, shards).collect()}
-            sent = self.postings.sparkSession.sparkContext.broadcast(cells)
+    def maybe_frequent(self) -> DataFrame:
+        """Postings that the filters may hold."""
+        shards = self.shards
+        size = self.filters.agg(F.coalesce(F.sum(F.length("cells")), F.lit(0))).first()[0]
+        if size <= FILTER_BYTES:
+            sent = self.postings.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["cells"]) for r in self.filters.collect()})
 
             def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = {k: CuckooFilter.load(v) for k, v in sent.value.items()}
@@ -187,13 +235,35 @@ class LineDedup:
                         may[at] = f.holds(k1[at], k2[at])
                     yield batch.filter(pa.array(may))
 
-            hits = hits.mapInArrow(probe, "k1 long, k2 long, doc_id long")
-        exact = hits.join(frequent.select("k1", "k2", "owner"), ["k1", "k2"])
+            return self.postings.mapInArrow(probe, "k1 long, k2 long, doc_id long")
+
+        # A shard's postings are cut in groups of bounded size; each meets a copy of the shard's filter.
+        most = self.counts.groupBy(self.shard().alias("shard")).agg(F.sum("refs").alias("n")).agg(F.max("n")).first()[0] or 0
+        salts = int(most // GROUP_ROWS + 1)
+
+        def meet(cells: pa.Table, rows: pa.Table) -> pa.Table:
+            rows = rows.select([*KEY, "doc_id"])
+            if not cells.num_rows:
+                return rows.slice(0, 0)
+            f = CuckooFilter.load(cells.column("cells")[0].as_py())
+            return rows.filter(pa.array(f.holds(rows.column("k1").to_numpy(), rows.column("k2").to_numpy())))
+
+        copies = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = self.postings.withColumns({"shard": self.shard(), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")})
+        return copies.groupBy("shard", "salt").cogroup(rows.groupBy("shard", "salt")).applyInArrow(meet, "k1 long, k2 long, doc_id long")
+
+    def drops(self) -> DataFrame:
+        """(doc_id, keys): the lines each document loses, as 16-byte keys."""
+        exact = self.maybe_frequent().join(self.frequent().select(*KEY, "owner"), KEY)
         key = F.concat(F.unhex(F.lpad(F.hex("k1"), 16, "0")), F.unhex(F.lpad(F.hex("k2"), 16, "0")))
-        return exact.filter(~F.col("doc_id").eqNullSafe(F.col("owner"))).select(F.col("doc_id").alias("_drop_id"), key.alias("key")).groupBy("_drop_id").agg(F.collect_set("key").alias("_drop_keys"))
+        lost = exact.filter(~F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", key.alias("key"))
+        return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
-    def marked(self, docs: DataFrame) -> DataFrame:
-        return docs.join(self.drops(), F.col("doc_id").cast("long").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
+    def marked(self, docs: DataFrame, *columns: str) -> DataFrame:
+        """``row`` (the ``columns`` of docs, all if none are named) and ``keys``, those that the row's document loses."""
+        drops = self.drops().toDF("id", "keys")
+        rows = docs.select(F.struct(*(f"`{c}`" for c in columns or docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own"))
+        return rows.join(drops, F.col("own").eqNullSafe(F.col("id")), "left").select("row", "keys")
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` with its lines dropped from ``text``; other columns as they are, n_chars renewed."""
@@ -203,10 +273,17 @@ class LineDedup:
         def rest(text: pd.Series, keys: pd.Series) -> pd.Series:
             return pd.Series([t if k is None else kept_lines(t.encode(), wanted(k), chars)[0].decode("utf-8", "replace") for t, k in zip(text, keys, strict=True)], dtype=object)
 
-        out = self.marked(docs).withColumn("text", F.when(F.col("_drop_keys").isNull(), F.col("text")).otherwise(rest(F.coalesce("text", F.lit("")), "_drop_keys")))
+        text = F.col("row.text")
+        out = self.marked(docs).select("row", "keys", F.when(F.col("keys").isNull(), text).otherwise(rest(F.coalesce(text, F.lit("")), "keys")).alias("new"))
+        new = {"text": F.col("new")}
         if "n_chars" in docs.columns:
-            out = out.withColumn("n_chars", F.when(F.col("_drop_keys").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-        return out.select(docs.columns)
+            new["n_chars"] = F.when(F.col("keys").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+        return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+def counted(postings: DataFrame) -> DataFrame:
+    """(k1, k2, refs, owner): documents that hold a key, rows of one doc_id (or of none) as one, and the largest id."""
+    return postings.groupBy(*KEY, "doc_id").agg(F.lit(1).alias("one")).groupBy(KEY).agg(F.count("*").alias("refs"), F.max("doc_id").alias("owner"))
 
 
 def wanted(keys) -> frozenset[bytes]:
@@ -231,7 +308,7 @@ def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
         return one
 
     marked = LineDedup.of(docs).marked(docs)
-    return map_rows(marked.select("doc_id", as_bytes("text"), "_drop_keys"), make, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return map_rows(marked.select("row.doc_id", as_bytes("row.text").alias("text"), "keys"), make, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 SQL = r"""
