@@ -5,9 +5,9 @@ The model is an n-gram model with Dirichlet smoothing:
     P(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1))
     P(w | h) = (c(hw) + K P(w | h')) / (c(h) + K)
 
-so every history h is a state, every seen hw an arc of weight log P(w | h), and every state has a failure
-arc of weight log K / (c(h) + K) to the state of the shorter history h'.  Documents are read
-once from left to right; the state after a token is its last n-1 tokens.
+so every seen history h is a state, every seen hw an arc of weight log P(w | h), and every state has a failure
+arc of weight log K / (c(h) + K) to the state of the shorter history h'.  One traversal from left to right
+carries the state: a token without an arc follows failure arcs until there is one, and what is passed adds up.
 
 No task ever holds the whole model.  Documents are packed in blocks of bounded size.  A block sends each
 distinct n-gram once, with its training count, to the range of the key space that owns it; ranges add up the
@@ -94,16 +94,15 @@ class Block:
         return np.arange(len(self.tokens)) - np.repeat(self.starts, self.counts)
 
 
-def ranges(n: int) -> np.ndarray:
-    """First keys of n equal ranges of the key space."""
-    return np.array([(i << 64) // n for i in range(n)], np.uint64)
+def ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges of the key space each key belongs to."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
 def sent_keys(blocks: DataFrame, order: int, parts: int) -> DataFrame:
     """(part, level, block, keys, counts): a block's distinct n-grams in key order, cut by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts = ranges(parts)
         for b in batches:
             for block, held, sizes, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x = Block(sizes, body, order)
@@ -111,11 +110,11 @@ def sent_keys(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                 for level, keys in enumerate(x.keys):
                     own, inverse = np.unique(keys, return_inverse=True)
                     counts = np.bincount(inverse, weights=train, minlength=len(own)).astype(np.uint32)
-                    cuts = np.append(np.searchsorted(own, firsts), len(own))
-                    at = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+                    at, cuts = np.unique(ranges(own, parts), return_index=True)
+                    cuts = [slice(i, j) for i, j in zip(cuts, [*cuts[1:], len(own)], strict=True)]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(at, pa.int32()), pa.array([level] * len(at), pa.int32()), pa.array([block] * len(at), pa.int64()),
-                        pa.array([own[cuts[p] : cuts[p + 1]].tobytes() for p in at], pa.binary()), pa.array([counts[cuts[p] : cuts[p + 1]].tobytes() for p in at], pa.binary()),
+                        pa.array([own[c].tobytes() for c in cuts], pa.binary()), pa.array([counts[c].tobytes() for c in cuts], pa.binary()),
                     ], names=["part", "level", "block", "keys", "counts"])
 
     return blocks.select("block", "held", "sizes", "body").mapInArrow(run, "part int, level int, block long, keys binary, counts binary")
@@ -138,20 +137,90 @@ def answers(sent: DataFrame) -> DataFrame:
     return sent.groupBy("part", "level").applyInArrow(run, "part int, level int, block long, width int, totals binary, types long, tokens long")
 
 
-def followed(x: Block, totals: list[np.ndarray], docs: int, tokens: int, types: int, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per document: known tokens, unigram and model log10 probabilities.
+class Automaton:
+    """The part of the model that a block's documents can reach.
 
-    All documents of the block are followed at once: ``totals[k]`` are the counts of the arcs
-    of level k at every position, the counts of the states left are those of one level less, one position before.
+    State 0 is the empty history, states 1 to order - 1 are the starts of documents (that many begin marks); then come the
+    seen n-grams of the block, shorter ones first.  ``arcs`` are the sorted numbers state * words + word; those of state 0
+    are ``base``, as every word has one.
     """
-    own = [c[np.unique(k, return_inverse=True)[1]].astype(np.float64) for c, k in zip(totals, x.keys, strict=True)]
-    p = base = (own[0] + 0.5) / (tokens + 0.5 * (types + 1))
-    first = x.place() == 0
-    for level in range(1, len(own)):
-        state = np.concatenate(([0.0], own[level - 1][:-1]))
-        state[first] = docs
-        p = np.where(state > 0, (own[level] + weight * p) / (state + weight), p)
-    return tuple(np.add.reduceat(v, x.starts) for v in (own[0] > 0, np.log10(base), np.log10(p)))
+
+    def __init__(self, x: Block, totals: list[np.ndarray], docs: int, tokens: int, types: int, weight: float):
+        order = len(x.keys)
+        starts = x.place() == 0
+        ids, first = zip(*(np.unique(k, return_index=True, return_inverse=True)[:0:-1] for k in x.keys), strict=True)
+        counts = [c.astype(np.float64) for c in totals]
+        self.word, self.words, self.known = ids[0], len(counts[0]), counts[0] > 0
+        p = (counts[0] + 0.5) / (tokens + 0.5 * (types + 1))
+        self.base = np.log10(p)
+        # Numbers of the states of every n-gram up to order - 1 words; 0 where it was never seen.
+        state, n = [], order
+        for c in counts[: order - 1]:
+            own = np.zeros(len(c), np.int64)
+            own[c > 0] = n + np.arange(np.count_nonzero(c))
+            n += np.count_nonzero(c)
+            state.append(own)
+        self.fail, self.fail_weight = np.zeros(n, np.int64), np.zeros(n)
+        marks = np.arange(1, order)
+        self.fail[marks], self.fail_weight[marks] = marks - 1, np.log10(weight / (docs + weight))
+        self.begin = order - 1 if docs else 0
+        for k, own in enumerate(state):
+            seen = own > 0
+            if k:
+                self.fail[own[seen]] = state[k - 1][ids[k - 1][first[k][seen]]]
+            self.fail_weight[own[seen]] = np.log10(weight / (counts[k][seen] + weight))
+        self.after = state[0] if state else np.zeros(self.words, np.int64)
+        arcs, weights, targets = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)]
+        for k in range(1, order):
+            at = first[k]
+            before = ids[k - 1][at - 1]
+            left = np.where(starts[at], docs, counts[k - 1][before])
+            lower = p[ids[k - 1][at]]
+            p = np.where(left > 0, (counts[k] + weight * lower) / (left + weight), lower)
+            seen = counts[k] > 0
+            source = np.where(starts[at], k, state[k - 1][before])
+            # After an arc of the longest histories the oldest word is forgotten.
+            target = state[k] if k < order - 1 else state[k - 1][ids[k - 1][at]]
+            arcs.append((source * self.words + self.word[at])[seen])
+            weights.append(np.log10(p[seen]))
+            targets.append(target[seen])
+        arcs = np.concatenate(arcs)
+        by = np.argsort(arcs)
+        self.arcs, self.weight, self.target = arcs[by], np.concatenate(weights)[by], np.concatenate(targets)[by]
+
+    def follow(self, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log10 probabilities of documents, all of them one token further each round."""
+        longest = np.argsort(-counts, kind="stable")
+        starts, counts = starts[longest], counts[longest]
+        state, total = np.full(len(starts), self.begin), np.zeros(len(starts))
+        alive = np.searchsorted(-counts, -np.arange(counts[0] if len(counts) else 0), "left")
+        for t, n in enumerate(alive.tolist()):
+            word, now = self.word[starts[:n] + t], state[:n]
+            open_ = np.flatnonzero(now)
+            while len(open_) and len(self.arcs):
+                arc = now[open_] * self.words + word[open_]
+                at = np.minimum(np.searchsorted(self.arcs, arc), len(self.arcs) - 1)
+                hit = self.arcs[at] == arc
+                took, at, rest = open_[hit], at[hit], open_[~hit]
+                total[took] += self.weight[at]
+                now[took] = -self.target[at] - 1
+                total[rest] += self.fail_weight[now[rest]]
+                now[rest] = self.fail[now[rest]]
+                open_ = rest[now[rest] > 0]
+            # States taken by an arc wait as negative numbers; the others are at the empty history.
+            empty = np.flatnonzero(now == 0)
+            total[empty] += self.base[word[empty]]
+            now[empty] = -self.after[word[empty]] - 1
+            state[:n] = -now - 1
+        out = np.empty(len(total))
+        out[longest] = total
+        return out
+
+
+def followed(x: Block, totals: list[np.ndarray], docs: int, tokens: int, types: int, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: known tokens, unigram and model log10 probabilities; ``totals[k]``: counts of the block's sorted n-grams."""
+    a = Automaton(x, totals, docs, tokens, types, weight)
+    return *(np.add.reduceat(v[a.word], x.starts) for v in (a.known, a.base)), a.follow(x.starts, x.counts)
 
 
 def scores(docs: DataFrame, held_out, order: int = ORDER, weight: float = WEIGHT) -> DataFrame:
@@ -183,5 +252,4 @@ def scores(docs: DataFrame, held_out, order: int = ORDER, weight: float = WEIGHT
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = scores(docs, crc_mod("doc_id", 5) == 1)
-    return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+    return scores(docs, crc_mod("doc_id", 5) == 1)
