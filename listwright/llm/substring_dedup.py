@@ -312,9 +312,9 @@ def removed_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     found = [twice.select(*TEXT, (F.col("pos") - REACH).alias("lo"), (F.col("pos") + GRAM + REACH).alias("hi"))]
     # Different surroundings of one anchor, at least one of them alone.
     groups = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.min("cnt").alias("least")).filter("kinds > 1 AND least = 1").select("a", "kinds")
-    wanted = scratch.keep(kinds.join(groups, "a").select(*TEXT, "pos", "a", "cnt", "kinds"), "wanted")
-    large = wanted.filter(F.col("kinds") > ROWS).groupBy(F.col("a").alias("key")).agg(F.count("*").alias("cnt"))
-    large = scratch.keep(large, "large")
+    groups = scratch.keep(groups, "groups")
+    wanted = scratch.keep(of_keys(kinds, groups.select("a", F.col("kinds").alias("cnt")), ["a"]).select(*TEXT, "pos", "a", "cnt"), "wanted")
+    large = groups.filter(F.col("kinds") > ROWS).select(F.col("a").alias("key"), F.col("kinds").alias("cnt"))
     beside = scratch.keep(surroundings(docs, wanted), "beside")
     found.append(compared(of_keys(beside, large, ["key"], "left_anti")))
     rest = of_keys(beside, large, ["key"])
