@@ -50,8 +50,8 @@ def lines_expected(texts):
     holders = {}
     for i, t in texts:
         for k in {key(x) for x in (t or "").split("\n")} - {None}:
-            holders.setdefault(k, []).append(i)
-    hot = {k: max(x for x in v if x is not None) for k, v in holders.items() if len(v) >= 5}
+            holders.setdefault(k, set()).add(i)
+    hot = {k: max((x for x in v if x is not None), default=None) for k, v in holders.items() if len(v) >= 5}
     out = Counter()
     for i, t in texts:
         lines = (t or "").split("\n")
@@ -71,7 +71,7 @@ def line_rows(docs):
         return one
 
     marked = line_dedup.LineDedup.of(docs).marked(docs)
-    return Counter(tuple(r) for r in map_rows(marked.select("doc_id", as_bytes("text"), "_drop_keys"), make, "i long, n long, g long, h string").collect())
+    return Counter(tuple(r) for r in map_rows(marked.select("row.doc_id", as_bytes("row.text").alias("text"), "keys"), make, "i long, n long, g long, h string").collect())
 
 
 def test_line_dedup(spark, texts):
@@ -83,18 +83,44 @@ def test_line_dedup_without_filters(spark, texts, monkeypatch):
     assert line_rows(frame(spark, texts)) == lines_expected(texts)
 
 
+def test_line_dedup_null_ids(spark):
+    """Rows without an id are one document; it owns a line only where no id holds it."""
+    rows = [(None, LONG_LINE)] * 6 + [(i, LONG_LINE + "\n" + LONG_LINE) for i in range(4)] + [(9, "x" * 40)] * 7
+    assert line_rows(frame(spark, rows)) == lines_expected(rows)
+
+
+def filter_state(state):
+    """How many entries the filters of a state have, and whether they hold exactly its frequent keys."""
+    cells = {r.shard: line_dedup.CuckooFilter.load(bytes(r.cells)) for r in state.filters.collect()}
+    keys = [(r.k1, r.k2, r.refs) for r in state.counts.collect()]
+    for k1, k2, refs in keys:
+        if refs >= state.min_docs:
+            assert cells[k2 % state.shards].holds(np.array([k1]), np.array([k2])).all()
+    assert sum((f.cells > 0).sum() for f in cells.values()) == sum(refs >= state.min_docs for *_, refs in keys)
+
+
 def test_line_dedup_reversible(spark, texts):
     docs = frame(spark, texts)
-    first, second = docs.filter("doc_id < 23"), docs.filter("doc_id >= 23 OR doc_id IS NULL")
-    whole = line_dedup.LineDedup.of(first).insert(second)
     table = lambda s: {tuple(r) for r in s.references().collect()}
-    assert table(whole) == table(line_dedup.LineDedup.of(docs))
-    assert table(whole.remove(docs.filter("doc_id >= 30").select("doc_id"))) == table(line_dedup.LineDedup.of(docs.filter("doc_id < 30 OR doc_id IS NULL")))
+    first, second = docs.filter("doc_id < 23"), docs.filter("doc_id >= 23 OR doc_id IS NULL")
+    start = line_dedup.LineDedup.of(first)
+    assert start.filters.count() == 0
+    whole = start.insert(second)
+    assert table(whole) == table(line_dedup.LineDedup.of(docs)) and whole.filters.count() == 1
+    filter_state(whole)
+    fewer = whole.remove(docs.filter("doc_id >= 30 OR doc_id = 21").select("doc_id"))
+    assert table(fewer) == table(line_dedup.LineDedup.of(docs.filter("(doc_id < 30 AND doc_id <> 21) OR doc_id IS NULL")))
+    filter_state(fewer)
+    none = fewer.remove(docs.filter("doc_id >= 20").select("doc_id"))
+    filter_state(none)
+    again = none.insert(docs.filter("doc_id >= 20"))
+    assert table(again) == table(whole)
+    filter_state(again)
     assert line_dedup.LineDedup.of(docs.limit(0)).frequent().count() == 0
 
 
 def test_line_dedup_columns(spark, texts):
-    docs = frame(spark, texts).withColumn("k1", F.lit("mine")).withColumn("owner", F.lit(1))
+    docs = frame(spark, texts).withColumns({c: F.lit(1) for c in ("k1", "owner", "row", "keys", "id", "own", "new", "_drop_id", "_drop_keys")})
     out = line_dedup.LineDedup.of(docs).apply(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert LONG_LINE not in out.filter("doc_id = 20").first()["text"] and out.filter("doc_id = 25").first()["text"].startswith(LONG_LINE)
