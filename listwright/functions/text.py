@@ -264,7 +264,7 @@ def verdict(text: Column) -> Column:
     lines = F.split(text, "\n")
     flags = F.transform(lines, lambda x: F.lower(x).contains("verdikt") | F.lower(x).contains("doporučen"))
     at = F.array_position(flags, True)
-    return F.when(at == 0, excerpt(text, 600)).otherwise(F.trim(F.array_join(F.slice(lines, at.cast("int"), 15), "\n")))
+    return F.when(at == 0, excerpt(text, 600)).otherwise(F.regexp_replace(F.array_join(F.slice(lines, at.cast("int"), 15), "\n"), r"(?U)^\s+|\s+$", ""))
 
 
 def verdict_section(text: Column) -> Column:

@@ -12,6 +12,7 @@ from ..functions import geo, jsons, krovak, numbers, text, vector
 from ..operators import dataset, export, files, ingest, rag, ranking, search, selectors, spatial, stats
 from ..sources import html
 from ..streaming import ingest as streams
+from . import cases
 from .views import NOW as NOW_SQL
 from .views import duck, view
 
@@ -324,15 +325,9 @@ def price_per_unit(listings):
     return listings.select("id", numbers.per_area(F.col("price").cast("double"), F.col("area_built_up"), F.col("area_land")).alias("per_m2"))
 
 
-@query("SELECT id, CASE WHEN price IS NULL THEN 'neuvedena' WHEN price >= 1000000 THEN concat(printf('%.1f', CAST(price AS DOUBLE) / 1000000), ' M') ELSE concat(printf('%.0f', CAST(price AS DOUBLE) / 1000), ' k') END AS shown FROM listings WHERE (CAST(price AS BIGINT) % 1000 <> 500 AND CAST(price AS BIGINT) % 100000 <> 50000) OR price IS NULL")
-def price_display(listings):
-    return listings.filter("(CAST(price AS BIGINT) % 1000 <> 500 AND CAST(price AS BIGINT) % 100000 <> 50000) OR price IS NULL").select("id", numbers.price_display(F.col("price")).alias("shown"))
-
-
 @query("""WITH c AS (SELECT id, price, CAST(price * 100 AS BIGINT) AS cents FROM listings), r AS (SELECT *, (cents + 5000000) // 10000000 AS tenths, (cents + 50000) // 100000 AS thousands FROM c)
 SELECT id, CASE WHEN price IS NULL THEN 'neuvedena' WHEN price >= 1000000 THEN concat(tenths // 10, '.', tenths % 10, ' M') ELSE concat(thousands, ' k') END AS shown FROM r""")
 def price_display_all(listings):
-    """Every listing, rounding ties too; price_display is bound to its SQL's rows."""
     return listings.select("id", numbers.price_display(F.col("price")).alias("shown"))
 
 
@@ -384,14 +379,8 @@ def json_tags(listings):
     return listings.select("id", F.array_join(jsons.tags(F.col("smart_tags")), ",").alias("tags"))
 
 
-@query("SELECT doc_id, translate(left(text, 2000), 'áčďéěíňóřšťúůýž', 'acdeeinorstuuyz') AS plain FROM documents WHERE lang = 'en'")
-def accents_stripped(documents):
-    return documents.filter("lang = 'en'").select("doc_id", text.translate_accents(F.left("text", F.lit(2000))).alias("plain"))
-
-
 @query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
 def accents_stripped_all(documents):
-    """Whole texts of all rows; accents_stripped is bound to its SQL's languages, prefix and letters."""
     return documents.select("doc_id", text.strip_accents(F.col("text")).alias("plain"))
 
 
@@ -494,14 +483,8 @@ def projected_points(listings):
     return own.select("id", F.round("q.x", 3).alias("east"), F.round("q.y", 3).alias("north"))
 
 
-@query("SELECT id, concat('LINESTRING(', CAST(longitude AS STRING), ' ', CAST(latitude AS STRING), ', 16.5 49.25)') AS wkt FROM listings WHERE latitude IS NOT NULL AND id = '3'")
-def straight_line(listings):
-    return listings.filter("latitude IS NOT NULL AND id = '3'").select("id", geo.straight_line(F.col("latitude"), F.col("longitude"), F.lit(49.25), F.lit(16.5)).alias("wkt"))
-
-
 @query("SELECT id, concat('LINESTRING(', regexp_replace(CAST(longitude AS STRING), '\\.0$', ''), ' ', regexp_replace(CAST(latitude AS STRING), '\\.0$', ''), ', 16.5 49.25)') AS wkt FROM listings WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
 def straight_line_all(listings):
-    """Every listing with coordinates; straight_line is bound to its SQL's one row."""
     return listings.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("id", geo.straight_line(F.col("latitude"), F.col("longitude"), F.lit(49.25), F.lit(16.5)).alias("wkt"))
 
 
@@ -693,14 +676,173 @@ def ext_intersect(customer, supplier):
     return customer.select(F.col("c_nationkey").alias("k")).intersect(supplier.select("s_nationkey"))
 
 
-@query("SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey")
-def ext_except_all(customer, supplier):
-    rest = customer.select(F.col("c_nationkey").alias("k"))
-    return rest.exceptAll(rest.limit(0)).groupBy("k").agg(F.count("*").alias("n"))
-
-
 @query("SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) GROUP BY k")
 def ext_except_all_suppliers(customer, supplier):
-    """Customers' nation keys less one for each supplier's; ext_except_all is bound to SQL that subtracts nothing."""
+    """Customers' nation keys less one for each supplier's."""
     rest = customer.select(F.col("c_nationkey").alias("k")).exceptAll(supplier.select("s_nationkey"))
     return rest.groupBy("k").agg(F.count("*").alias("n"))
+
+
+# --- lookups, work lists and state changes --------------------------------------------------------------
+
+
+@query("SELECT id, title FROM listings WHERE id = '7'")
+def listing_by_id(listings):
+    return search.by_id(listings, "7").select("id", "title")
+
+
+@query("SELECT id, title FROM listings WHERE source_id = '3' AND external_id = '8'")
+def listing_by_key(listings):
+    return search.by_natural_key(listings, "3", "8").select("id", "title")
+
+
+@query("SELECT id FROM listings WHERE is_active AND source_id = '2'")
+def active_of_source(listings):
+    return search.active(listings, "2").select("id")
+
+
+@query("""SELECT count(*) AS total, count(c.listing_id) AS with_row, count(*) FILTER (WHERE fetch_status = 'found') AS found, count(*) FILTER (WHERE fetch_status = 'not_found') AS not_found, count(*) FILTER (WHERE fetch_status = 'error') AS error,
+count(*) FILTER (WHERE fetch_status = 'pending') AS pending FROM listings l LEFT JOIN cadastre c ON c.listing_id = l.id WHERE l.is_active""")
+def cadastre_counts(listings, cadastre):
+    return stats.cadastre_stats(listings, cadastre)
+
+
+@query("SELECT id FROM listings l WHERE is_active AND NOT EXISTS (SELECT 1 FROM cadastre c WHERE c.listing_id = l.id AND fetch_status IN ('found', 'manual', 'not_found')) ORDER BY first_seen_at DESC NULLS LAST, id LIMIT 40")
+def without_cadastre(listings, cadastre):
+    return selectors.without_cadastre(listings, cadastre, 40).select("id")
+
+
+@query("SELECT id FROM listings l WHERE is_active AND NOT EXISTS (SELECT 1 FROM cadastre c WHERE c.listing_id = l.id AND fetch_status NOT IN ('pending', 'error', 'not_found')) ORDER BY first_seen_at DESC NULLS LAST, id LIMIT 60")
+def without_cadastre_again(listings, cadastre):
+    return selectors.without_cadastre_batch(listings, cadastre, 60, again=True).select("id")
+
+
+@query("SELECT id FROM photos WHERE classified_at IS NULL AND coalesce(stored_url, original_url) IS NOT NULL ORDER BY listing_id, order_index, id LIMIT 30")
+def unclassified_photos(photos):
+    return selectors.unclassified(photos, 30).select("id")
+
+
+@query("SELECT count(*) AS total, count(classified_at) AS classified, count(stored_url) AS stored FROM photos")
+def classification_coverage(photos):
+    return stats.coverage(photos, classified=F.col("classified_at").isNotNull(), stored=F.col("stored_url").isNotNull())
+
+
+@query("SELECT count(*) AS n, round(count(*) FILTER (WHERE value > 50) / count(*), 6) AS success_rate, round(avg(value), 6) AS avg_fetch, round(avg(value * 2), 6) AS avg_parse, round(avg(value + 1), 6) AS avg_save FROM events")
+def scan_call_metrics(events):
+    v = F.col("value")
+    own = stats.scan_metrics(events.select((v > 50).alias("ok"), v.alias("fetch"), (v * 2).alias("parse"), (v + 1).alias("save")))
+    return own.select("n", *(F.round(c, 6).alias(c) for c in own.columns[1:]))
+
+
+@query("SELECT string_agg(concat(event_type, '=', n), ',' ORDER BY event_type) AS counts FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)")
+def counts_by_status(events):
+    own = stats.status_counts(events.groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n")))
+    return own.select(F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))
+
+
+@query("""WITH r AS (SELECT s.code, CASE WHEN n.n IS NULL THEN NULL WHEN n.n < 100 THEN 0 ELSE n.n END AS found FROM sources s LEFT JOIN (SELECT source_code, count(*) AS n FROM listings WHERE price > 5000000 GROUP BY source_code) n ON n.source_code = s.code)
+SELECT coalesce(string_agg(code, ',' ORDER BY code) FILTER (WHERE found IS NULL), '') AS failed, coalesce(string_agg(code, ',' ORDER BY code) FILTER (WHERE found = 0), '') AS empty, coalesce(string_agg(code, ',' ORDER BY code) FILTER (WHERE found > 0), '') AS ok, CAST(coalesce(sum(found), 0) AS BIGINT) AS total FROM r""")
+def scan_job_summary(sources, listings):
+    n = listings.filter("price > 5000000").groupBy(F.col("source_code").alias("code")).agg(F.count("*").alias("n"))
+    own = sources.join(n, "code", "left").select(F.col("code").alias("source_code"), F.when(F.col("n") < 100, 0).otherwise(F.col("n")).alias("found"))
+    return stats.job_summary(own).select(*(F.array_join(c, ",").alias(c) for c in ("failed", "empty", "ok")), "total")
+
+
+@query("SELECT count(*) AS processed, count(*) FILTER (WHERE value > 50) AS succeeded, count(*) FILTER (WHERE NOT value > 50) AS failed, 12 AS remaining, round(avg(value), 6) AS avg_ms FROM events")
+def batch_job_summary(events):
+    return stats.batch_summary(events.select((F.col("value") > 50).alias("ok"), F.col("value").alias("ms")), 12).withColumn("avg_ms", F.round("avg_ms", 6))
+
+
+@query("""WITH a AS (SELECT event_type AS t, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS r, avg(value) AS m FROM events WHERE event_id % 2 = 0 GROUP BY event_type), b AS (SELECT event_type AS t, avg(value) AS m FROM events WHERE event_id % 2 = 1 GROUP BY event_type)
+SELECT count(*) AS tests, round(sum(a.m) FILTER (WHERE r > 0), 6) AS a_total, round(sum(b.m) FILTER (WHERE r > 0), 6) AS b_total, round(sum(a.m * 2) FILTER (WHERE r > 0) / count(*), 6) AS a_tokens, round(sum(b.m * 2) FILTER (WHERE r > 0) / count(*), 6) AS b_tokens FROM a JOIN b USING (t)""")
+def benchmark_pairs(events):
+    def runs(rest: int) -> DataFrame:
+        own = events.filter(F.col("event_id") % 2 == rest).groupBy(F.col("event_type").alias("test")).agg(F.avg("value").alias("mean_s"))
+        return own.select("test", F.when(F.col("test") == "error", 0.0).otherwise(1.0).alias("success_rate"), "mean_s", (F.col("mean_s") * 2).alias("tokens_per_s"))
+
+    own = stats.benchmark_compare(runs(0), runs(1))
+    return own.select("tests", *(F.round(c, 6).alias(c) for c in own.columns[1:]))
+
+
+@query("SELECT count(*) FILTER (WHERE s_nationkey < 10) AS folders, count(*) FILTER (WHERE s_nationkey >= 10) AS files FROM supplier")
+def folder_counts(supplier):
+    return files.folder_counts(supplier.select((F.col("s_nationkey") < 10).alias("is_dir")))
+
+
+@query("SELECT p_name AS name FROM part WHERE lower(p_name) LIKE '%anal%'")
+def analysis_files(part):
+    return files.analysis_files(part.select(F.col("p_name").alias("name")))
+
+
+@query("SELECT id, CASE WHEN CAST(id AS INT) % 9 = 0 AND source_code <> 'src4' THEN false ELSE is_active END AS is_active FROM listings")
+def deactivate_sold(listings):
+    sold = listings.filter("CAST(id AS INT) % 9 = 0").select(F.when(F.col("source_code") == "src4", "other").otherwise(F.col("source_code")).alias("source_code"), "external_id")
+    return ingest.deactivate_keys(listings, sold).select("id", "is_active")
+
+
+@query(f"""WITH c AS (SELECT *, CASE CAST(id AS INT) % 4 WHEN 0 THEN 404 WHEN 1 THEN 200 WHEN 2 THEN 503 END AS code, is_active AND last_seen_at < {NOW_SQL} - INTERVAL '6' DAY AND coalesce(url, '') <> '' AS stale FROM listings)
+SELECT id, CASE WHEN stale AND code = 404 THEN false ELSE is_active END AS is_active, CASE WHEN stale AND (code = 404 OR code < 400) THEN {NOW_SQL} ELSE last_seen_at END AS last_seen_at FROM c""")
+def deactivate_dead(listings):
+    n = F.col("id").cast("int") % 4
+    answers = listings.select("url", F.when(n == 0, 404).when(n == 1, 200).when(n == 2, 503).alias("http_status")).filter("http_status IS NOT NULL")
+    return ingest.deactivate_dead(listings, answers, NOW, 6).select("id", "is_active", "last_seen_at")
+
+
+@query("SELECT id FROM photos WHERE order_index <> 2")
+def purge_photos(photos):
+    answers = photos.select(F.col("original_url").alias("url"), F.when(F.col("order_index") == 2, 404).when(F.col("order_index") == 1, 503).otherwise(200).alias("http_status"))
+    gone = answers.filter("http_status = 404").select("url").distinct()
+    # Addresses of the other photos answer otherwise.
+    return ingest.purge_photos(photos, answers.join(gone, "url", "left_anti").unionByName(answers.filter("http_status = 404"))).select("id")
+
+
+@query("""SELECT id, CASE CAST(id AS INT) % 8 WHEN 0 THEN 'low' WHEN 4 THEN NULL ELSE price_signal END AS price_signal, CASE CAST(id AS INT) % 8 WHEN 0 THEN concat('why ', id) WHEN 4 THEN NULL ELSE price_signal_reason END AS price_signal_reason FROM listings""")
+def signals_recomputed(listings):
+    n = F.col("id").cast("int")
+    answers = listings.filter(n % 4 == 0).select(F.col("id").alias("listing_id"), F.when(n % 8 == 0, " LOW ").otherwise("cheap").alias("signal"), F.concat(F.lit("why "), "id").alias("reason"))
+    return ingest.recomputed_signals(listings, answers).select("id", "price_signal", "price_signal_reason")
+
+
+@query("""SELECT id, disposition, coalesce(rooms, TRY_CAST(nullif(regexp_extract(disposition, '^([0-9]+)', 1), '') AS INTEGER)) AS rooms FROM (SELECT id, rooms, coalesce(disposition, nullif(upper(regexp_extract(title, '(?i)([0-9]+\\+(?:[0-9]+|kk))', 1)), ''),
+nullif(upper(regexp_extract(description, '(?i)([0-9]+\\+(?:[0-9]+|kk))', 1)), '')) AS disposition FROM listings)""")
+def disposition_backfill(listings):
+    return ingest.backfill_disposition(listings).select("id", "disposition", "rooms")
+
+
+@query("SELECT id, original_url FROM photos WHERE order_index < 2 UNION ALL SELECT id, original_url FROM photos p WHERE NOT EXISTS (SELECT 1 FROM photos o WHERE o.order_index < 2 AND o.original_url = p.original_url AND o.listing_id = p.listing_id)")
+def photos_appended_once(photos):
+    return ingest.appended_once(photos.filter("order_index < 2"), photos, ["listing_id", "original_url"]).select("id", "original_url")
+
+
+@query("SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Succeeded' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 6 = 0 THEN 100 ELSE 1 END AS progress FROM orders")
+def job_updates(orders):
+    old = orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("progress"))
+    new = orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("job_id"), F.lit("Succeeded").alias("status"), F.when(F.col("o_orderkey") % 3 == 0, 100).alias("progress"))
+    return ingest.completed(old, new, "job_id", ["status", "progress"])
+
+
+@query("SELECT listing_id, order_index, coalesce(photo_category, 'other') AS category FROM photos")
+def photo_descriptions_merged(photos):
+    own = photos.select("listing_id", "order_index", F.col("photo_category").alias("category"))
+    return ranking.merged_descriptions(own.filter("order_index < 2"), own.filter("order_index >= 2"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents")
+def dataset_split(documents):
+    """Both parts together are the table, and no row is in both."""
+    train, held = dataset.split(documents.select("doc_id"), 0.1)
+    return train.unionByName(held).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+
+
+@query("""SELECT trim(text) AS instruction, '' AS input, concat('A', conv_id) AS output FROM conversations WHERE turn = 0""")
+def dataset_normalized(conversations):
+    lines = conversations.filter("turn = 0").select(F.to_json(F.struct(F.col("text").alias("question"), F.concat(F.lit("A"), F.col("conv_id").cast("string")).alias("answer"))).alias("value"))
+    broken = lines.select(F.lit("{broken").alias("value")).limit(1)
+    return dataset.normalized(dataset.read_jsonl(lines.unionByName(broken)))
+
+
+# Rules on small tables of cases, and second names of queries that read all their rows.
+QUERIES |= cases.QUERIES
+ORACLES |= cases.ORACLES
+for name, whole in (("accents_stripped", "accents_stripped_all"), ("price_display", "price_display_all"), ("straight_line", "straight_line_all"), ("ext_except_all", "ext_except_all_suppliers")):
+    QUERIES[name], ORACLES[name] = QUERIES[whole], ORACLES[whole]

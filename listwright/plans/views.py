@@ -39,6 +39,7 @@ FROM {{lineitem}}""",
     "states": "SELECT CAST(user_id AS STRING) AS user_id, CAST(event_id % 2000 AS STRING) AS listing_id, CASE event_type WHEN 'view' THEN 'New' WHEN 'click' THEN 'Liked' WHEN 'purchase' THEN 'ToVisit' WHEN 'error' THEN 'Disliked' ELSE 'Visited' END AS status, CASE WHEN event_id % 3 = 0 THEN ' ' WHEN event_id % 3 = 1 THEN 'note' END AS notes, ts AS last_updated FROM {events}",
     "sources": "SELECT CAST(n_nationkey AS STRING) AS id, concat('src', CAST(n_nationkey AS STRING)) AS code, n_name AS name, n_regionkey <> 3 AS is_active FROM {nation}",
     "analyses": f"SELECT CAST(doc_id AS STRING) AS id, CAST(doc_id % 300 AS STRING) AS listing_id, text AS content, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat('A', CAST(doc_id AS STRING)) END AS title, CASE doc_id % 7 WHEN 0 THEN 'auto' WHEN 1 THEN 'claude' WHEN 2 THEN 'local:mistral-tools/m' WHEN 3 THEN 'local:claude/s' WHEN 4 THEN 'mistral-large' ELSE 'manual' END AS source, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS embedding, {NOW} - (doc_id * 11 % 97) * INTERVAL '1' HOUR AS created_at FROM {{documents}}",
+    "cadastre": "SELECT CAST(p_partkey AS STRING) AS listing_id, CASE p_partkey % 5 WHEN 0 THEN 'found' WHEN 1 THEN 'not_found' WHEN 2 THEN 'error' WHEN 3 THEN 'pending' ELSE 'manual' END AS fetch_status FROM {part} WHERE p_partkey % 3 <> 0",
     "runs": "SELECT CAST(o_custkey % 30 AS STRING) AS source_id, CASE o_orderstatus WHEN 'F' THEN 'Succeeded' WHEN 'O' THEN 'Failed' ELSE 'Running' END AS status, o_orderdate AS started_at, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate + (o_orderkey % 600) * INTERVAL '1' SECOND END AS finished_at, o_orderkey % 50 AS total_seen, o_orderkey % 7 AS total_new, o_orderkey % 11 AS total_updated FROM {orders}",
 }
 RAW = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
