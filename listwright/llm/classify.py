@@ -55,9 +55,17 @@ class Examples:
 
     def only(self, wanted: np.ndarray) -> Examples:
         """The same rows with the features at which ``wanted`` is true."""
-        keep_them = wanted[self.features]
-        counts = np.concatenate(([0], np.cumsum(keep_them)))
-        return Examples(self.features[keep_them], counts[self.starts], self.labels)
+        sizes = [np.count_nonzero(wanted[self[k]]) for k in range(len(self))]
+        return Examples(self.features[wanted[self.features]], np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), self.labels)
+
+    def documents(self, bits: int, label: bool | None = None) -> np.ndarray:
+        """How many rows (of a label) have each feature; a piece at a time, as counting widens its input."""
+        out = np.zeros(1 << bits, np.int64)
+        for at in range(0, len(self), 512):
+            part = [self[k] for k in range(at, min(at + 512, len(self))) if label is None or bool(self.labels[k]) == label]
+            if part:
+                out += np.bincount(np.concatenate(part), minlength=1 << bits)
+        return out
 
 
 @dataclass
@@ -98,7 +106,7 @@ class Ftrl:
         """A gradient is at most 1, so a feature seen ``c`` times in all epochs keeps a zero weight while c <= l1:
         such features are left out, which changes no other weight."""
         model, bias, rng = cls(bits, **settings), 1 << bits, np.random.default_rng(7)
-        rows = rows.only(epochs * np.bincount(rows.features, minlength=1 << bits) > model.l1)
+        rows = rows.only(epochs * rows.documents(bits) > model.l1)
         for _ in range(epochs):
             for k in rng.permutation(len(rows)):
                 model.learn(np.append(rows[k], bias), int(rows.labels[k]))
@@ -117,8 +125,7 @@ def fit_nbsvm(rows: Examples, bits: int = BITS, smooth: float = 1.0, c: float =
     """
     size, bias = 1 << bits, 1 << bits
     y = np.where(rows.labels != 0, 1.0, -1.0)
-    owner = np.repeat(rows.labels != 0, np.diff(rows.starts))
-    pos, neg = (np.bincount(rows.features[x], minlength=size) for x in (owner, ~owner))
+    pos, neg = (rows.documents(bits, label) for label in (True, False))
     n1, n0 = max(1, (y > 0).sum()), max(1, (y < 0).sum())
     r = np.where(pos + neg >= least, np.log((pos + smooth) / (n1 + 2 * smooth)) - np.log((neg + smooth) / (n0 + 2 * smooth)), 0.0)
     rows = rows.only(r != 0)
