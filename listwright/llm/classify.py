@@ -35,28 +35,30 @@ def sigmoid(x):
 
 @dataclass
 class Examples:
-    """Feature sets of labelled rows in one array; ``starts`` has one entry more than ``labels``."""
+    """Feature sets of labelled rows in one array: where each starts, its size and its label."""
 
     features: np.ndarray
     starts: np.ndarray
+    sizes: np.ndarray
     labels: np.ndarray
 
     @classmethod
     def of(cls, rows) -> Examples:
         rows = list(rows)
-        starts = np.concatenate(([0], np.cumsum([len(x) for x, _ in rows]))).astype(np.int64)
-        return cls(np.concatenate([np.empty(0, np.uint32), *(x for x, _ in rows)]).astype(np.uint32), starts, np.array([y for _, y in rows], np.int64))
+        sizes = np.array([len(x) for x, _ in rows], np.int64)
+        return cls(np.concatenate([np.empty(0, np.uint32), *(x for x, _ in rows)]), np.cumsum(sizes) - sizes, sizes, np.array([y for _, y in rows], np.int64))
 
     def __len__(self) -> int:
         return len(self.labels)
 
     def __getitem__(self, k: int) -> np.ndarray:
-        return self.features[self.starts[k] : self.starts[k + 1]]
+        return self.features[self.starts[k] : self.starts[k] + self.sizes[k]]
 
     def only(self, wanted: np.ndarray) -> Examples:
         """The same rows with the features at which ``wanted`` is true."""
-        sizes = [np.count_nonzero(wanted[self[k]]) for k in range(len(self))]
-        return Examples(self.features[wanted[self.features]], np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), self.labels)
+        if sum(np.count_nonzero(wanted[self[k]]) for k in range(len(self))) == len(self.features):
+            return self
+        return Examples.of((x[wanted[x]], y) for x, y in zip(map(self.__getitem__, range(len(self))), self.labels, strict=True))
 
     def documents(self, bits: int, label: bool | None = None) -> np.ndarray:
         """How many rows (of a label) have each feature; a piece at a time, as counting widens its input."""
@@ -110,9 +112,9 @@ class Ftrl:
         for _ in range(epochs):
             for k in rng.permutation(len(rows)):
                 model.learn(np.append(rows[k], bias), int(rows.labels[k]))
-        w = model.weights(slice(None)).astype(np.float32)
-        at = np.flatnonzero(w[:-1])
-        return Weights(at.astype(np.uint32), w[None, at], w[-1:], bits)
+        seen = np.flatnonzero(np.abs(model.z[:-1]) > model.l1)
+        w, last = model.weights(seen).astype(np.float32), model.weights(np.array([bias])).astype(np.float32)
+        return Weights(seen[w != 0].astype(np.uint32), w[None, w != 0], last, bits)
 
 
 def fit_nbsvm(rows: Examples, bits: int = BITS, smooth: float = 1.0, c: float = 0.1, epochs: int = 12, blend: float = 0.25, least: int = 3) -> Weights:
@@ -156,8 +158,11 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Data
     return texts.join(F.broadcast(own), "id").select("text", "label", F.xxhash64("id").alias("at"))
 
 
-def featured(rows: DataFrame, featurise: Callable[[], Callable[[bytes], np.ndarray]]) -> Examples:
-    """Features of the sampled rows, in the order of their hashes."""
+def featured(rows: DataFrame, featurise: Callable[[], Callable[[bytes], np.ndarray]], bits: int = BITS, least: int = 3) -> Examples:
+    """Features of the sampled rows, in the order of their hashes.
+
+    Features of fewer than ``least`` rows stay behind: neither fit gives them a weight.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = featurise()
@@ -166,16 +171,20 @@ def featured(rows: DataFrame, featurise: Callable[[], Callable[[bytes], np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1), b.column(2), pa.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in found], pa.int64())], names=["x", "label", "at", "tie"])
 
     kept = keep(rows.mapInArrow(run, "x binary, label int, at long, tie long"), "features")
-    order = kept.select(F.octet_length("x").alias("n"), "label", "at", "tie").toPandas().sort_values(["at", "tie", "label"])
-    starts = np.concatenate(([0], np.cumsum(order["n"].to_numpy() // 4)))
-    place: dict[tuple[int, int, int], list[int]] = {}
-    for k, key in enumerate(zip(order["at"], order["tie"], order["label"], strict=True)):
-        place.setdefault(key, []).append(k)
-    out = np.empty(starts[-1], np.uint32)
+    # Two readings, partition by partition: how many rows have each feature, and then those that count.
+    times = np.zeros(1 << bits, np.int32)
+    for r in kept.select("x").toLocalIterator():
+        times[np.frombuffer(r["x"], np.uint32)] += 1
+    # A row has a feature once, so the counts tell how many entries are left.
+    out, at, rows = np.empty(times[times >= least].sum(), np.uint32), 0, []
     for r in kept.toLocalIterator():
-        k = place[r["at"], r["tie"], r["label"]].pop()
-        out[starts[k] : starts[k + 1]] = np.frombuffer(r["x"], np.uint32)
-    return Examples(out, starts, order["label"].to_numpy())
+        x = np.frombuffer(r["x"], np.uint32)
+        x = x[times[x] >= least]
+        out[at : at + len(x)] = x
+        rows.append((r["at"], r["tie"], r["label"], at, len(x)))
+        at += len(x)
+    labels, starts, sizes = np.array([r[2:] for r in sorted(rows)], np.int64).reshape(-1, 3).T
+    return Examples(out, starts, sizes, labels)
 
 
 def scored(docs: DataFrame, weights: Weights, featurise, margin, extra: dict[str, Column]) -> DataFrame:
