@@ -6,8 +6,8 @@ read partition by partition into one array, whose size is counted beforehand.  S
 only the weights that are not zero are sent, and each task spreads them over 2**bits places.
 
 Defined results: null and empty texts have no features and get the score of the bias; labels that
-are null are not used; several labels of one document count one each; with no labels or one class
-only, the bias alone decides; rows that repeat a doc_id are scored separately; columns of any other name pass.
+are null are not used; several labels of one document count one each; with labels of one class
+only, the bias alone decides; without any labelled row no text counts as toxic (score 0.27); rows that repeat a doc_id are scored separately; columns of any other name pass.
 """
 
 from __future__ import annotations
@@ -114,6 +114,8 @@ class Ftrl:
                 model.learn(np.append(rows[k], bias), int(rows.labels[k]))
         seen = np.flatnonzero(np.abs(model.z[:-1]) > model.l1)
         w, last = model.weights(seen).astype(np.float32), model.weights(np.array([bias])).astype(np.float32)
+        if not len(rows):
+            last -= 1
         return Weights(seen[w != 0].astype(np.uint32), w[None, w != 0], last, bits)
 
 

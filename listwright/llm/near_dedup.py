@@ -242,8 +242,8 @@ def near_components(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row a component stays: its smallest doc_id.  All columns as they are; rows with a null id stay."""
-    drop = near_components(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
+    drop = near_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(drop, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op6_minhash_setsketch(spark, sf_dir: str) -> DataFrame:
