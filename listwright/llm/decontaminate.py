@@ -5,8 +5,9 @@ become ids of the benchmark's vocabulary (0: not in it).  Patterns of one length
 a searcher: a shift table over blocks of two words skips positions where no pattern can
 end, the hash of a pattern's last block selects a bucket, and direct comparison of all words confirms.
 
-The benchmark is the stated query set.  It is taken in blocks of a bounded number of
-words, so what each task holds is bounded however many items there are; every document meets every block.
+The benchmark is the stated query set.  It is taken in blocks of a bounded number of words, a pass over the
+documents for each; the words hit so far travel with the document.  So the driver and each task hold one block,
+however many items there are and however long they are; every document meets every block.
 
 Defined results: null text has no words; an empty benchmark hits nothing; items that repeat an id
 count once; a null item_id is never reported but its windows hit; rows that repeat a doc_id are scored separately.
@@ -15,12 +16,14 @@ count once; a null item_id is never reported but its windows hit; rows that repe
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, as_bytes, map_rows, table
+from .common import WORDS, Scratch, as_bytes, map_rows, table
 
 WINDOW = 10
 #: Benchmark words in one block of patterns (some 40 MB of tables in a task).
@@ -100,61 +103,100 @@ class Matcher:
         return hit, found
 
 
-def blocks(benchmark: DataFrame, size: int = BLOCK_WORDS) -> list[list[tuple[object, bytes]]]:
-    """The items in blocks of about ``size`` words."""
-    out: list[list] = [[]]
-    n = 0
+def segments(text: bytes, window: int, size: int) -> list[bytes]:
+    """An item in parts of some ``size`` words, each window in one of them."""
+    if len(text) // 2 < size:  # a word and its blank take two bytes at least
+        return [text]
+    words, step = words_of(text), max(size, window)
+    return [b" ".join(words[i : i + step + window - 1]) for i in range(0, max(1, len(words) - window + 1), step)]
+
+
+def blocks(benchmark: DataFrame, window: int = WINDOW, size: int | None = None) -> Iterator[list[tuple[object, bytes]]]:
+    """The items in blocks of about ``size`` words, one after the other; one empty block if there are none."""
+    block, n, size = [], 0, size or BLOCK_WORDS
     for name, text in benchmark.select(F.col("item_id").cast("string"), as_bytes("text")).toLocalIterator(prefetchPartitions=False):
-        if n and n + len(text) // 2 > size:
-            out.append([])
-            n = 0
-        out[-1].append((name, bytes(text)))
-        n += len(text) // 2
-    return out
+        for part in segments(bytes(text), window, size):
+            if block and n + len(part) // 2 + 1 > size:
+                yield block
+                block, n = [], 0
+            block.append((name, part))
+            n += len(part) // 2 + 1
+    yield block
+
+
+def passes(rows: DataFrame, benchmark: DataFrame, window: int, size: int | None, step: Callable[[DataFrame, Broadcast, bool], DataFrame]) -> DataFrame:
+    """``step(rows, block, last)`` for each block in turn; what an earlier one returns is written and read again.
+
+    So the driver and every task hold one block at a time, and a benchmark of one block needs no written table.
+    """
+    spark, scratch, at = rows.sparkSession, Scratch(rows.sparkSession), blocks(benchmark, window, size)
+    block, k = next(at), 0
+    for following in at:
+        sent = spark.sparkContext.broadcast(block)
+        rows = scratch.keep(step(rows, sent, False), f"pass{k}")
+        sent.destroy()
+        if k:
+            scratch.drop(f"pass{k - 1}")
+        block, k = following, k + 1
+    return step(rows, spark.sparkContext.broadcast(block), True)
+
 
+def covered(edges: list[int], n: int) -> np.ndarray:
+    """Which of ``n`` words lie in the runs that start and end at ``edges``."""
+    change = np.zeros(n + 1, np.int8)
+    change[edges[0::2]], change[edges[1::2]] = 1, -1
+    return np.cumsum(change[:n]) > 0
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+
+def edges_of(hit: np.ndarray) -> list[int]:
+    return np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))).tolist()
+
+
+def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, size: int | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids as strings) for every row of ``docs``."""
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
 
-    def make():
-        matchers = [Matcher(s.value, window) for s in sent]
+    def step(rows: DataFrame, sent: Broadcast, last: bool) -> DataFrame:
+        def make():
+            matcher = Matcher(sent.value, window)
 
-        def one(doc_id, text):
-            words = words_of(text)
-            hit, names = np.zeros(len(words), bool), set()
-            for m in matchers:
-                h, found = m.search(words)
-                hit |= h
-                names |= {m.names[k] for k in found}
-            return doc_id, len(words), int(hit.sum()), sorted(n for n in names if n is not None)
+            def one(doc_id, text, edges, items):
+                words = words_of(text)
+                hit, found = matcher.search(words)
+                hit |= covered(edges, len(words))
+                names = sorted({*items, *(matcher.names[k] for k in found)} - {None})
+                return (doc_id, len(words), int(hit.sum()), names) if last else (doc_id, text, edges_of(hit), names)
 
-        return one
+            return one
 
-    return map_rows(docs.select("doc_id", as_bytes("text")), make, "doc_id long, n_words long, n_hit long, items array<string>")
+        return map_rows(rows, make, "doc_id long, n_words long, n_hit long, items array<string>" if last else "doc_id long, text binary, edges array<int>, items array<string>")
 
+    empty = F.array().cast("array<int>").alias("edges"), F.array().cast("array<string>").alias("items")
+    return passes(docs.select("doc_id", as_bytes("text").alias("text"), *empty), benchmark, window, size, step)
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, size: int | None = None) -> DataFrame:
     """Rows of ``docs`` in which no benchmark window occurs, all columns as they are."""
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
 
-    @F.pandas_udf("boolean")
-    def leaks(texts):
-        matchers = hold(sent, window)
-        return texts.map(lambda t: any(m.search(words)[1] for words in [words_of(bytes(t))] for m in matchers))
+    def step(rows: DataFrame, sent: Broadcast, last: bool) -> DataFrame:
+        @F.pandas_udf("boolean")
+        def leaks(texts):
+            matcher = hold(sent, window)
+            return texts.map(lambda t: bool(matcher.search(words_of(bytes(t)))[1]))
+
+        return rows.filter(~leaks(as_bytes("text")))
 
-    return docs.filter(~leaks(as_bytes("text")))
+    return passes(docs, benchmark, window, size, step)
 
 
 _HELD: dict = {}
 
 
-def hold(sent: list, window: int) -> list[Matcher]:
+def hold(sent: Broadcast, window: int) -> Matcher:
     """One set of tables per worker, however many batches come."""
-    key = (tuple(s.id if hasattr(s, "id") else s._path for s in sent), window)
+    key = (sent.id if hasattr(sent, "id") else sent._path, window)
     if key not in _HELD:
         _HELD.clear()
-        _HELD[key] = [Matcher(s.value, window) for s in sent]
+        _HELD[key] = Matcher(sent.value, window)
     return _HELD[key]
 
 
