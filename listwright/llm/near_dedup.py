@@ -10,8 +10,10 @@
 4. Links give components.  For documents in buckets that still hold several, shingles are counted by how many
    documents and components hold them.  Documents with too few shingles of other components leave.  The rest
    meet where they share a rare shingle (held by at most 100), or in their bucket if common shingles alone could
-   make a link: first the most typical member, then each other.  Both bounds are exact, so a link
-   that could join two components is not lost to the star shape.
+   make a link: first the most typical member, then each other.  Common shingles are counted in parts by their
+   hash; the smaller counts of all parts, added up, bound what two documents have in common, and pairs below
+   the overlap asked for are never emitted.  All bounds are exact, so a link that could join two components is
+   not lost to the star shape.
 
 A pair at similarity 0.75 shares a band with probability 1 - 1e-6 (closer pairs: more).
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, maybe
-from .common import LOWER, WordHash, as_bytes, keep, map_rows, mix, ngram_hashes, table
+from .common import LOWER, Scratch, WordHash, as_bytes, keep, map_rows, mix, ngram_hashes, table
 from .graph import components
 
 WORDS = 5
@@ -39,6 +41,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 THRESHOLD = 75
 #: Documents that may hold a shingle that counts as rare.
 RARE = 100
+#: Parts by hash in which common shingles are counted.
+PARTS = 64
 
 _MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BANDS = REGISTERS // BAND
@@ -164,13 +168,14 @@ def opened(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 def reachable(rows: DataFrame, docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """The documents that can have a link to another component, and their rare shingles.
 
-    The first table is (rep, n, root, s, c): ``s`` counts the shingles that also occur under another root, ``c``
-    those of them that more than RARE documents hold.  A link needs at least ``threshold`` percent of a set
+    The first table is (rep, n, root, s, c, parts): ``s`` counts the shingles that also occur under another root, ``c``
+    those of them that more than RARE documents hold, ``parts`` the latter by hash.  A link needs at least ``threshold`` percent of a set
     in common with the other set, so documents with a smaller ``s`` leave.  Of two linked documents either both have
     ``c`` as large as the overlap asked for, or they share a rare shingle; the second table, (h, rep, n, root, s),
     lets these meet, at most RARE to a shingle.
     """
-    rows = keep(rows, "open")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(rows, "open")
 
     def run(batches):
         cache = WordHash()
@@ -183,19 +188,27 @@ def reachable(rows: DataFrame, docs: DataFrame, words: int, threshold: int) -> t
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), as_bytes("text").alias("t"))
     # Kept first: the filter and the next step in one task would need two Python workers at a time.
-    texts = keep(maybe(texts, "rep", bloom(rows, "rep")).join(rows, "rep").select("rep", "root", "t"), "open_texts")
-    held = keep(texts.mapInArrow(run, "h long, rep long, root long"), "shingles")
+    texts = scratch.keep(maybe(texts, "rep", bloom(rows, "rep")).join(rows, "rep").select("rep", "root", "t"), "open_texts")
+    held = scratch.keep(texts.mapInArrow(run, "h long, rep long, root long"), "shingles")
+    scratch.drop("open_texts")
     shared = held.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h", "df")
-    held = keep(held.select("h", "rep").join(shared, "h"), "shared")
-    counted = held.groupBy("rep").agg(F.count("*").alias("s"), F.count_if(F.col("df") > RARE).alias("c"))
-    live = keep(rows.join(counted, "rep").filter(F.col("s") * 100 >= F.col("n") * threshold), "live")
-    return live, held.filter(F.col("df") <= RARE).select("h", "rep").join(live.drop("c"), "rep")
+    held = scratch.keep(held.select("h", "rep").join(shared, "h"), "shared")
+    scratch.drop("shingles")
+    by_part = held.groupBy("rep", F.pmod("h", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").alias("s"), F.count_if(F.col("df") > RARE).alias("c"))
+    counted = by_part.groupBy("rep").agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("of"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.element_at("of", i), F.lit(0)).cast("int"))
+    live = scratch.keep(rows.join(counted, "rep").filter(F.col("s") * 100 >= F.col("n") * threshold).withColumn("parts", parts).drop("of"), "live")
+    scratch.drop("open")
+    return live, held.filter(F.col("df") <= RARE).select("h", "rep").join(live.drop("c", "parts"), "rep")
 
 
 def meeting(rows: DataFrame, key: str, most: str, threshold: int) -> DataFrame:
-    """(a, b) of one ``key`` and different roots, where ``most`` common shingles allow a link."""
+    """(a, b) of one ``key`` and different roots, where ``most`` common shingles, in all and by parts, allow a link."""
     a, b = rows.alias("a"), rows.alias("b")
-    fits = F.least(f"a.{most}", f"b.{most}") * (100 + threshold) >= (F.col("a.n") + F.col("b.n")) * threshold
+    asked = (F.col("a.n") + F.col("b.n")) * threshold
+    fits = F.least(f"a.{most}", f"b.{most}") * (100 + threshold) >= asked
+    if "parts" in rows.columns:
+        fits &= F.aggregate(F.zip_with("a.parts", "b.parts", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y) * (100 + threshold) >= asked
     both = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.rep") > F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & fits)
     return both.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
 
