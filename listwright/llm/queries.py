@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classify, decontaminate, line_dedup, lm_score, media, mixing, near_dedup, substring_dedup, tokens
+from . import classify, decontaminate, line_dedup, lm_score, media, mixing, near_dedup, ranked, substring_dedup, tokens, variants
 
 QUERIES = {
     "op1_toxicity": classify.op1_toxicity,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_suffix_dedup": substring_dedup.op9_suffix_dedup,
     "op10_quality": classify.op10_quality,
+    "op11_ranked_search": ranked.op11_ranked_search,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op5_mix_sources": mixing.SQL,
     "op6_minhash_setsketch": near_dedup.SQL,
+    "op11_ranked_search": ranked.SQL,
+    "op13_spelling_variants": variants.SQL,
 }
