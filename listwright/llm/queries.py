@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classify, decontaminate, line_dedup, lm_score, media, mixing, near_dedup, ranked, substring_dedup, tokens, variants
+from . import classify, decontaminate, embedding_dedup, line_dedup, lm_score, media, mixing, near_dedup, ranked, substring_dedup, tokens, variants
 
 QUERIES = {
     "op1_toxicity": classify.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": substring_dedup.op9_suffix_dedup,
     "op10_quality": classify.op10_quality,
     "op11_ranked_search": ranked.op11_ranked_search,
+    "op12_embedding_dedup": embedding_dedup.op12_embedding_dedup,
     "op13_spelling_variants": variants.op13_spelling_variants,
 }
 ORACLES = {
@@ -24,5 +25,6 @@ ORACLES = {
     "op5_mix_sources": mixing.SQL,
     "op6_minhash_setsketch": near_dedup.SQL,
     "op11_ranked_search": ranked.SQL,
+    "op12_embedding_dedup": embedding_dedup.SQL,
     "op13_spelling_variants": variants.SQL,
 }
