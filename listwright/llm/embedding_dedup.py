@@ -39,7 +39,7 @@ from .graph import components
 THRESHOLD = 0.93
 #: Classes of a block, classes that centres are fitted on (about), centres of a split at most.
 CAP, SAMPLE, CENTRES = 4096, 4096, 64
-MARGIN = 3.2
+MARGIN = 2.5
 #: A shard that keeps this share of its classes in a part is not split further.
 SHRINKS = 0.75
 #: Graphs of a block, each by another order of insertion.

@@ -37,6 +37,11 @@ def medoids(x: np.ndarray, k: int = 16) -> np.ndarray:
     return np.unique(np.concatenate([(x @ c.T).argmax(0) for c in (centre, clusters(x[:: max(1, len(x) // 512)], k))]))
 
 
+def cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Of every query with its own rows."""
+    return (rows @ queries[:, :, None])[:, :, 0]
+
+
 def beam(x: np.ndarray, links: np.ndarray, starts: np.ndarray, asked: np.ndarray, width: int, least: float = np.inf) -> tuple[np.ndarray, list, np.ndarray]:
     """Greedy search of every vector in ``asked``: the beams' points, all (queries, points) of cosine ``least`` on the way, and who has seen what."""
     n = len(asked)
@@ -61,7 +66,7 @@ def beam(x: np.ndarray, links: np.ndarray, starts: np.ndarray, asked: np.ndarray
         found = links[point[go, best[go]]]
         fresh = ~seen[go[:, None], found]
         seen[go[:, None], found] = True
-        cos = np.where(fresh, np.einsum("qrd,qd->qr", x[found], asked[go]), -np.inf).astype(near.dtype)
+        cos = np.where(fresh, cosines(x[found], asked[go]), -np.inf).astype(near.dtype)
         query, hit = np.nonzero(cos >= least)
         if len(query):
             hits.append((go[query], found[query, hit]))
@@ -76,14 +81,15 @@ def beam(x: np.ndarray, links: np.ndarray, starts: np.ndarray, asked: np.ndarray
 
 def pruned(x: np.ndarray, own: np.ndarray, found: np.ndarray, degree: int) -> np.ndarray:
     """At most ``degree`` of the points ``found`` (-1: none) for each of ``own``; a kept one drops those it is clearly nearer to."""
-    cos = np.where(found >= 0, np.einsum("qmd,qd->qm", x[found], x[own]), -np.inf)
+    cos = np.where(found >= 0, cosines(x[found], x[own]), -np.inf)
     cos[found == own[:, None]] = -np.inf
     order = np.argsort(-cos, axis=1, kind="stable")
     found, cos = np.take_along_axis(found, order, 1), np.take_along_axis(cos, order, 1)
     alive = np.isfinite(cos)
     alive[:, 1:] &= found[:, 1:] != found[:, :-1]
     far, at = 1 - cos, np.arange(len(own))
-    between = 1 - np.einsum("qmd,qkd->qmk", x[found], x[found])
+    near = x[found]
+    between = 1 - near @ near.transpose(0, 2, 1)
     out = np.full((len(own), degree), -1, found.dtype)
     for k in range(degree):
         first = alive.argmax(1)
@@ -125,6 +131,11 @@ def build(x: np.ndarray, degree: int = DEGREE, width: int = BEAM, seed: int = 0)
         back = np.full((len(own), 3 * degree), -1, np.int64)
         back[:, :degree] = links[own]
         back[number, degree + place[some]] = source[some]
+        back = np.take_along_axis(back, np.argsort(back < 0, axis=1, kind="stable"), 1)
+        # Lists with room take the new ones as they are.
+        full = back[:, degree] >= 0
+        links[own[~full]] = back[~full, :degree]
+        own, back = own[full], back[full]
         for lo in range(0, len(own), BATCH):
             links[own[lo : lo + BATCH]] = pruned(x, own[lo : lo + BATCH], back[lo : lo + BATCH], degree)
     return links[:n]

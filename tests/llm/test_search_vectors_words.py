@@ -81,7 +81,8 @@ def vectors_expected(rows, threshold):
     own = {}
     for k, (i, label, v) in enumerate(rows):
         if i is not None and label is not None and v and None not in v and np.isfinite(v).all() and any(v):
-            own.setdefault((label, len(v)), []).append((k, np.array(v, float) / np.linalg.norm(v)))
+            x = np.array(v, float) / max(map(abs, v))
+            own.setdefault((label, len(v)), []).append((k, x / np.linalg.norm(x)))
     links, parent = Counter(), list(range(len(rows)))
 
     def root(a):
