@@ -250,7 +250,7 @@ def near_components(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
 
     ids = classes.select("digest", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("_root"))
     out = member.join(ids, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_root", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "doc_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

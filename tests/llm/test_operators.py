@@ -213,6 +213,14 @@ def test_near_dedup(spark, texts):
     assert got == near_expected(texts)
 
 
+def test_near_dedup_null_id_beside_copies(spark):
+    """A row without an id stays alone, even where its text is that of others."""
+    text = " ".join(WORDS)
+    docs = frame(spark, [(2, text), (None, text), (1, text), (3, "other words"), (None, "other words")])
+    got = Counter((r.doc_id, r.component_id) for r in near_dedup.near_components(docs).collect())
+    assert got == Counter([(1, 1), (2, 1), (3, 3), (None, None), (None, None)])
+
+
 def test_near_dedup_borderline(spark, monkeypatch):
     """Chains around the threshold, of which stars alone would miss links, for any bound of rare shingles."""
     rng = random.Random(11)
