@@ -93,6 +93,21 @@ def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column,
     return F.sqrt(ex * ex + ey * ey)
 
 
+def segments_cross(x1: Column, y1: Column, x2: Column, y2: Column, u1: Column, v1: Column, u2: Column, v2: Column) -> Column:
+    """Whether two segments have a point in common that is inside both; touching ends are left to the distance."""
+
+    def side(ax, ay, bx, by, px, py):
+        return F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+
+    return (side(x1, y1, x2, y2, u1, v1) * side(x1, y1, x2, y2, u2, v2) < 0) & (side(u1, v1, u2, v2, x1, y1) * side(u1, v1, u2, v2, x2, y2) < 0)
+
+
+def segments_distance(x1: Column, y1: Column, x2: Column, y2: Column, u1: Column, v1: Column, u2: Column, v2: Column) -> Column:
+    """Distance of two segments in the plane: 0 where they cross, else from one of the four ends."""
+    ends = F.least(segment_distance(x1, y1, u1, v1, u2, v2), segment_distance(x2, y2, u1, v1, u2, v2), segment_distance(u1, v1, x1, y1, x2, y2), segment_distance(u2, v2, x1, y1, x2, y2))
+    return F.when(segments_cross(x1, y1, x2, y2, u1, v1, u2, v2), 0.0).otherwise(ends)
+
+
 def degrees_of_km(km: float) -> float:
     """The flat fallback: a kilometre is 1/111 of a degree."""
     return km / 111.0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import topic_score
 from ..model import PHOTO_CATEGORIES, lookup
+from ..shared import fresh_folder
 
 
 def top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
@@ -84,8 +84,7 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     The ranges are written once, so that counts and numbers come from the same cut.
     """
     cut = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/listwright"
-    cut.write.parquet(path := f"{shared.rstrip('/')}/kept/{uuid.uuid4().hex}/ranges")
+    cut.write.parquet(path := f"{fresh_folder(df.sparkSession, 'kept')}/ranges")
     ranged = df.sparkSession.read.schema(cut.schema).parquet(path)
     # One row a range.
     sizes = sorted(ranged.groupBy("_range").count().collect())

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, krovak
+from ..functions import geo, krovak, outline
 from .search import all_of
 
 MAP_POINTS = 2000
@@ -79,20 +80,31 @@ def corridor_counts(listings: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def buffer_wkt(points: Column, radius: Column) -> Column:
-    return F.udf(outlined, "string")(points, radius)
+    """POLYGON or MULTIPOLYGON around a line; null for lines of fewer than two points."""
+
+    def run(lines: pd.Series, radii: pd.Series) -> pd.Series:
+        return pd.Series([outlined(p, r) for p, r in zip(lines, radii, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(points, radius)
 
 
 def outlined(points, radius) -> str | None:
-    """MULTIPOLYGON of one outline per segment; together they cover the buffer of the line."""
-    if not points or len(points) < 2:
+    """The dissolved buffer of a line as WKT: outer rings with their holes."""
+    if points is None or len(points) < 2:
         return None
     x, y = krovak.to_plane_np([p["lat"] for p in points], [p["lon"] for p in points])
-    shapes = []
-    for k in range(len(points) - 1):
-        e, n = zip(*geo.capsule(x[k], y[k], x[k + 1], y[k + 1], radius), strict=True)
-        lat, lon = krovak.to_degrees_np(e, n)
-        shapes.append("((" + ", ".join(f"{a:.7f} {b:.7f}" for a, b in zip(lon, lat, strict=True)) + "))")
-    return "MULTIPOLYGON(" + ", ".join(shapes) + ")"
+    found = outline.outline(x, y, radius)
+    parts = [[ring] for ring in found if outline.area(ring) > 0]
+    for hole in (ring for ring in found if outline.area(ring) < 0):
+        next((p for p in parts if outline.encloses(p[0], hole)), parts[0]).append(hole)
+    texts = []
+    for part in parts:
+        shown = []
+        for ring in part:
+            lat, lon = krovak.to_degrees_np(*outline.densified(ring).T)
+            shown.append("(" + ", ".join(f"{a:.9f} {b:.9f}" for a, b in zip(lon, lat, strict=True)) + ")")
+        texts.append("(" + ", ".join(shown) + ")")
+    return f"POLYGON{texts[0]}" if len(texts) == 1 else "MULTIPOLYGON(" + ", ".join(texts) + ")"
 
 
 def build_corridors(routes: DataFrame, listings: DataFrame, smallest: float = 100.0, largest: float = 50_000.0) -> DataFrame:
@@ -102,24 +114,80 @@ def build_corridors(routes: DataFrame, listings: DataFrame, smallest: float = 10
     return shaped.join(corridor_counts(listings, routes.filter(ok)), "area_id", "left")
 
 
-def municipalities_in_corridors(municipalities: DataFrame, routes: DataFrame, region: str | None = None, district: str | None = None) -> DataFrame:
-    """(area_id, name) of municipality polygons (name, wkt, region, district) whose outline or inside meets a corridor.
+def _cover(x1: Column, y1: Column, x2: Column, y2: Column, grow: Column, cell: float) -> Column:
+    """Grid cells (cx, cy) within ``grow`` of a segment: per column of cells only the rows that its part there needs."""
+    left, right = F.least(x1, x2), F.greatest(x1, x2)
+
+    def rows(cx: Column) -> Column:
+        a, b = F.greatest(left, cx * cell - grow), F.least(right, (cx + 1) * cell + grow)
+        at = lambda x: y1 + (x - x1) / F.nullif(x2 - x1, F.lit(0.0)) * (y2 - y1)
+        ya, yb = F.coalesce(at(a), y1), F.coalesce(at(b), y2)
+        return F.transform(F.sequence(F.floor((F.least(ya, yb) - grow) / cell), F.floor((F.greatest(ya, yb) + grow) / cell)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(F.floor((left - grow) / cell), F.floor((right + grow) / cell)), rows))
+
+
+def _edges(points: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(points) - 2, F.lit(0))), lambda i: F.struct(F.get(points, i).alias("a"), F.get(points, i + 1).alias("b")))
+
+
+def _closed(ring: Column) -> Column:
+    return F.when(F.get(ring, F.size(ring) - 1) == F.get(ring, F.lit(0)), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+
+
+def _in_plane(edges: DataFrame, *keys: str) -> DataFrame:
+    """(keys, x1, y1, x2, y2) in metres of ``edges`` (keys, e: struct of two points)."""
+    both = edges.filter("e.b IS NOT NULL").select(*keys, krovak.to_plane(F.col("e.a.lat"), F.col("e.a.lon")).alias("p"), krovak.to_plane(F.col("e.b.lat"), F.col("e.b.lon")).alias("q"))
+    return both.select(*keys, F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+
+
+def _near_edges(left: DataFrame, right: DataFrame, reach: Column, cell: float) -> DataFrame:
+    """Rows of both sides whose segments (x1..y2; u1..v2) lie within ``reach``, a column of the left: an equi-join on cells, then the exact distance."""
+    own = left.withColumn("_c", F.explode(_cover(*(F.col(c) for c in ("x1", "y1", "x2", "y2")), reach, cell))).select("*", "_c.cx", "_c.cy").drop("_c")
+    other = right.withColumn("_c", F.explode(_cover(*(F.col(c) for c in ("u1", "v1", "u2", "v2")), F.lit(0.0), cell))).select("*", "_c.cx", "_c.cy").drop("_c")
+    return own.join(other, ["cx", "cy"]).filter(geo.segments_distance(*(F.col(c) for c in ("x1", "y1", "x2", "y2", "u1", "v1", "u2", "v2"))) <= reach)
 
-    A polygon meets the corridor when one of its corners or edge middles is in reach or a route point lies inside; filters
-    on absent columns are ignored.
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.withColumnsRenamed({"x1": "u1", "y1": "v1", "x2": "u2", "y2": "v2"})
+
+
+def municipalities_in_corridors(municipalities: DataFrame, routes: DataFrame, region: str | None = None, district: str | None = None, cell: float = 5000.0) -> DataFrame:
+    """(area_id, name) of municipality polygons (name, wkt, region, district) that a corridor meets.
+
+    They meet where an edge is within the radius of a route segment, or where the route lies inside; a polygon
+    inside the corridor has edges within the radius.  Filters on absent columns are ignored.
     """
     own = municipalities
     for column, value in (("region", region), ("district", district)):
         if value and column in own.columns:
             own = own.filter(F.col(column) == value)
-    ring = own.select("name", F.flatten(geo.rings_of_wkt(F.col("wkt"))).alias("r"))
-    mids = F.transform(F.sequence(F.lit(0), F.size("r") - 2), lambda i: F.struct(((F.col("r")[i]["lon"] + F.col("r")[i + 1]["lon"]) / 2).alias("lon"), ((F.col("r")[i]["lat"] + F.col("r")[i + 1]["lat"]) / 2).alias("lat")))
-    corners = ring.select("name", F.explode(F.concat("r", mids)).alias("p")).select(F.col("name").alias("id"), F.col("p.lat").alias("latitude"), F.col("p.lon").alias("longitude"), F.lit(True).alias("is_active"))
-    touched = corridor_members(corners, routes).select("area_id", F.col("id").alias("name"))
+    sides = own.select("name", F.explode(geo.rings_of_wkt(F.col("wkt"))).alias("r")).select("name", F.explode(_edges(_closed(F.col("r")))).alias("e"))
+    touched = _near_edges(segments(routes), _turned(_in_plane(sides, "name")), F.col("radius"), cell).select("area_id", "name")
     stops = routes.select(F.col("area_id").alias("id"), F.explode(geo.points_of_wkt(F.col("wkt"))).alias("p")).select("id", F.col("p.lat").alias("latitude"), F.col("p.lon").alias("longitude"))
     inside = areas_join(stops, own.select(F.col("name").alias("area_id"), "wkt")).select(F.col("id").alias("area_id"), F.col("area_id").alias("name"))
     return touched.unionByName(inside).distinct()
 
 
+def municipalities_in_areas(municipalities: DataFrame, areas: DataFrame, cell: float = 0.05) -> DataFrame:
+    """(area_id, name) of municipality polygons (name, wkt) and areas (area_id, wkt) that share a point.
+
+    Edges that meet, or a corner of either inside the other.
+    """
+
+    def sides(df: DataFrame, key: str) -> DataFrame:
+        e = df.select(key, F.explode(geo.rings_of_wkt(F.col("wkt"))).alias("r")).select(key, F.explode(_edges(_closed(F.col("r")))).alias("e")).filter("e.b IS NOT NULL")
+        return e.select(key, F.col("e.a.lon").alias("x1"), F.col("e.a.lat").alias("y1"), F.col("e.b.lon").alias("x2"), F.col("e.b.lat").alias("y2"))
+
+    def corners(df: DataFrame, key: str) -> DataFrame:
+        return df.select(F.col(key).alias("id"), F.explode(F.flatten(geo.rings_of_wkt(F.col("wkt")))).alias("p")).select("id", F.col("p.lat").alias("latitude"), F.col("p.lon").alias("longitude"))
+
+    touched = _near_edges(sides(areas, "area_id"), _turned(sides(municipalities, "name")), F.lit(0.0), cell).select("area_id", "name")
+    towns = municipalities.select(F.col("name").alias("area_id"), "wkt")
+    within = areas_join(corners(areas, "area_id"), towns, cell).select(F.col("id").alias("area_id"), F.col("area_id").alias("name"))
+    around = areas_join(corners(municipalities, "name"), areas.select("area_id", "wkt"), cell).select("area_id", F.col("id").alias("name"))
+    return touched.unionByName(within).unionByName(around).distinct()
+
+
 def map_bounds(points: DataFrame) -> DataFrame:
     return points.agg(F.min("latitude").alias("lat_min"), F.max("latitude").alias("lat_max"), F.min("longitude").alias("lon_min"), F.max("longitude").alias("lon_max"))

@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, jsons, krovak, numbers, text, vector
 from ..operators import dataset, export, files, ingest, rag, ranking, search, selectors, spatial, stats
 from ..sources import html
 from ..streaming import ingest as streams
-from . import cases
+from .registry import ORACLES, QUERIES, query  # noqa: F401
+from .stateful import OBSERVED_SQL, observed
 from .views import NOW as NOW_SQL
-from .views import duck, view
+from .views import view  # noqa: F401
 
 NOW = datetime(2024, 2, 1)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query whose parameters after (spark, sf_dir) name the views it reads."""
-
-    def register(f):
-        names = f.__code__.co_varnames[: f.__code__.co_argcount]
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*(view(spark, sf_dir, n) for n in names))
-
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = duck(sql)
-        return f
-
-    return register
 
 
 # --- search -----------------------------------------------------------------
@@ -491,18 +470,6 @@ def straight_line_all(listings):
 # --- ingest -------------------------------------------------------------------------------------
 
 
-def observed(listings):
-    """A second observation: a third of the listings again with other prices and gaps, some new ones."""
-    n = F.col("id").cast("int")
-    again = listings.filter(n % 3 == 0).withColumns({"price": F.when(n % 2 == 0, F.col("price")).otherwise((F.col("price") * 2).cast("decimal(15,2)")), "rooms": F.lit(None).cast("int"), "latitude": F.when(n % 4 == 0, F.col("latitude")), "first_seen_at": F.lit(NOW), "last_seen_at": F.lit(NOW), "is_active": F.lit(True)})
-    new = listings.filter(n % 5 == 1).withColumns({"external_id": F.concat(F.lit("n"), "external_id"), "id": F.concat(F.lit("n"), "id"), "first_seen_at": F.lit(NOW), "last_seen_at": F.lit(NOW), "is_active": F.lit(True)})
-    return again.unionByName(new)
-
-
-OBSERVED_SQL = f"""o AS (SELECT id, external_id, source_id, CASE WHEN CAST(id AS INT) % 2 = 0 THEN price ELSE CAST(price * 2 AS DECIMAL(15,2)) END AS price, CAST(NULL AS INT) AS rooms, CASE WHEN CAST(id AS INT) % 4 = 0 THEN latitude END AS latitude, {NOW_SQL} AS first_seen_at FROM listings WHERE CAST(id AS INT) % 3 = 0
-UNION ALL SELECT concat('n', id), concat('n', external_id), source_id, price, rooms, latitude, {NOW_SQL} FROM listings WHERE CAST(id AS INT) % 5 = 1)"""
-
-
 @query(f"""WITH {OBSERVED_SQL} SELECT coalesce(l.id, o.id) AS id, CASE WHEN o.id IS NOT NULL THEN o.price ELSE l.price END AS price, coalesce(o.rooms, l.rooms) AS rooms, coalesce(o.latitude, l.latitude) AS latitude, coalesce(l.first_seen_at, o.first_seen_at) AS first_seen_at, o.id IS NOT NULL OR l.is_active AS is_active
 FROM listings l FULL JOIN o ON o.source_id = l.source_id AND o.external_id = l.external_id""")
 def upsert_merge(listings):
@@ -839,10 +806,3 @@ def dataset_normalized(conversations):
     lines = conversations.filter("turn = 0").select(F.to_json(F.struct(F.col("text").alias("question"), F.concat(F.lit("A"), F.col("conv_id").cast("string")).alias("answer"))).alias("value"))
     broken = lines.select(F.lit("{broken").alias("value")).limit(1)
     return dataset.normalized(dataset.read_jsonl(lines.unionByName(broken)))
-
-
-# Rules on small tables of cases, and second names of queries that read all their rows.
-QUERIES |= cases.QUERIES
-ORACLES |= cases.ORACLES
-for name, whole in (("accents_stripped", "accents_stripped_all"), ("price_display", "price_display_all"), ("straight_line", "straight_line_all"), ("ext_except_all", "ext_except_all_suppliers")):
-    QUERIES[name], ORACLES[name] = QUERIES[whole], ORACLES[whole]

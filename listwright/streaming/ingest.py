@@ -2,68 +2,71 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-from pathlib import PurePosixPath
+from collections.abc import Callable
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import model
 from ..operators import ingest
+from .store import BucketStore
 
 
-class ListingStore:
-    """Versioned Parquet folders; a version is whole once its marker names it, so a failed batch leaves the one before."""
+def merge_listings(store: BucketStore, new: DataFrame, now: datetime, version: int, mode: str = "complete") -> bool:
+    """Merge mapped listings (one row a natural key) as ``version`` of the store; false if it is there already.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _table(self, name: str, version: int) -> str:
-        return str(PurePosixPath(name) / f"v{version}") if "://" not in self.path else f"{name}/v{version}"
-
-    def version(self) -> int:
-        """The latest complete version, -1 for none."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return -1
-        names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        return max((int(n[4:]) for n in names if n.startswith("done")), default=-1)
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        v = self.version()
-        return self.spark.createDataFrame([], schema) if v < 0 else self.spark.read.schema(schema).parquet(f"{self.path}/{self._table(name, v)}")
-
-    def commit(self, version: int, **tables: DataFrame) -> None:
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/{self._table(name, version)}")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/done{version}")
-
-
-def merge_batch(store: ListingStore, raw: DataFrame, rules: ingest.Admission, now: datetime, version: int) -> DataFrame:
+    Only buckets that the batch touches are read and rewritten; price changes are appended.  ``photos``, an array of
+    addresses where the column exists, is synchronised into the photo table under the stored listing's id.
+    """
+    if store.version() >= version:
+        return False
+    new = new.persist()
+    try:
+        kinds = ingest.conform(new)
+        touched = [r[0] for r in kinds.select(store.bucket(*ingest.KEY)).distinct().collect()]  # at most ``store.buckets``
+        stored = store.read("listings", model.LISTING, touched)
+        merged = ingest.upsert(stored, kinds, mode)
+        full = store.write("listings", merged, version, *ingest.KEY)
+        fresh = ingest.conform(ingest.price_changes(stored, kinds, now), model.PRICE_HISTORY)
+        grown = store.write("history", fresh, version, "listing_id")
+        rewritten = {"listings": (touched, full)}
+        if "photos" in new.columns:
+            ids = stored.select(*ingest.KEY, F.col("id").alias("_id"))
+            seen = new.filter(F.size("photos") > 0).join(ids, ingest.KEY, "left").select(F.coalesce("_id", "id").alias("listing_id"), "photos").persist()
+            own = [r[0] for r in seen.select(store.bucket("listing_id")).distinct().collect()]
+            rewritten["photos"] = (own, store.write("photos", ingest.synced_photos(store.read("photos", model.PHOTO, own), seen), version, "listing_id"))
+            seen.unpersist()
+        store.commit(version, rewritten, {"history": grown})
+    finally:
+        new.unpersist()
+    return True
+
+
+def merge_batch(store: BucketStore, raw: DataFrame, rules: ingest.Admission, now: datetime, version: int) -> DataFrame:
     """One micro-batch: enrich, admit, merge, log prices, sync photos; returns the rejected rows.
 
     A batch whose version is already complete is not applied again, which makes replays harmless.
     """
-    from .. import model
-
     good, bad = ingest.admitted(ingest.enrich(raw), rules)
-    if store.version() >= version:
-        return bad
-    new = ingest.mapped(good, now)
-    stored, history, photos = (store.read(n, s) for n, s in (("listings", model.LISTING), ("history", model.PRICE_HISTORY), ("photos", model.PHOTO)))
-    fresh = ingest.price_changes(stored, ingest.conform(new), now).select("listing_id", "price", "recorded_at", "source")
-    seen = new.filter(F.size("photos") > 0).select(F.col("id").alias("listing_id"), "photos")
-    store.commit(version, listings=ingest.upsert(stored, new), history=history.unionByName(ingest.conform(fresh, model.PRICE_HISTORY)), photos=ingest.synced_photos(photos, seen))
+    merge_listings(store, ingest.mapped(good, now), now, version)
     return bad
 
 
-def start(raw: DataFrame, store: ListingStore, rules: ingest.Admission, checkpoint: str, clock=datetime.utcnow, **trigger):
-    """``raw``: a stream of records.  ``availableNow=True`` drains what is there."""
+def utc_now() -> datetime:
+    return datetime.now(UTC).replace(tzinfo=None)
+
+
+def start(stream: DataFrame, store: BucketStore, checkpoint: str, rules: ingest.Admission | None = None, clock: Callable[[], datetime] = utc_now, **trigger):
+    """Merge a stream of records, raw ones by ``rules``, else mapped ones.  By default what is there is drained."""
 
     def batch(df: DataFrame, k: int) -> None:
-        merge_batch(store, df, rules, clock(), k)
+        if rules is None:
+            merge_listings(store, df, clock(), k)
+        else:
+            merge_batch(store, df, rules, clock(), k)
 
-    return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def over_limit(events: DataFrame, key: str, most: int = 20, width: str = "1 minute") -> DataFrame:
@@ -79,10 +82,17 @@ def last_seen(events: DataFrame, key: str, delay: str = "1 day") -> DataFrame:
 
 
 def once(events: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
-    """Extension: repeats within the watermark go."""
+    """Repeats go; in a stream those within ``delay``, and rows later than that by event time."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
+def drained(stream: DataFrame, path: str, checkpoint: str) -> int:
+    """Append what is there of a stream to a folder; returns how many rows came too late for the watermark."""
+    run = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return sum(o.numRowsDroppedByWatermark for p in run.recentProgress for o in p.stateOperators)
+
+
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes") -> DataFrame:
     """Extension: bursts of a key's events without a gap."""
     own = events.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))

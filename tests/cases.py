@@ -1,4 +1,4 @@
-"""Queries over small tables of cases: parsers and rules whose inputs the driver tables do not hold.
+"""Small tables of cases: parsers and rules whose inputs the driver tables do not hold.
 
 Each case gives inputs and the result that the rule asks for; the SQL is the table of these results.
 """
@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, jsons, numbers, text
-from ..operators import ingest, search, selectors
-from ..sources import html, payloads, routes
+from listwright.functions import geo, jsons, numbers, text
+from listwright.operators import ingest, search, selectors
+from listwright.sources import html, payloads, routes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
