@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .ranking import top
 
+#: Share of the true neighbours that the default number of cells is to hold, neighbours and queries of the sample that set it.
+REACH, NEIGHBOURS, ASKED = 0.95, 10, 256
 #: Items that centres are fitted on, rows of a group that ranks a cell's items, queries of a block.
 SAMPLE, ROWS, BLOCK = 20_000, 8192, 4096
 
@@ -41,9 +43,20 @@ def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
+def calibrated(x: np.ndarray, centres: np.ndarray) -> int:
+    """How many of the nearest cells hold REACH of the neighbours, by ASKED rows of ``x`` against all of them."""
+    asked = np.unique(np.linspace(0, len(x) - 1, min(ASKED, len(x))).astype(int))
+    k = min(NEIGHBOURS, len(x))
+    own, place = nearest(x, centres, 1)[:, 0], np.argsort(nearest(x[asked], centres, len(centres)), axis=1)
+    steps = [place[row, own[np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:k]]] for row, q in enumerate(asked)]
+    return int(np.quantile(np.concatenate(steps), REACH, method="higher")) + 1
+
+
 class VectorIndex:
-    def __init__(self, spark: SparkSession, path: str, centres: np.ndarray):
-        self.spark, self.path, self.centres = spark, path.rstrip("/"), centres
+    """``probes`` is the number of cells that a query reads by default."""
+
+    def __init__(self, spark: SparkSession, path: str, centres: np.ndarray, probes: int):
+        self.spark, self.path, self.centres, self.probes = spark, path.rstrip("/"), centres, probes
 
     @classmethod
     def build(cls, items: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE) -> VectorIndex:
@@ -59,8 +72,8 @@ class VectorIndex:
         # The smallest hashes: some ``sample`` rows, however many there are.
         part = own.filter(F.pmod(F.xxhash64("item_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, n))))).select("vector") if n > sample else own.select("vector")
         x = matrix(part.toArrow()["vector"]) if n else np.zeros((1, 1))
-        index = cls(items.sparkSession, path, centres_of(x, cells))
-        centres = index.centres
+        centres = centres_of(x, cells)
+        index = cls(items.sparkSession, path, centres, calibrated(x, centres))
 
         def placed(batches):
             for batch in batches:
@@ -77,7 +90,7 @@ class VectorIndex:
 
         Queries meet the items of a cell in groups of bounded size; a group hands on k items a query.
         """
-        probes, centres = probes or max(1, len(self.centres) // 3), self.centres
+        probes, centres = probes or self.probes, self.centres
         items = self.spark.read.schema("item_id long, vector array<double>, cell int").parquet(self.path)
         sizes = items.groupBy("cell").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("n"))
 

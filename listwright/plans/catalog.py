@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, jsons, krovak, numbers, text, vector
@@ -492,9 +493,11 @@ def history_append(listings):
     return ingest.price_changes(listings, observed(listings), NOW).select("listing_id", "price", "old_price")
 
 
-@query("SELECT id AS listing_id, price FROM listings l WHERE price IS NOT NULL AND NOT EXISTS (SELECT 1 FROM history h WHERE h.listing_id = l.id)")
+@query("SELECT id AS listing_id, price FROM listings l WHERE price IS NOT NULL AND NOT EXISTS (SELECT 1 FROM history h WHERE h.listing_id = l.id AND CAST(h.listing_id AS INT) % 4 <> 1)")
 def history_backfill(listings, history):
-    return ingest.first_history(listings, history).select("listing_id", "price")
+    """A quarter of the listings has lost its history."""
+    kept = history.filter("CAST(listing_id AS INT) % 4 <> 1")
+    return ingest.first_history(listings, kept).select("listing_id", "price")
 
 
 @query("""WITH old AS (SELECT * FROM photos WHERE CAST(listing_id AS INT) % 2 = 0), u AS (SELECT listing_id, original_url, max(i) - 1 AS idx FROM (SELECT listing_id, unnest(us) AS original_url, unnest(range(1, len(us) + 1)) AS i FROM (SELECT listing_id, list_slice(list(original_url ORDER BY original_url), 1, 50) AS us FROM (SELECT DISTINCT listing_id, original_url FROM photos WHERE order_index <> 2) GROUP BY listing_id)) GROUP BY listing_id, original_url)
@@ -736,9 +739,10 @@ def folder_counts(supplier):
     return files.folder_counts(supplier.select((F.col("s_nationkey") < 10).alias("is_dir")))
 
 
-@query("SELECT p_name AS name FROM part WHERE lower(p_name) LIKE '%anal%'")
+@query("SELECT name FROM (SELECT CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ' ANALysis.md') WHEN 1 THEN concat(p_name, ' ana l.md') ELSE p_name END AS name FROM part) WHERE lower(name) LIKE '%anal%'")
 def analysis_files(part):
-    return files.analysis_files(part.select(F.col("p_name").alias("name")))
+    n = F.col("p_partkey") % 3
+    return files.analysis_files(part.select(F.when(n == 0, F.concat("p_name", F.lit(" ANALysis.md"))).when(n == 1, F.concat("p_name", F.lit(" ana l.md"))).otherwise(F.col("p_name")).alias("name")))
 
 
 @query("SELECT id, CASE WHEN CAST(id AS INT) % 9 = 0 AND source_code <> 'src4' THEN false ELSE is_active END AS is_active FROM listings")
@@ -794,11 +798,11 @@ def photo_descriptions_merged(photos):
     return ranking.merged_descriptions(own.filter("order_index < 2"), own.filter("order_index >= 2"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents")
+@query("SELECT doc_id, CAST('0x' || substr(md5('42|' || doc_id), 1, 8) AS BIGINT) < 429496729 AS held_out FROM documents")
 def dataset_split(documents):
-    """Both parts together are the table, and no row is in both."""
+    """Every row in one of the parts."""
     train, held = dataset.split(documents.select("doc_id"), 0.1)
-    return train.unionByName(held).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+    return train.withColumn("held_out", F.lit(False)).unionByName(held.withColumn("held_out", F.lit(True)))
 
 
 @query("""SELECT trim(text) AS instruction, '' AS input, concat('A', conv_id) AS output FROM conversations WHERE turn = 0""")
@@ -806,3 +810,32 @@ def dataset_normalized(conversations):
     lines = conversations.filter("turn = 0").select(F.to_json(F.struct(F.col("text").alias("question"), F.concat(F.lit("A"), F.col("conv_id").cast("string")).alias("answer"))).alias("value"))
     broken = lines.select(F.lit("{broken").alias("value")).limit(1)
     return dataset.normalized(dataset.read_jsonl(lines.unionByName(broken)))
+
+
+SORTED_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS mode, {str(down).lower()} AS descending, CAST(n AS INTEGER) AS position, id FROM (SELECT id, row_number() OVER (ORDER BY {column} {'DESC' if down else 'ASC'} NULLS LAST, id) AS n FROM listings) WHERE n BETWEEN 6 AND 10"
+    for name, column in sorted(search.SORTS.items())
+    for down in (False, True)
+)
+
+
+@query(SORTED_SQL)
+def search_sort_modes(listings):
+    """The second page of five under every sort mode, both ways."""
+    out = None
+    for name in sorted(search.SORTS):
+        for down in (False, True):
+            order = search.ordering(name.upper(), down)
+            own = search.page(listings, order, 2, 5).withColumn("position", (F.row_number().over(Window.partitionBy().orderBy(*order)) + 5).cast("int"))
+            own = own.select(F.lit(name).alias("mode"), F.lit(down).alias("descending"), "position", "id")
+            out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("""SELECT id, CASE WHEN NOT (strpos(hay, 'district2') > 0 OR strpos(hay, 'town7') > 0 OR strpos(hay, 'region1') > 0) THEN concat('District not in target list: ', location_text) WHEN property_type = 'Garage' AND price > 4500000 THEN concat('Price ', CAST(price AS VARCHAR), ' exceeds max 4.5e+06') WHEN property_type = 'Garage' AND price <> 0 AND price < 3800000 THEN concat('Price ', CAST(price AS VARCHAR), ' below min 3.8e+06') END AS reason
+FROM (SELECT *, lower(concat_ws(' ', location_text, district, municipality, CASE WHEN CAST(id AS INT) % 2 = 0 THEN region END)) AS hay FROM listings)""")
+def admission_districts(listings):
+    """Target districts in any of the four place columns, then prices of one kind."""
+    rules = ingest.Admission(target_districts=["District2", "TOWN7", "Region1"], rules=[ingest.TypeRule("Garage", "garages", min_price=3_800_000, max_price=4_500_000)])
+    own = listings.withColumns({"photos": F.array(F.lit("x")), "region": F.when(F.col("id").cast("int") % 2 == 0, F.col("region"))})
+    return own.withColumn("reason", ingest.reject_reason(rules)).select("id", "reason")

@@ -65,8 +65,6 @@ max(o_orderkey % 101) AS progress, max(o_orderdate) FILTER (WHERE o_orderstatus
 def jobs_streamed(orders):
     """Events in an order of batches that is not theirs."""
     spark = orders.sparkSession
-    for key, value in jobs.CONF.items():
-        spark.conf.set(key, value)
     root = fresh_folder(spark, "streams")
     status = F.when(F.col("o_orderstatus") == "F", "Failed").when(F.col("o_orderstatus") == "O", "Running").otherwise("Succeeded")
     events = orders.select(F.col("o_custkey").cast("string").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), status.alias("status"), (F.col("o_orderkey") % 101).alias("progress"), F.lit(None).cast("string").alias("error_message"), "o_orderkey")
@@ -165,7 +163,7 @@ def fts_indexed(documents):
 
 @query()
 def vectors_indexed(embeddings):
-    """The ten nearest of every vector whose id 50 divides, by a third of the index's cells."""
+    """The ten nearest of every vector whose id 50 divides, by as many of the index's cells as its sample asks for."""
     items = embeddings.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     index = vector_index.VectorIndex.build(items, fresh_folder(embeddings.sparkSession, "indexes"))
     return index.search(items.filter("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), 10)

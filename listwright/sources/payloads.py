@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.geo import in_box_or_unknown
 from ..functions.numbers import first_group
@@ -18,10 +18,12 @@ ESTATE = "struct<id:string,listingType:string,status:string,slug:string,title:st
 
 
 class JsonPages(DataSource):
-    """``spark.read.format("json_pages")``: a folder of files ``<n>.json``, one feed page each.
+    """``spark.read.format("json_pages")`` or ``readStream``: a folder of files ``<n>.json``, one feed page each.
 
-    Options: path, per_page.  Pages are numbered from 1; reading ends at the first empty page or when
-    the announced total is covered; each page is one partition.
+    Options: path (any store that Arrow knows), per_page, group.  Pages are numbered from 1 and announce the total
+    of items; a group of pages is one partition.  Conditions on ``page`` choose the pages that are read at all (with
+    spark.sql.python.filterPushdown.enabled).  A stream hands out every item once, by its place in the feed, so a last
+    page that fills up later loses nothing.
     """
 
     @classmethod
@@ -34,27 +36,82 @@ class JsonPages(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _PageReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _PageStream(self.options)
 
-class _PageReader(DataSourceReader):
+
+class _Pages:
     def __init__(self, options):
-        self.path, self.size = options["path"], int(options.get("per_page", 60))
+        self.path, self.size, self.group = options["path"].rstrip("/"), int(options.get("per_page", 60)), int(options.get("group", 16))
+
+    def load(self, page: int) -> dict:
+        from pyarrow import fs
 
-    def _load(self, page: int) -> dict | None:
+        store, folder = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
         try:
-            with open(f"{self.path}/{page}.json", encoding="utf-8") as f:
-                return json.load(f)
+            with store.open_input_stream(f"{folder}/{page}.json") as f:
+                return json.loads(f.read().decode())
         except (FileNotFoundError, ValueError):
-            return None
+            return {}
+
+    def total(self) -> int:
+        return int(self.load(1).get("total", 0))
+
+    def rows(self, first: int, last: int) -> Iterator[tuple[int, int, int, str]]:
+        """(place in the feed, page, total, item) of pages ``first`` to ``last``; ends at an empty page."""
+        for page in range(first, last + 1):
+            found = self.load(page)
+            if not found.get("items"):
+                return
+            for k, item in enumerate(found["items"]):
+                yield (page - 1) * self.size + k, page, int(found.get("total", 0)), json.dumps(item, ensure_ascii=False)
+
+
+class _PageReader(_Pages, DataSourceReader):
+    def __init__(self, options):
+        super().__init__(options)
+        self.first, self.last = 1, 1 << 31
+
+    def pushFilters(self, filters):
+        for f in filters:
+            value = getattr(f, "value", None)
+            if getattr(f, "attribute", None) != ("page",) or not isinstance(value, int):
+                yield f
+            elif isinstance(f, EqualTo):
+                self.first, self.last = max(self.first, value), min(self.last, value)
+            elif isinstance(f, GreaterThan | GreaterThanOrEqual):
+                self.first = max(self.first, value + isinstance(f, GreaterThan))
+            elif isinstance(f, LessThan | LessThanOrEqual):
+                self.last = min(self.last, value - isinstance(f, LessThan))
+            else:
+                yield f
 
     def partitions(self):
-        first = self._load(1) or {}
-        pages = max(1, -(-int(first.get("total", 0)) // self.size))
-        return [InputPartition(p) for p in range(1, pages + 1)]
+        last = min(self.last, max(1, -(-self.total() // self.size)))
+        return [InputPartition((p, min(p + self.group - 1, last))) for p in range(self.first, last + 1, self.group)] or [InputPartition((1, 0))]
+
+    def read(self, partition) -> Iterator[tuple]:
+        for _, *row in self.rows(*partition.value):
+            yield tuple(row)
+
+
+class _PageStream(_Pages, DataSourceStreamReader):
+    def initialOffset(self) -> dict:
+        return {"items": 0}
+
+    def latestOffset(self) -> dict:
+        return {"items": self.total()}
+
+    def partitions(self, start: dict, end: dict):
+        a, b, step = start["items"], end["items"], self.size * self.group
+        cuts = [a, *range((a // step + 1) * step, b, step), b]
+        return [InputPartition(x) for x in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def read(self, partition) -> Iterator[tuple]:
-        found = self._load(partition.value) or {}
-        for item in found.get("items", []):
-            yield partition.value, int(found.get("total", 0)), json.dumps(item, ensure_ascii=False)
+        a, b = partition.value
+        for place, *row in self.rows(a // self.size + 1, -(-b // self.size)):
+            if a <= place < b:
+                yield tuple(row)
 
 
 def decoded(markup: str | None, marker: str = '"listings":') -> list[dict]:

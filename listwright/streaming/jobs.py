@@ -13,9 +13,10 @@ from .store import BucketStore
 #: State store that arbitrary state needs.
 CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 FINAL = ("Succeeded", "Failed")
-STATE = "created_at timestamp, status string, status_at timestamp, progress long, error_message string, finished_at timestamp, n long"
+#: Times are microseconds here, so that zones play no part.
+STATE = "created_at long, status string, status_at long, progress long, error_message string, finished_at long, n long"
 NAMES = [part.split()[0] for part in STATE.split(", ")]
-FOLDED = f"job_id string, {STATE}, silent boolean"
+FOLDED = "job_id string, created_at timestamp, status string, status_at timestamp, progress long, error_message string, finished_at timestamp, n long, silent boolean"
 
 
 class JobFold(StatefulProcessor):
@@ -36,12 +37,12 @@ class JobFold(StatefulProcessor):
         own = dict(zip(NAMES, self.job.get(), strict=True)) if self.job.exists() else dict.fromkeys(NAMES) | {"n": 0}
         for r in rows:
             own["n"] += 1
-            own["created_at"] = min(filter(None, (own["created_at"], r.ts)), default=None)
+            own["created_at"] = min((t for t in (own["created_at"], r.ts) if t is not None), default=None)
             if r.ts is not None and (own["status_at"] is None or (own["status_at"], own["status"] or "") <= (r.ts, r.status or "")):
                 own |= {"status": r.status, "status_at": r.ts, "error_message": r.error_message}
             own["progress"] = max((p for p in (own["progress"], r.progress) if p is not None), default=None)
             if r.status in FINAL:
-                own["finished_at"] = max(filter(None, (own["finished_at"], r.ts)), default=None)
+                own["finished_at"] = max((t for t in (own["finished_at"], r.ts) if t is not None), default=None)
         self.job.update(tuple(own.values()))
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
@@ -61,8 +62,9 @@ def folded(events: DataFrame, patience: str = "1 day") -> DataFrame:
     """The changed states of every batch of ``events``: job_id, ts, status, progress, error_message."""
     from pandas import Timedelta
 
-    own = events.select(F.col("job_id").cast("string"), "ts", "status", F.col("progress").cast("long"), "error_message")
-    return own.groupBy("job_id").transformWithState(JobFold(int(Timedelta(patience).total_seconds() * 1000)), FOLDED, "Update", "ProcessingTime")
+    own = events.select(F.col("job_id").cast("string"), F.unix_micros("ts").alias("ts"), "status", F.col("progress").cast("long"), "error_message")
+    states = own.groupBy("job_id").transformWithState(JobFold(int(Timedelta(patience).total_seconds() * 1000)), f"job_id string, {STATE}, silent boolean", "Update", "ProcessingTime")
+    return states.withColumns({c: F.timestamp_micros(c) for c in ("created_at", "status_at", "finished_at")})
 
 
 def keep_jobs(store: BucketStore, changed: DataFrame, version: int) -> None:
@@ -81,4 +83,17 @@ def keep_jobs(store: BucketStore, changed: DataFrame, version: int) -> None:
 
 
 def start(events: DataFrame, store: BucketStore, checkpoint: str, patience: str = "1 day", **trigger):
-    return folded(events, patience).writeStream.outputMode("update").foreachBatch(lambda df, k: keep_jobs(store, df, k)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    """Fold a stream into the store's table ``jobs``.  By default what is there is drained.
+
+    A state with timers asks for another batch without end, so a run that drains takes its timers with its batches of data.
+    """
+    spark = events.sparkSession
+    own = CONF if trigger else CONF | {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        return folded(events, patience).writeStream.outputMode("update").foreachBatch(lambda df, k: keep_jobs(store, df, k)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

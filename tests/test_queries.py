@@ -13,7 +13,7 @@ def test_oracle(spark, sf, name):
 
 
 #: Rows of the queries without SQL, as counted on the view beside them (at least one row where there is no count).
-ROWS = {"topic_scores": "documents", "projected_points": "listings", "html_description": "pages", "export_json": "listings", "export_markdown": "listings", "dataset_shuffled": "documents", "corridor_polygons": None, "corridor_count": None, "html_links": None}
+ROWS = {"topic_scores": "documents", "projected_points": "listings", "html_description": "pages", "export_json": "listings", "export_markdown": "listings", "dataset_shuffled": "documents", "corridor_polygons": None, "corridor_count": None, "html_links": None, "html_elements": None, "vectors_indexed": None, "towns_in_corridors": None, "corridor_outline_members": None}
 
 
 def test_all_queries_are_tested():

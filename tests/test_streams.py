@@ -93,8 +93,6 @@ def test_merge_of_raw_records_equals_the_batch_operators(spark):
 
 
 def test_silent_jobs_are_given_out(spark):
-    for key, value in jobs.CONF.items():
-        spark.conf.set(key, value)
     root = fresh_folder(spark, "tests")
     store = BucketStore(spark, f"{root}/store", 2)
     schema = "job_id string, ts timestamp, status string, progress long, error_message string"
