@@ -46,4 +46,4 @@ def test_pages_of_conversations(spark, sf, tmp_path):
     some = pages.filter((F.col("page") > 2) & (F.col("page") <= 5))
     assert seen(some) == Counter(tuple(sorted(x.items())) for x in items[2 * size : 5 * size]) and some.rdd.getNumPartitions() == 1
     (tmp_path / "1.json").write_text("{broken")
-    assert pages.count() == 0
+    assert spark.read.format("json_pages").options(path=str(tmp_path), per_page=size).load().count() == 0
