@@ -131,6 +131,7 @@ def build(x: np.ndarray, degree: int = DEGREE, width: int = BEAM, seed: int = 0)
         back = np.full((len(own), 3 * degree), -1, np.int64)
         back[:, :degree] = links[own]
         back[number, degree + place[some]] = source[some]
+        back[:, degree:][(back[:, degree:, None] == back[:, None, :degree]).any(2)] = -1
         back = np.take_along_axis(back, np.argsort(back < 0, axis=1, kind="stable"), 1)
         # Lists with room take the new ones as they are.
         full = back[:, degree] >= 0
