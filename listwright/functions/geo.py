@@ -44,7 +44,7 @@ def rings_of_wkt(wkt: Column) -> Column:
 
 def display_ring(wkt: Column) -> Column:
     """Outer ring of the first polygon as (lat, lon) pairs."""
-    return F.transform(rings_of_wkt(wkt)[0], lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    return F.transform(F.get(rings_of_wkt(wkt), F.lit(0)), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
 
 
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:

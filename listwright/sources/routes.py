@@ -30,7 +30,7 @@ def geojson_points(text: Column) -> Column:
     geometry = F.coalesce(F.get_json_object(text, "$.features[0].geometry"), F.get_json_object(text, "$.geometry"), text)
     kind, coords = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
     flat = F.when(kind == "LineString", F.from_json(coords, "array<array<double>>")).when(kind == "MultiLineString", F.flatten(F.from_json(coords, "array<array<array<double>>>")))
-    return F.transform(flat, lambda c: F.struct(c[0].alias("lon"), c[1].alias("lat"))).cast(POINTS)
+    return F.transform(flat, lambda c: F.struct(F.get(c, F.lit(0)).alias("lon"), F.get(c, F.lit(1)).alias("lat"))).cast(POINTS)
 
 
 def route_points(path: Column, content: Column, least: int = 1) -> Column:
