@@ -11,7 +11,7 @@ from ..functions import geo, jsons, krovak, numbers, text, vector
 from ..operators import dataset, export, files, ingest, rag, ranking, search, selectors, spatial, stats
 from ..sources import html
 from ..streaming import ingest as streams
-from . import adverts, records  # noqa: F401
+from . import adverts, records, reports  # noqa: F401
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .stateful import OBSERVED_SQL, observed
 from .views import NOW as NOW_SQL

@@ -26,11 +26,12 @@ def gpx_points(gpx: Column, least: int = 2) -> Column:
 
 
 def geojson_points(text: Column) -> Column:
-    """LineString or MultiLineString, bare, as a feature, or the first of a collection."""
+    """LineString or MultiLineString, bare, as a feature, or the first of a collection; incomplete coordinates go."""
     geometry = F.coalesce(F.get_json_object(text, "$.features[0].geometry"), F.get_json_object(text, "$.geometry"), text)
     kind, coords = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
     flat = F.when(kind == "LineString", F.from_json(coords, "array<array<double>>")).when(kind == "MultiLineString", F.flatten(F.from_json(coords, "array<array<array<double>>>")))
-    return F.transform(flat, lambda c: F.struct(F.get(c, F.lit(0)).alias("lon"), F.get(c, F.lit(1)).alias("lat"))).cast(POINTS)
+    points = F.transform(flat, lambda c: F.struct(F.get(c, F.lit(0)).alias("lon"), F.get(c, F.lit(1)).alias("lat")))
+    return F.filter(points, lambda p: p["lon"].isNotNull() & p["lat"].isNotNull()).cast(POINTS)
 
 
 def route_points(path: Column, content: Column, least: int = 1) -> Column:

@@ -382,7 +382,7 @@ def gpx_tracks(s):
     return F.to_json(routes.gpx_points(s))
 
 
-@cases("s string", ('{"type":"LineString","coordinates":[[16.05,48.85],[16.1,48.9]]}', POINTS_JSON), ('{"features":[{"geometry":{"type":"MultiLineString","coordinates":[[[16.05,48.85]],[[16.1,48.9]]]}}]}', POINTS_JSON), ('{"type":"Point","coordinates":[1,2]}', None))
+@cases("s string", ('{"type":"LineString","coordinates":[[16.05,48.85],[16.1,48.9]]}', POINTS_JSON), ('{"features":[{"geometry":{"type":"MultiLineString","coordinates":[[[16.05,48.85]],[[16.1,48.9]]]}}]}', POINTS_JSON), ('{"type":"LineString","coordinates":[[],[16.1],[16.05,48.85],[16.1,48.9]]}', POINTS_JSON), ('{"type":"Point","coordinates":[1,2]}', None))
 def geojson_lines(s):
     return F.to_json(routes.geojson_points(s))
 
