@@ -83,10 +83,14 @@ def first_hit(els: Column, *patterns: str) -> Column:
     return F.coalesce(*(first_text(of_class(els, p)) for p in patterns))
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once; inside a lambda an expression is computed again for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def distinct_by(items: Column, key: str) -> Column:
     """Items with the first occurrence of each key."""
-    keys = F.transform(items, lambda x: x[key])
-    return F.filter(items, lambda x, i: F.array_position(keys, x[key]) == i + 1)
+    return bound(items, lambda own: bound(F.transform(own, lambda x: x[key]), lambda keys: F.filter(own, lambda x, i: F.array_position(keys, x[key]) == i + 1)))
 
 
 def absolute(url: Column, base: str) -> Column:
