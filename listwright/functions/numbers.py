@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The area unit here, and the labels and number forms in the patterns of this module.
 #: Blanks inside numbers: white space, no-break, narrow no-break and zero-width joiners.
 GAP = r"[\s  ‍]"
 AREA_UNIT = r"(?:m[²2]|㎡)"

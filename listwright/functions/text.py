@@ -30,16 +30,19 @@ CONSTRUCTIONS = [
 #: The later backfill knows more wordings.
 CONDITIONS_BACKFILL = [(name, p + ("|v zachovalém" if name == "Dobrý stav" else "")) for name, p in CONDITIONS]
 CONSTRUCTIONS_BACKFILL = [(name, p + ("|zděná vila" if name == "Zděná" else "")) for name, p in CONSTRUCTIONS]
-#: Needle, label; in this order, for titles, URLs and breadcrumbs.
+# Needle and label, in this order, for titles, URLs and breadcrumbs.
 TYPE_NEEDLES = [("dum", "House"), ("dům", "House"), ("domy", "House"), ("byt", "Apartment"), ("pozem", "Land"), ("chat", "Cottage"), ("chalup", "Cottage"), ("komer", "Commercial"), ("garáž", "Garage"), ("garaz", "Garage"), ("průmysl", "Industrial")]
 OFFER_NEEDLES = [("pronájem", "Rent"), ("pronajem", "Rent"), ("nájem", "Rent"), ("dražb", "Auction")]
+# Words that mark a new building, and characters that file names must not hold.
 NEW_BUILD = ["novostavb", "ve výstavb", "pod klíč", "developerský projekt", "dokončení 202"]
 ILLEGAL_IN_NAMES = '/\\:*?"<>|'
+# Letters with accents and their plain forms, the letters and words that mark Czech, phrases that mark English.
 ACCENTED = "áčďéěíňóřšťúůýžäëöüôľĺŕÁČĎÉĚÍŇÓŘŠŤÚŮÝŽÄËÖÜÔĽĹŔ"
 PLAIN = "acdeeinorstuuyzaeouollrACDEEINORSTUUYZAEOUOLLR"
 CZECH_LETTERS = "áčďéěíňóřšťúůýž"
 CZECH_WORDS = ["nemovitost", "inzerat", "prodej", "koupe", "cena", "plocha", "pozemek", "rekonstrukc", "stav", "lokac", "dispozic", "mistnost", "koupeln", "zahrad", "sklep", "garaz", "vytapeni", "doporucuj", "nemovitosti", "inzerátu", "prodeje", "koupě", "ceny", "plochy", "rekonstrukce", "koupelna", "zahrada", "garáž", "vytápění", "doporučuj"]
 ENGLISH_SIGNAL = r"\b(the property|this house|would |however,|furthermore|in conclusion|overall,|I recommend)"
+# Topics of the report's score and their patterns.
 TOPICS = [
     ("Odlozene predani 2027", r"predani.*2027|2027.*predani|brezen.*2027|predani.{0,30}rok"),
     ("Stodola / hospodarska vada", r"stodol|hospodar"),
@@ -118,6 +121,7 @@ def location_with_district(loc: Column, district: str = "Znojmo", region_stem: s
 
 def location_postal(text: Column) -> Column:
     """``PSČ town`` after its label, else anywhere; blanks squeezed, 100 characters."""
+    # The label, and what ends the place after it.
     near = first_group(text, rx(r"Lokalita\s*:?\s*(?:Mapa\s*)?([0-9]{3}\s?[0-9]{2}\s+\w[\w\s\-,.]+?)(?:\s+Vidělo|\s+Cena\s*:|\n|$)"))
     far = first_group(text, r"([0-9]{3}\s?[0-9]{2}\s+\p{Lu}[\p{Ll}\s\-]+)")
     return F.left(F.trim(F.regexp_replace(F.coalesce(near, far, F.lit("")), r"(?U)\s+", " ")), F.lit(100))
@@ -125,6 +129,7 @@ def location_postal(text: Column) -> Column:
 
 def clean_description(text: Column, size: int = 5000) -> Column:
     """Lines of site controls and dates go, the rest is trimmed and joined."""
+    # The texts of site controls.
     control = rx(r"^\s*(?:Smazat|Upravit|Topovat|Nahlásit|Oblíbené|P[řr]idat do|Spam|Tisk|Facebook|Sdílejte|Doporučit|Podobné)\s*/?\s*(?:Smazat|Upravit|Topovat)?\s*$")
     date = r"^[-\s]*\[?[0-9]{1,2}\.\s*[0-9]{1,2}\.\s*[0-9]{4}\]?\s*$"
     lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
@@ -133,6 +138,7 @@ def clean_description(text: Column, size: int = 5000) -> Column:
 
 def is_demand(title: Column) -> Column:
     """The advertiser seeks, does not offer."""
+    # The first words of a demand.
     return title.rlike(rx(r"^\s*(?:hled[aá]m|hled[aá]me|koup[ií]m|koup[ií]me|popt[aá]v)"))
 
 
@@ -269,6 +275,7 @@ def verdict(text: Column) -> Column:
 
 def verdict_section(text: Column) -> Column:
     """The section under a verdict heading, else under a conclusion heading; 1500 characters."""
+    # Headings that open a verdict, and what ends its section.
     tail = r".*?(?=\n##|\n---|\z)"
     found = F.coalesce(*(first_group(text, "(?siu)(" + head + tail + ")") for head in (r"(?:##\s*)?(?:🏁|VERDIKT|DOPORUČENÍ)", r"(?:##\s+[0-9]+\.\s*)?(?:ZÁVĚR|CELKOVÉ|SHRNUTÍ)")), F.lit(""))
     found = F.trim(found)

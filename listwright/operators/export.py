@@ -11,6 +11,7 @@ from ..functions import text
 from ..functions.numbers import price_display
 
 CSV_LIMIT = 5000
+# The number of photos here, and the labels of the documents in this module.
 PHOTO_LIMIT = 50
 # The header of the export file.
 CSV_HEADER = "ID;Zdroj;Název;Typ;Nabídka;Dispozice;Cena (Kč);Užitná plocha (m2);Pozemek (m2);Lokalita;Kraj;Okres;Obec;Datum nalezení;Můj stav"
