@@ -32,8 +32,9 @@ CONSTRUCTION_SQL = r"""CASE WHEN regexp_matches(w, '(?i)cihlov[áý]|ciheln|cihl
 @query(f"""WITH t AS (SELECT *, concat_ws(' ', title, description) AS w FROM wordings) SELECT id, coalesce(condition, {CONDITION_SQL.format("")}) AS condition, coalesce(construction_type, {CONSTRUCTION_SQL}) AS construction, coalesce(condition, {CONDITION_SQL.format("|v zachovalém")}) AS condition_later, coalesce(construction_type, {CONSTRUCTION_SQL}) AS construction_later FROM t""")
 def conditions_of_texts(wordings):
     """Conditions and constructions by the ingest's rules and by the later backfill's; present values stay."""
-    first, later = ingest.enrich(wordings), ingest.backfill_condition(wordings)
-    return first.select("id", "condition", F.col("construction_type").alias("construction")).join(later.select("id", F.col("condition").alias("condition_later"), F.col("construction_type").alias("construction_later")), "id")
+    first = ingest.enrich(wordings.withColumns({"given": F.col("condition"), "given_type": F.col("construction_type")}))
+    again = first.select("id", "title", "description", F.col("condition").alias("first"), F.col("construction_type").alias("first_type"), F.col("given").alias("condition"), F.col("given_type").alias("construction_type"))
+    return ingest.backfill_condition(again).select("id", F.col("first").alias("condition"), F.col("first_type").alias("construction"), F.col("condition").alias("condition_later"), F.col("construction_type").alias("construction_later"))
 
 
 @query("""SELECT id, concat_ws(chr(10), concat('# ', title, chr(10)), concat('Typ: ', property_type, ' | Nabídka: ', offer_type), 'Cena: ' || format('{:,}', CAST(price AS BIGINT)) || ' Kč', concat('Lokalita: ', location_text), 'Obec: ' || municipality, 'Okres: ' || district, 'Dispozice: ' || disposition, 'Plocha: ' || CAST(area_built_up AS VARCHAR) || ' m²', 'Pozemek: ' || CAST(area_land AS VARCHAR) || ' m²', 'Stav: ' || condition, 'Konstrukce: ' || construction_type, chr(10) || '## Popis' || chr(10) || description) AS content FROM listings""")
