@@ -4,11 +4,11 @@
 2. Labels are shards at first.  A shard of more than CAP classes is split by centres fitted on some SAMPLE of its
    classes.  A class is at home with its nearest centre and a guest with each centre whose border is within a margin,
    so a partner across a border is met at home.  Splitting goes on until shards are small or do not shrink.
-3. A shard is dealt by hash into blocks of CAP classes at most, nearly always one.  Each block gets flat graphs:
-   every point keeps neighbours that robust pruning leaves.  Two orders of insertion make two graphs, for a dense group
-   can fall into parts in one order, hardly into the same in both.
-4. A class's lists from all its graphs and blocks are united.
-5. Home classes are the queries.  For each block of queries and each block of the shard, a greedy search starts from
+3. A shard is dealt by hash into blocks of CAP classes at most, nearly always one.  For each block of queries and each
+   block of the shard a task builds the latter's flat graphs: every point keeps neighbours that robust pruning leaves.
+   Two orders of insertion make two graphs, for a dense group can fall into parts in one order, hardly into the same in both.
+4. A point's lists from both graphs are united.  Lists never leave the task, so vectors are all that is exchanged.
+5. Home classes are the queries.  A greedy search starts from
    medoids and expands lists, both ways, as long as they bring points in range.  Searches are audited against all points for AUDIT
    queries a task, and repeated with a wider beam while they find less than REACH of the links; if even WIDEST times
    the beam does not, the block's points are compared directly.  Candidates are verified by their cosine in double precision.
@@ -31,14 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import Scratch, map_rows, mix, table
-from .flat_graph import BATCH, Both, build, clusters, in_range, medoids
+from .flat_graph import BATCH, DEGREE, Both, build, clusters, in_range, medoids
 from .graph import components
 
 THRESHOLD = 0.93
 #: Classes of a block, classes that centres are fitted on (about), centres of a split at most.
-CAP, SAMPLE, CENTRES = 4096, 4096, 64
+CAP, SAMPLE, CENTRES = 16384, 4096, 64
 MARGIN = 2.5
 #: A shard that keeps this share of its classes in a part is not split further.
 SHRINKS = 0.75
@@ -50,22 +51,28 @@ AUDIT, REACH = 32, 0.99
 WIDTH, WIDEST = 48, 4
 
 
-def units(raw: list[bytes]) -> np.ndarray:
-    """Unit vectors in double precision, one a row."""
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def units(raw: list[bytes], kind: str = "f8") -> np.ndarray:
+    """Unit vectors in double precision, one a row, of components stored as ``kind``."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def stored_as(vectors: DataFrame) -> str:
+    """Components travel in the precision they come in."""
+    return "f4" if vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull) else "f8"
+
+
 def keyed(vectors: DataFrame) -> DataFrame:
     """vec_id, label as text, and for vectors that can have links their bytes and a key of label and vector."""
+    kind = stored_as(vectors)
 
     def make():
         def one(vec_id, label, values):
             x = None if vec_id is None or label is None or not values or None in values else np.array(values, np.float64) + 0.0
             if x is None or not np.isfinite(x).all() or not x.any():
                 return vec_id, None, None, None, None
-            raw = x.tobytes()
+            raw = x.astype(kind).tobytes()
             return vec_id, label, len(x), raw, hashlib.blake2b(f"{label}:{len(x)}:".encode() + raw, digest_size=16).digest()
 
         return one
@@ -73,12 +80,12 @@ def keyed(vectors: DataFrame) -> DataFrame:
     return map_rows(vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>")), make, "vec_id long, label string, dim int, raw binary, key binary", step=2048)
 
 
-def split(members: DataFrame, cap: int, sample: int, margin: float) -> DataFrame:
-    """The parts of shards: ``members`` is (shard, no, raw, home, size), the same comes out with the parts' names and ``above`` = size."""
+def split(members: DataFrame, cap: int, sample: int, margin: float, kind: str) -> DataFrame:
+    """The parts of shards: ``members`` is (shard, no, raw, copies, home, size), the same comes out with the parts' names and ``above`` = size."""
     chosen = members.filter(F.pmod(F.xxhash64(F.lit(7), "no"), F.lit(1 << 20)) * F.col("size") < F.lit(sample << 20))
 
     def fit(key, rows):
-        x = units(rows["raw"].to_pylist())
+        x = units(rows["raw"].to_pylist(), kind)
         centres = clusters(x, min(CENTRES, max(2, -(-2 * rows["size"][0].as_py() // cap))))
         return pa.table({"shard": [key[0].as_py()], "centres": pa.array([centres.tobytes()], pa.binary()), "size": pa.array([rows["size"][0].as_py()], pa.int64())})
 
@@ -89,8 +96,8 @@ def split(members: DataFrame, cap: int, sample: int, margin: float) -> DataFrame
 
     def assign(key, own, fitted):
         if not len(own) or not len(fitted):  # no class of a shard fell into the sample: it stays whole
-            return own.select(["shard", "no", "raw", "home", "size"]).rename_columns(["shard", "no", "raw", "home", "above"])
-        x = units(own["raw"].to_pylist())
+            return own.select(["shard", "no", "raw", "copies", "home", "size"]).rename_columns(["shard", "no", "raw", "copies", "home", "above"])
+        x = units(own["raw"].to_pylist(), kind)
         c = np.frombuffer(fitted["centres"][0].as_py(), np.float64).reshape(-1, x.shape[1])
         near = x @ c.T
         best = near.argmax(1)
@@ -98,36 +105,30 @@ def split(members: DataFrame, cap: int, sample: int, margin: float) -> DataFrame
         row, part = np.nonzero((border <= margin) | (np.arange(len(c)) == best[:, None]))
         home = own["home"].to_numpy(zero_copy_only=False)[row] & (part == best[row])
         out = own.take(pa.array(row))
-        return pa.table({"shard": [f"{key[0].as_py()}/{p}" for p in part], "no": out["no"], "raw": out["raw"], "home": home, "above": out["size"]})
+        return pa.table({"shard": [f"{key[0].as_py()}/{p}" for p in part], "no": out["no"], "raw": out["raw"], "copies": out["copies"], "home": home, "above": out["size"]})
 
-    return rows.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(assign, "shard string, no long, raw binary, home boolean, above long")
+    return rows.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(assign, "shard string, no long, raw binary, copies long, home boolean, above long")
 
 
-def sharded(classes: DataFrame, scratch: Scratch, cap: int, sample: int, margin: float) -> DataFrame:
-    """(shard, no, raw, home, size): the members of all shards, and how many each shard has."""
-    now = classes.select(F.concat_ws(":", "label", "dim").alias("shard"), "no", "raw", F.lit(True).alias("home"), F.lit(None).cast("long").alias("above"))
+def sharded(classes: DataFrame, scratch: Scratch, cap: int, sample: int, margin: float, kind: str) -> DataFrame:
+    """(shard, no, raw, copies, home, size): the members of all shards, and how many each shard has."""
+    now = classes.select(F.concat_ws(":", "label", "dim").alias("shard"), "no", "raw", "copies", F.lit(True).alias("home"), F.lit(None).cast("long").alias("above"))
     done, level = None, 0
     while True:
-        sizes = now.groupBy("shard").agg(F.count("*").alias("size"))
-        now = scratch.keep(now.join(sizes, "shard"), f"level{level}")
-        large = (F.col("size") > cap) & (F.col("above").isNull() | (F.col("size") < SHRINKS * F.col("above")))
-        small = now.filter(~large).drop("above")
-        done = small if done is None else done.unionByName(small)
-        if now.filter(large).isEmpty():
+        sizes = now.groupBy("shard").agg(F.count("*").alias("size"), F.first("above").alias("_above"))
+        large = (F.col("size") > cap) & (F.col("_above").isNull() | (F.col("size") < SHRINKS * F.col("_above")))
+        # A row a shard: sent to the vectors, which so are not exchanged for it.
+        sizes = scratch.keep(sizes.select("shard", "size", F.coalesce(large, F.lit(False)).alias("_large")), f"sizes{level}")
+        n = {r[0]: r[1] for r in sizes.groupBy("_large").count().collect()}
+        now = now.drop("above").join(F.broadcast(sizes), "shard")
+        if n.get(False) or not n:
+            small = now.filter("NOT _large").drop("_large")
+            done = small if done is None else done.unionByName(small)
+        if not n.get(True):
             return done
-        now, level = scratch.keep(split(now.filter(large).drop("above"), cap, sample, margin), f"parts{level}"), level + 1
-
-
-def lists(members: DataFrame) -> DataFrame:
-    """(no, near): the united neighbour lists of every class."""
-
-    def graph(rows):
-        number, x = rows["no"].to_numpy(), units(rows["raw"].to_pylist()).astype(np.float32)
-        links = np.hstack([build(x, seed=k) for k in range(ORDERS)])
-        return pa.table({"no": number, "near": pa.array([number[x[x >= 0]].tolist() for x in links], pa.list_(pa.int64()))})
-
-    own = members.groupBy("shard", "block").applyInArrow(graph, "no long, near array<long>")
-    return own.groupBy("no").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        now, level = scratch.keep(split(now.filter("_large").drop("_large"), cap, sample, margin, kind), f"parts{level}"), level + 1
+        if level > 1 and not n.get(False):
+            scratch.drop(f"parts{level - 2}")
 
 
 class Links:
@@ -147,21 +148,27 @@ class Links:
             a, b = a[left], b[left]
 
 
-def searched(tasks: DataFrame, threshold: float, width: int) -> DataFrame:
+def neighbours(x: np.ndarray) -> np.ndarray:
+    """The united lists of all points' graphs, each neighbour once, and an empty one behind them."""
+    links = np.full((len(x) + 1, ORDERS * DEGREE), -1, np.int64)
+    links[:-1] = np.sort(np.hstack([build(x, seed=k) for k in range(ORDERS)]), axis=1)
+    again = links[:, 1:] == links[:, :-1]
+    links[:, 1:][again] = -1
+    return links
+
+
+def searched(tasks: DataFrame, threshold: float, width: int, kind: str) -> DataFrame:
     """no, n_found (linked vectors), root, audited, caught; for queries and for points with links."""
 
     def run(rows):
         number, sizes = rows["no"].to_numpy(), rows["copies"].to_numpy()
         asks, held = (rows[c].to_numpy(zero_copy_only=False) for c in ("asks", "held"))
-        x, points, queries = units(rows["raw"].to_pylist()), np.flatnonzero(held), np.flatnonzero(asks)
+        x, points, queries = units(rows["raw"].to_pylist(), kind), np.flatnonzero(held), np.flatnonzero(asks)
         count, union, audited, caught = np.zeros(len(number), np.int64), Links(len(number)), 0, 0
         if len(points) and len(queries):
-            place = {k: i for i, k in enumerate(number[points].tolist())}
-            near = [[place[k] for k in rows["near"][int(p)].as_py() if k in place] for p in points]
-            links = np.full((len(points) + 1, max(1, *map(len, near))), -1, np.int64)
-            for i, found in enumerate(near):
-                links[i, : len(found)] = found
-            single, both = x[points].astype(np.float32), Both(links, len(points))
+            single = x[points].astype(np.float32)
+            links = neighbours(single)
+            both = Both(links, len(points))
             starts = medoids(single)
             own = np.full(len(number), -1)
             own[points] = np.arange(len(points))
@@ -199,22 +206,22 @@ def searched(tasks: DataFrame, threshold: float, width: int) -> DataFrame:
 
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, cap: int = CAP, sample: int = SAMPLE, width: int = WIDTH, margin: float = MARGIN) -> tuple[DataFrame, DataFrame]:
     """vec_id, n_links and component_id of every row; and one row of what the audits had to find and found."""
-    scratch = Scratch(vectors.sparkSession)
+    scratch, kind = Scratch(vectors.sparkSession), stored_as(vectors)
     rows = scratch.keep(keyed(vectors), "rows")
     dims = rows.agg(F.max("dim")).first()[0] or 1
     step = (2 - 2 * threshold) ** 0.5
     one = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("raw").alias("raw"))
     classes = scratch.keep(one.withColumn("no", F.monotonically_increasing_id()), "classes")
-    members = sharded(classes, scratch, cap, sample, min(step, margin * step / dims**0.5))
+    rows = scratch.keep(rows.select("vec_id", "key"), "keys")
+    scratch.drop("rows")
+    members = sharded(classes, scratch, cap, sample, min(step, margin * step / dims**0.5), kind)
     parts = F.ceil(F.col("size") / cap).cast("int")
-    members = scratch.keep(members.withColumn("block", F.pmod(F.xxhash64(F.lit(13), "no"), parts).cast("int")).withColumn("parts", parts), "members")
-    near = scratch.keep(lists(members), "lists")
+    members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(13), "no"), parts).cast("int")).withColumn("parts", parts)
     all_parts = F.sequence(F.lit(0), F.col("parts") - 1)
     as_point = F.transform(all_parts, lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), (F.col("home") & (i == F.col("block"))).alias("asks"), F.lit(True).alias("held")))
     as_query = F.transform(F.filter(all_parts, lambda j: F.col("home") & (j != F.col("block"))), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("held")))
-    tasks = members.join(near, "no").join(classes.select("no", "copies"), "no").select("shard", "no", "raw", "near", "copies", F.explode(F.concat(as_point, as_query)).alias("t")).select("shard", "t.*", "no", "raw", "near", "copies")
-    found = scratch.keep(searched(tasks, threshold, width), "found")
-    scratch.drop("members", "lists")
+    tasks = members.select("shard", "no", "raw", "copies", F.explode(F.concat(as_point, as_query)).alias("t")).select("shard", "t.*", "no", "raw", "copies")
+    found = scratch.keep(searched(tasks, threshold, width, kind), "found")
     roots = components(found.filter("no <> root").select(F.col("no").alias("a"), F.col("root").alias("b")))
     placed = classes.select("key", "no", "copies", "rep").join(roots.withColumnRenamed("id", "no"), "no", "left").withColumn("root", F.coalesce("root", "no"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))

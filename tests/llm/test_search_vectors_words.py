@@ -129,6 +129,15 @@ def test_vectors(spark, cap, sample):
     assert told.audited > 0 and told.caught == told.audited
 
 
+def test_vectors_travel_as_stored(spark):
+    """Four bytes a component of floats, and a label of some thousand is one shard, whose lists stay in its task."""
+    df = spark.createDataFrame([(1, 1, [0.1] * 16), (2, 1, [0.3] * 16)], "vec_id long, label int, embedding array<float>")
+    assert {len(r.raw) for r in embedding_dedup.keyed(df).collect()} == {64}
+    assert embedding_dedup.CAP > 4096 and not hasattr(embedding_dedup, "lists")
+    found, _ = embedding_dedup.linked(df)
+    assert rows(found, "vec_id", "n_links", "component_id") == Counter({(1, 1, 1): 1, (2, 1, 1): 1})
+
+
 def test_no_vectors(spark):
     found, _ = embedding_dedup.linked(spark.createDataFrame([], "vec_id long, label int, embedding array<float>"))
     assert found.count() == 0
