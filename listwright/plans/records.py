@@ -12,7 +12,7 @@ from ..model import property_type
 from ..operators import search
 from ..sources import html, payloads, routes
 from .registry import query
-from .views import VIEWS
+from .views import DEALT, VIEWS
 
 
 def markup(sql: str) -> str:
@@ -46,6 +46,7 @@ SELECT concat('r/', CAST(o_orderkey AS STRING), CASE o_orderkey % 5 WHEN 0 THEN
   CASE o_orderkey % 5 WHEN 0 THEN concat('<gpx><trk><trkseg><trkpt lat="48.5" lon="16.', CAST(o_orderkey AS STRING), '"/><trkpt lon="16.25" lat="48.', CAST(o_custkey AS STRING), '"><ele>1</ele></trkpt><trkpt lat="95" lon="1"/></trkseg></trk><wpt lat="1" lon="2"/></gpx>') WHEN 1 THEN concat('<gpx><wpt lat="3" lon="4"/><rte><rtept lat="48.5" lon="16.', CAST(o_orderkey AS STRING), '"/></rte></gpx>') WHEN 2 THEN concat('⟨"features":[⟨"geometry":⟨"type":"MultiLineString","coordinates":[[[16.', CAST(o_orderkey AS STRING), ',48.5]],[[16.25,48.', CAST(o_custkey AS STRING), ']]]⟩⟩]⟩') WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN '⟨"type":"Point","coordinates":[1,2]⟩' ELSE concat('⟨"geometry":⟨"type":"LineString","coordinates":[[16.', CAST(o_orderkey AS STRING), ',48.5],[16.25,48.', CAST(o_custkey AS STRING), ']]⟩⟩') END ELSE 'x' END AS content
 FROM {orders}"""),
 }
+DEALT |= {"offer_pages", "pushed_pages", "ad_pages", "feed_items", "route_files"}
 BASE = "http://e.example.org"
 
 
