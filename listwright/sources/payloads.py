@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from ..functions.geo import in_box_or_unknown
 from ..functions.numbers import first_group
-from .html import distinct_by
+from .html import bound, distinct_by
 
 ESTATE = "struct<id:string,listingType:string,status:string,slug:string,title:string,description:string,price:double,area:double,landArea:double,localityCity:string,localityRegion:string,images:array<string>,sourcePayload:struct<estate:struct<advert_type:int>>>"
 
@@ -171,15 +171,18 @@ def estate_listings(rows: DataFrame, base: str) -> DataFrame:
 def next_data(markup: Column) -> Column:
     """The page's embedded state as text, null unless it is JSON."""
     found = first_group(markup, r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>')
-    return F.when(F.try_parse_json(found).isNotNull(), found)
+    return bound(found, lambda x: F.when(F.try_parse_json(x).isNotNull(), x))
 
 
 def ads(markup: Column) -> Column:
     """(total, items as JSON texts) of a list page; either of two keys holds the items."""
-    state = next_data(markup)
-    at = "$.props.pageProps.adsListResult"
-    items = F.coalesce(F.get_json_object(state, f"{at}.ads"), F.get_json_object(state, f"{at}.data"))
-    return F.when(F.get_json_object(state, at).isNotNull(), F.struct(F.get_json_object(state, f"{at}.totalCount").cast("int").alias("total"), F.transform(F.from_json(items, "array<variant>"), lambda v: F.to_json(v)).alias("items")))
+
+    def read(found: Column) -> Column:
+        items = F.coalesce(F.get_json_object(found, "$.ads"), F.get_json_object(found, "$.data"))
+        return F.when(found.isNotNull(), F.struct(F.get_json_object(found, "$.totalCount").cast("int").alias("total"), F.transform(F.from_json(items, "array<variant>"), lambda v: F.to_json(v)).alias("items")))
+
+    # The state is found and parsed once, its list alone is looked into again.
+    return bound(bound(next_data(markup), lambda state: F.get_json_object(state, "$.props.pageProps.adsListResult")), read)
 
 
 def ad_description(markup: Column, html_text: Column, size: int = 4000) -> Column:
