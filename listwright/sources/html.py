@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,6 +16,8 @@ from ..functions.numbers import first_group
 from ..functions.text import rx
 
 ELEMENT = "struct<idx:int,parent:int,tag:string,attrs:map<string,string>,text:string>"
+#: Pages parsed before their elements are handed on.
+STEP = 64
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -54,11 +57,15 @@ def parse(markup: str | None) -> list[dict]:
     return [{"idx": i, "parent": p, "tag": t, "attrs": a, "text": " ".join(x)} for i, (p, t, a, x) in enumerate(reader.found)]
 
 
-def elements(markup: Column) -> Column:
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(parse)
+def sliced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Elements of STEP pages at a time, so that a task never holds those of a whole batch."""
+    for pages in batches:
+        for at in range(0, len(pages), STEP):
+            yield pages.iloc[at : at + STEP].map(parse)
+
 
-    return F.pandas_udf(run, f"array<{ELEMENT}>")(markup)
+def elements(markup: Column) -> Column:
+    return F.pandas_udf(sliced, f"array<{ELEMENT}>")(markup)
 
 
 def attr(e: Column, name: str) -> Column:
