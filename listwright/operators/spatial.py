@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, krovak, outline
+from ..shared import dealt
 from .search import all_of
 
 MAP_POINTS = 2000
@@ -41,17 +42,33 @@ def _cells(x0: Column, x1: Column, size: float) -> Column:
     return F.sequence(F.floor(x0 / size), F.floor(x1 / size))
 
 
+def classes(df: DataFrame, key: str, name: str, *shape: str) -> tuple[DataFrame, DataFrame]:
+    """(key, name) and (name, shape): keys of equal shapes form a class, and a class with all its shapes goes on alone."""
+    own = df.filter(F.col(shape[0]).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*shape))).alias("_shapes")).withColumn(name, F.sha2(F.to_json("_shapes"), 256))
+    return own.select(key, name), own.groupBy(name).agg(F.first("_shapes").alias("_shapes")).select(name, F.explode("_shapes").alias("_s")).select(name, "_s.*")
+
+
 def areas_join(listings: DataFrame, areas: DataFrame, cell: float = 0.05) -> DataFrame:
     """listing rows x (area_id): points in polygons ``areas`` (area_id, wkt).
 
-    Both sides meet on grid cells (an equi join); only then the exact test runs.
+    Places and shapes are compared once each, however many rows share them: both sides meet on grid cells (an equi
+    join); only then the exact test runs.  What meets is handed to the rows.
     """
+    members, own = classes(areas, "area_id", "_area", "wkt")
+    points = listings.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+    met = _places_in(points.select("latitude", "longitude").distinct(), own.withColumnRenamed("_area", "area_id"), cell).distinct()
+    found = met.withColumnRenamed("area_id", "_area").join(members, "_area").select(F.col("latitude").alias("_y"), F.col("longitude").alias("_x"), "area_id")
+    both = dealt(points.withColumns({"_y": F.col("latitude"), "_x": F.col("longitude")}), "_y", "_x").join(dealt(found, "_y", "_x"), ["_y", "_x"])
+    return both.select(*listings.columns, "area_id")
+
+
+def _places_in(listings: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
     shapes = areas.select("area_id", geo.rings_of_wkt(F.col("wkt")).alias("_rings"))
     ends = F.flatten("_rings")
     lons, lats = F.transform(ends, lambda p: p["lon"]), F.transform(ends, lambda p: p["lat"])
     tiles = shapes.select("area_id", "_rings", F.explode(_cells(F.array_min(lons), F.array_max(lons), cell)).alias("_cx"), _cells(F.array_min(lats), F.array_max(lats), cell).alias("_cys")).select("area_id", "_rings", "_cx", F.explode("_cys").alias("_cy"))
     points = listings.filter("latitude IS NOT NULL AND longitude IS NOT NULL").withColumns({"_cx": F.floor(F.col("longitude") / cell), "_cy": F.floor(F.col("latitude") / cell)})
-    return points.join(tiles, ["_cx", "_cy"]).filter(geo.in_polygon(F.col("longitude"), F.col("latitude"), F.col("_rings"))).drop("_cx", "_cy", "_rings")
+    return dealt(points, "_cx", "_cy").join(dealt(tiles, "_cx", "_cy"), ["_cx", "_cy"]).filter(geo.in_polygon(F.col("longitude"), F.col("latitude"), F.col("_rings"))).drop("_cx", "_cy", "_rings")
 
 
 def segments(routes: DataFrame) -> DataFrame:
@@ -64,13 +81,16 @@ def segments(routes: DataFrame) -> DataFrame:
 
 def corridor_members(listings: DataFrame, routes: DataFrame, cell: float = 5000.0) -> DataFrame:
     """(area_id, id) of active listings within ``radius`` metres of a route: exact round-capped buffers."""
-    seg = segments(routes)
+    members, own_routes = classes(routes, "area_id", "_area", "wkt", "radius")
+    own = listings.filter("is_active AND latitude IS NOT NULL AND longitude IS NOT NULL").select("id", F.col("latitude").alias("_y"), F.col("longitude").alias("_x"))
+    places = own.select("_y", "_x").distinct()
+    seg = segments(own_routes.withColumnRenamed("_area", "area_id"))
     tiles = seg.withColumn("_cx", F.explode(_cells(F.least("x1", "x2") - F.col("radius"), F.greatest("x1", "x2") + F.col("radius"), cell)))
     tiles = tiles.withColumn("_cy", F.explode(_cells(F.least("y1", "y2") - F.col("radius"), F.greatest("y1", "y2") + F.col("radius"), cell)))
-    own = listings.filter("is_active AND latitude IS NOT NULL AND longitude IS NOT NULL")
-    pts = own.select("id", krovak.to_plane(F.col("latitude"), F.col("longitude")).alias("q")).select("id", F.col("q.x").alias("px"), F.col("q.y").alias("py")).withColumns({"_cx": F.floor(F.col("px") / cell), "_cy": F.floor(F.col("py") / cell)})
+    pts = places.select("_y", "_x", krovak.to_plane(F.col("_y"), F.col("_x")).alias("q")).select("_y", "_x", F.col("q.x").alias("px"), F.col("q.y").alias("py")).withColumns({"_cx": F.floor(F.col("px") / cell), "_cy": F.floor(F.col("py") / cell)})
     near = geo.segment_distance(*(F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2"))) <= F.col("radius")
-    return pts.join(tiles, ["_cx", "_cy"]).filter(near).select("area_id", "id").distinct()
+    met = dealt(pts, "_cx", "_cy").join(dealt(tiles, "_cx", "_cy"), ["_cx", "_cy"]).filter(near).select(F.col("area_id").alias("_area"), "_y", "_x").distinct()
+    return met.join(members, "_area").join(own, ["_y", "_x"]).select("area_id", "id").distinct()
 
 
 def corridor_counts(listings: DataFrame, routes: DataFrame) -> DataFrame:
@@ -109,9 +129,15 @@ def outlined(points, radius) -> str | None:
 
 def build_corridors(routes: DataFrame, listings: DataFrame, smallest: float = 100.0, largest: float = 50_000.0) -> DataFrame:
     """area_id, polygon_wkt, listing_count; radii outside the limits are refused (null polygon, reason)."""
+    return corridor_shapes(routes, smallest, largest).join(corridor_counts(listings, routes.filter(F.col("radius").between(smallest, largest))), "area_id", "left")
+
+
+def corridor_shapes(routes: DataFrame, smallest: float = 100.0, largest: float = 50_000.0) -> DataFrame:
+    """area_id, polygon_wkt, reason; equal routes are outlined once."""
     ok = F.col("radius").between(smallest, largest)
-    shaped = routes.select("area_id", F.when(ok, buffer_wkt(geo.points_of_wkt(F.col("wkt")), F.col("radius"))).alias("polygon_wkt"), F.when(~ok, F.format_string("radius must be %.0f to %.0f m", F.lit(smallest), F.lit(largest))).alias("reason"))
-    return shaped.join(corridor_counts(listings, routes.filter(ok)), "area_id", "left")
+    lines = routes.filter(ok & F.col("wkt").isNotNull()).select("wkt", "radius").distinct()
+    outlines = dealt(lines).withColumn("polygon_wkt", buffer_wkt(geo.points_of_wkt(F.col("wkt")), F.col("radius")))
+    return routes.join(outlines, ["wkt", "radius"], "left").select("area_id", "polygon_wkt", F.when(~ok, F.format_string("radius must be %.0f to %.0f m", F.lit(smallest), F.lit(largest))).alias("reason"))
 
 
 def _cover(x1: Column, y1: Column, x2: Column, y2: Column, grow: Column, cell: float) -> Column:
@@ -145,7 +171,7 @@ def _near_edges(left: DataFrame, right: DataFrame, reach: Column, cell: float) -
     """Rows of both sides whose segments (x1..y2; u1..v2) lie within ``reach``, a column of the left: an equi-join on cells, then the exact distance."""
     own = left.withColumn("_c", F.explode(_cover(*(F.col(c) for c in ("x1", "y1", "x2", "y2")), reach, cell))).select("*", "_c.cx", "_c.cy").drop("_c")
     other = right.withColumn("_c", F.explode(_cover(*(F.col(c) for c in ("u1", "v1", "u2", "v2")), F.lit(0.0), cell))).select("*", "_c.cx", "_c.cy").drop("_c")
-    return own.join(other, ["cx", "cy"]).filter(geo.segments_distance(*(F.col(c) for c in ("x1", "y1", "x2", "y2", "u1", "v1", "u2", "v2"))) <= reach)
+    return dealt(own, "cx", "cy").join(dealt(other, "cx", "cy"), ["cx", "cy"]).filter(geo.segments_distance(*(F.col(c) for c in ("x1", "y1", "x2", "y2", "u1", "v1", "u2", "v2"))) <= reach)
 
 
 def _turned(edges: DataFrame) -> DataFrame:
@@ -162,11 +188,24 @@ def municipalities_in_corridors(municipalities: DataFrame, routes: DataFrame, re
     for column, value in (("region", region), ("district", district)):
         if value and column in own.columns:
             own = own.filter(F.col(column) == value)
+    names, own = classes(own, "name", "_town", "wkt")
+    areas, lines = classes(routes, "area_id", "_area", "wkt", "radius")
+    own, routes = own.withColumnRenamed("_town", "name"), lines.withColumnRenamed("_area", "area_id")
     sides = own.select("name", F.explode(geo.rings_of_wkt(F.col("wkt"))).alias("r")).select("name", F.explode(_edges(_closed(F.col("r")))).alias("e"))
     touched = _near_edges(segments(routes), _turned(_in_plane(sides, "name")), F.col("radius"), cell).select("area_id", "name")
     stops = routes.select(F.col("area_id").alias("id"), F.explode(geo.points_of_wkt(F.col("wkt"))).alias("p")).select("id", F.col("p.lat").alias("latitude"), F.col("p.lon").alias("longitude"))
-    inside = areas_join(stops, own.select(F.col("name").alias("area_id"), "wkt")).select(F.col("id").alias("area_id"), F.col("area_id").alias("name"))
-    return touched.unionByName(inside).distinct()
+    inside = _corners_in(stops, own.select(F.col("name").alias("area_id"), "wkt")).select(F.col("id").alias("area_id"), F.col("area_id").alias("name"))
+    return _of_classes(touched.unionByName(inside).distinct(), areas, names)
+
+
+def _corners_in(corners: DataFrame, areas: DataFrame, cell: float = 0.05) -> DataFrame:
+    return _places_in(corners, areas, cell).select("id", "area_id")
+
+
+def _of_classes(met: DataFrame, areas: DataFrame, names: DataFrame) -> DataFrame:
+    """(area_id, name) of classes that meet; neither side repeats a key, so no pair comes twice."""
+    rows = met.select(F.col("area_id").alias("_area"), F.col("name").alias("_town")).join(areas, "_area").select("area_id", "_town")
+    return dealt(rows, "_town").join(dealt(names, "_town"), "_town").select("area_id", "name")
 
 
 def municipalities_in_areas(municipalities: DataFrame, areas: DataFrame, cell: float = 0.05) -> DataFrame:
@@ -182,11 +221,14 @@ def municipalities_in_areas(municipalities: DataFrame, areas: DataFrame, cell: f
     def corners(df: DataFrame, key: str) -> DataFrame:
         return df.select(F.col(key).alias("id"), F.explode(F.flatten(geo.rings_of_wkt(F.col("wkt")))).alias("p")).select("id", F.col("p.lat").alias("latitude"), F.col("p.lon").alias("longitude"))
 
+    names, own = classes(municipalities, "name", "_town", "wkt")
+    keys, shapes = classes(areas, "area_id", "_area", "wkt")
+    municipalities, areas = own.withColumnRenamed("_town", "name"), shapes.withColumnRenamed("_area", "area_id")
     touched = _near_edges(sides(areas, "area_id"), _turned(sides(municipalities, "name")), F.lit(0.0), cell).select("area_id", "name")
     towns = municipalities.select(F.col("name").alias("area_id"), "wkt")
-    within = areas_join(corners(areas, "area_id"), towns, cell).select(F.col("id").alias("area_id"), F.col("area_id").alias("name"))
-    around = areas_join(corners(municipalities, "name"), areas.select("area_id", "wkt"), cell).select("area_id", F.col("id").alias("name"))
-    return touched.unionByName(within).unionByName(around).distinct()
+    within = _corners_in(corners(areas, "area_id"), towns, cell).select(F.col("id").alias("area_id"), F.col("area_id").alias("name"))
+    around = _corners_in(corners(municipalities, "name"), areas.select("area_id", "wkt"), cell).select("area_id", F.col("id").alias("name"))
+    return _of_classes(touched.unionByName(within).unionByName(around).distinct(), keys, names)
 
 
 def map_bounds(points: DataFrame) -> DataFrame:
