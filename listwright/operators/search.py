@@ -173,8 +173,10 @@ def summaries(listings: DataFrame, photos: DataFrame, states: DataFrame, user: s
 def details(listings: DataFrame, photos: DataFrame, states: DataFrame, user: str = "default") -> DataFrame:
     """All columns with sorted photos and the user's state; duplicates borrow title, source and state of their primary."""
     out = beside(beside(listings, nested_photos(photos)), user_state(states, user))
-    first = out.select(F.col("id").alias("_pid"), F.col("title").alias("_pt"), F.col("source_name").alias("_ps"), F.col("state").alias("_pu"))
-    out = out.join(first, F.col("duplicate_of_listing_id") == F.col("_pid"), "left")
+    first = beside(listings, user_state(states, user)).select(F.col("id").alias("_pid"), F.col("title").alias("_pt"), F.col("source_name").alias("_ps"), F.col("state").alias("_pu"), F.lit(True).alias("_is"))
+    # Listings without a primary would all meet in one task by their null: they go by their own id, and match nothing.
+    out = out.withColumns({"_of": effective_id(), "_has": F.col("duplicate_of_listing_id").isNotNull()})
+    out = out.join(first, (F.col("_of") == F.col("_pid")) & (F.col("_has") == F.col("_is")), "left").drop("_of", "_has", "_is")
     return out.withColumns({"primary_title": F.coalesce("_pt", "title"), "primary_source": F.coalesce("_ps", "source_name"), "state": F.coalesce("state", "_pu")}).drop("_pid", "_pt", "_ps", "_pu")
 
 

@@ -4,8 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from listwright.operators import rag, spatial
-from listwright.plans import catalog, stateful
+from listwright.operators import intervals, rag, search, spatial
 from listwright.plans.views import view
 from listwright.sources import html
 
@@ -40,3 +39,38 @@ def test_equal_shapes_form_a_class(spark):
     assert sorted((r.id, r.area_id) for r in got.collect()) == [("p", "a"), ("p", "b"), ("q", "a"), ("q", "b"), ("r", "b")]
     towns = spark.createDataFrame([("x", square), ("y", square)], "name string, wkt string")
     assert sorted(map(tuple, spatial.municipalities_in_areas(towns, areas, 0.5).collect())) == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")]
+
+
+def largest_share(df):
+    """The largest part of the rows that one task of the last stage gives out."""
+    n = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(n) / sum(n)
+
+
+@pytest.fixture
+def plain_joins(spark):
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_listings_without_a_primary_are_dealt(spark, sf, plain_joins):
+    own = search.details(*(view(spark, sf, n) for n in ("listings", "photos", "states")), "5")
+    assert largest_share(own.filter("duplicate_of_listing_id IS NULL")) < 0.5
+
+
+def test_points_of_one_cell_are_dealt(spark, plain_joins):
+    points = spark.range(200).selectExpr("id", "timestamp_micros(1700000000000000 + id) AS at")
+    spans = spark.createDataFrame([(1, 1_699_999_999, 1_700_000_001), (2, 100, 200)], "n int, s long, e long").selectExpr("n", "timestamp_seconds(s) AS s", "timestamp_seconds(e) AS e")
+    got = intervals.points_in(points, "at", spans, "s", "e")
+    assert got.columns == ["id", "at", "n", "s", "e"] and got.count() == 200 and largest_share(got) < 0.5
+
+
+def test_nearest_by_id_where_distances_are_equal(spark):
+    items = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(900, 0, -1)], "item_id long, vector array<double>").coalesce(1)
+    asked = spark.createDataFrame([(7, [0.0, 0.0])], "query_id long, vector array<double>")
+    assert [(r.item_id, r.position) for r in rag.similar_to_each(asked, items, 3).orderBy("position").collect()] == [(1, 1), (2, 2), (3, 3)]
