@@ -316,7 +316,7 @@ def sentences_once(text: Column, size: int) -> Column:
 
 def lexemes(text: Column) -> Column:
     """Distinct lower-cased words, no stemming, no stop words."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
 
 
 def extension_of(content_type: Column) -> Column:

@@ -4,8 +4,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from listwright.operators import intervals, rag, search, spatial
+from listwright.operators import intervals, rag, search, spatial, word_index
 from listwright.plans.views import view
+from listwright.shared import fresh_folder
 from listwright.sources import html
 
 
@@ -74,3 +75,13 @@ def test_nearest_by_id_where_distances_are_equal(spark):
     items = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(900, 0, -1)], "item_id long, vector array<double>").coalesce(1)
     asked = spark.createDataFrame([(7, [0.0, 0.0])], "query_id long, vector array<double>")
     assert [(r.item_id, r.position) for r in rag.similar_to_each(asked, items, 3).orderBy("position").collect()] == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_postings_cross_the_exchange_as_lists(spark):
+    index = word_index.WordIndex(spark, fresh_folder(spark, "tests"), 4)
+    own = spark.range(20_000).selectExpr("id", "'same Words, same words' AS text")
+    index.update(0, "id", ["text"], own.unionByName(own.filter("id < 10").withColumn("text", F.lit("words again"))))
+    assert index.store.read("postings", word_index.POSTINGS).count() < 1000 and index.matching("same words").count() == 20_000
+    assert sorted(r.id for r in index.matching("again words").collect()) == [str(k) for k in range(10)]
+    index.update(1, "id", ["text"], own.filter("id = 7").withColumn("text", F.lit("other words")), own.filter("id IN (7, 8)"))
+    assert index.matching("words").count() == 19_999 and index.matching("same").count() == 19_998 and [r.id for r in index.matching("other").collect()] == ["7"]
