@@ -2,98 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
 
-from pyspark.sql import DataFrame, Row
+from pandas import Timedelta
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .store import BucketStore
 
-#: State store that arbitrary state needs.
-CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 FINAL = ("Succeeded", "Failed")
-#: Times are microseconds here, so that zones play no part.
-STATE = "created_at long, status string, status_at long, progress long, error_message string, finished_at long, n long"
-NAMES = [part.split()[0] for part in STATE.split(", ")]
-FOLDED = "job_id string, created_at timestamp, status string, status_at timestamp, progress long, error_message string, finished_at timestamp, n long, silent boolean"
+FOLDED = "job_id string, created_at timestamp, status string, status_at timestamp, progress long, error_message string, finished_at timestamp, n long, silent boolean, due_at timestamp"
 
 
-class JobFold(StatefulProcessor):
-    """One state a job; the fold takes smallest and largest values only, so the order of events and batches is free.
+def states(events: DataFrame, due_us: int) -> DataFrame:
+    """Each event (job_id, ts, status, progress, error_message) as the state of a job that has seen it alone."""
+    at = F.col("ts").isNotNull()
+    return events.select(
+        F.col("job_id").cast("string"), F.col("ts").alias("created_at"), F.when(at, F.col("status")).alias("status"), F.col("ts").alias("status_at"), F.col("progress").cast("long"), F.when(at, F.col("error_message")).alias("error_message"),
+        F.when(F.col("status").isin(*FINAL), F.col("ts")).alias("finished_at"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("silent"), F.timestamp_micros(F.lit(due_us)).alias("due_at"), F.lit(True).alias("_fresh"),
+    )
 
-    A job without a final status gets a timer ``patience_ms`` after each batch that names it; when it fires, the job is given out as
-    silent.  Another event makes it a live one again.
-    """
-
-    def __init__(self, patience_ms: int):
-        self.patience_ms = patience_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.job = handle.getValueState("job", STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        own = dict(zip(NAMES, self.job.get(), strict=True)) if self.job.exists() else dict.fromkeys(NAMES) | {"n": 0}
-        for r in rows:
-            own["n"] += 1
-            own["created_at"] = min((t for t in (own["created_at"], r.ts) if t is not None), default=None)
-            if r.ts is not None and (own["status_at"] is None or (own["status_at"], own["status"] or "") <= (r.ts, r.status or "")):
-                own |= {"status": r.status, "status_at": r.ts, "error_message": r.error_message}
-            own["progress"] = max((p for p in (own["progress"], r.progress) if p is not None), default=None)
-            if r.status in FINAL:
-                own["finished_at"] = max((t for t in (own["finished_at"], r.ts) if t is not None), default=None)
-        self.job.update(tuple(own.values()))
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if own["status"] not in FINAL:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
-        yield Row(job_id=key[0], **own, silent=False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.job.exists():
-            yield Row(job_id=key[0], **dict(zip(NAMES, self.job.get(), strict=True)), silent=True)
+def folded(rows: DataFrame, now_us: int) -> DataFrame:
+    """One state a job, of its kept state and its new ones (``_fresh``).
 
-    def close(self) -> None:
-        pass
-
-
-def folded(events: DataFrame, patience: str = "1 day") -> DataFrame:
-    """The changed states of every batch of ``events``: job_id, ts, status, progress, error_message."""
-    from pandas import Timedelta
-
-    own = events.select(F.col("job_id").cast("string"), F.unix_micros("ts").alias("ts"), "status", F.col("progress").cast("long"), "error_message")
-    states = own.groupBy("job_id").transformWithState(JobFold(int(Timedelta(patience).total_seconds() * 1000)), f"job_id string, {STATE}, silent boolean", "Update", "ProcessingTime")
-    return states.withColumns({c: F.timestamp_micros(c) for c in ("created_at", "status_at", "finished_at")})
+    Smallest and largest values only, so the order of events and batches is free.  A job without a final status is silent from its
+    ``due_at`` on, which each batch that names it sets anew; another event makes it a live one again.
+    """
+    last = F.max_by(F.struct("status", "status_at", "error_message"), F.struct("status_at", F.coalesce("status", F.lit("")), F.coalesce("error_message", F.lit(""))))
+    own = rows.groupBy("job_id").agg(
+        F.min("created_at").alias("created_at"), last.alias("_l"), F.max("progress").alias("progress"), F.max("finished_at").alias("finished_at"), F.sum("n").alias("n"), F.max("silent").alias("_silent"), F.max_by("due_at", "_fresh").alias("due_at"), F.max("_fresh").alias("_fresh"),
+    )
+    open_ = ~F.coalesce(F.col("_l.status").isin(*FINAL), F.lit(False))
+    silent = open_ & ((F.col("_silent") & ~F.col("_fresh")) | (F.col("due_at") <= F.timestamp_micros(F.lit(now_us))))
+    return own.select("job_id", "created_at", "_l.status", "_l.status_at", "progress", "_l.error_message", "finished_at", "n", silent.alias("silent"), "due_at")
 
 
-def keep_jobs(store: BucketStore, changed: DataFrame, version: int) -> None:
-    """Put the changed states of a batch into the store's table ``jobs``; buckets without any stay as they are."""
+def keep_jobs(store: BucketStore, events: DataFrame, version: int, patience: str = "1 day") -> None:
+    """Fold a batch into the store's table ``jobs``; buckets without events and without newly silent jobs stay as they are."""
     if store.version() >= version:
         return
-    changed = changed.persist()
-    try:
-        touched = [r[0] for r in changed.select(store.bucket("job_id")).distinct().collect()]
-        # A batch can give out a job twice, by its events and by its timer: the state that has seen more counts, then the silent one.
-        last = changed.groupBy("job_id").agg(F.max_by(F.struct(*(c for c in changed.columns if c != "job_id")), F.struct("n", "silent")).alias("_r")).select("job_id", "_r.*")
-        rest = store.read("jobs", FOLDED, touched).join(last.select("job_id"), "job_id", "left_anti")
-        store.commit(version, {"jobs": (touched, store.write("jobs", rest.unionByName(last), version, "job_id"))})
-    finally:
-        changed.unpersist()
+    now_us = time.time_ns() // 1000
+    due = (F.col("due_at") <= F.timestamp_micros(F.lit(now_us))) & ~F.col("silent") & ~F.coalesce(F.col("status").isin(*FINAL), F.lit(False))
+    named, late = (df.select(store.bucket("job_id")).distinct() for df in (events, store.read("jobs", FOLDED).filter(due)))
+    touched = [r[0] for r in named.union(late).distinct().collect()]
+    kept = store.read("jobs", FOLDED, touched).withColumn("_fresh", F.lit(False))
+    now = folded(kept.unionByName(states(events, now_us + int(Timedelta(patience).total_seconds() * 1_000_000))), now_us)
+    store.commit(version, {"jobs": (touched, store.write("jobs", now, version, "job_id"))})
 
 
 def start(events: DataFrame, store: BucketStore, checkpoint: str, patience: str = "1 day", **trigger):
     """Fold a stream into the store's table ``jobs``.  By default what is there is drained.
 
-    A state with timers asks for another batch without end, so a run that drains takes its timers with its batches of data.
+    A run with a processing time beats once a second beside its events, so that jobs are found silent while no events come.
     """
-    spark = events.sparkSession
-    own = CONF if trigger else CONF | {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in own}
-    for k, v in own.items():
-        spark.conf.set(k, v)
-    try:
-        return folded(events, patience).writeStream.outputMode("update").foreachBatch(lambda df, k: keep_jobs(store, df, k)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    own = events.select("job_id", "ts", "status", "progress", "error_message").withColumn("_beat", F.lit(False))
+    if "processingTime" in trigger:
+        beats = events.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+        own = own.unionByName(beats.select(F.lit(True).alias("_beat")), allowMissingColumns=True)
+    return own.writeStream.foreachBatch(lambda df, k: keep_jobs(store, df.filter("NOT _beat").drop("_beat"), k, patience)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

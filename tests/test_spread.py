@@ -1,5 +1,8 @@
 """Steps that must not gather in one task, and equal shapes that are compared once."""
 
+import time
+from datetime import datetime
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +11,8 @@ from listwright.operators import intervals, rag, search, spatial, word_index
 from listwright.plans.views import view
 from listwright.shared import fresh_folder
 from listwright.sources import html
+from listwright.streaming import jobs
+from listwright.streaming.store import BucketStore
 
 
 def test_duplicate_candidates_are_dealt(spark):
@@ -85,3 +90,29 @@ def test_postings_cross_the_exchange_as_lists(spark):
     assert sorted(r.id for r in index.matching("again words").collect()) == [str(k) for k in range(10)]
     index.update(1, "id", ["text"], own.filter("id = 7").withColumn("text", F.lit("other words")), own.filter("id IN (7, 8)"))
     assert index.matching("words").count() == 19_999 and index.matching("same").count() == 19_998 and [r.id for r in index.matching("other").collect()] == ["7"]
+
+
+EVENT = "job_id string, ts timestamp, status string, progress long, error_message string"
+
+
+def test_jobs_are_folded_without_a_call_a_job(spark):
+    at = datetime(2024, 1, 1)
+    events = spark.createDataFrame([("a", at, "Running", 2, "y"), ("a", at, "Running", None, "x"), ("a", None, "Failed", 9, "z"), (None, at, "Failed", None, "w"), (None, None, None, 1, None)], EVENT)
+    got = jobs.folded(jobs.states(events, 10), 5)
+    assert {(r.job_id, r.status, r.status_at, r.progress, r.error_message, r.finished_at, r.n, r.silent) for r in got.collect()} == {("a", "Running", at, 9, "y", None, 3, False), (None, "Failed", at, 1, "w", at, 2, False)}
+    assert "Python" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Pandas" not in plan
+
+
+def test_jobs_fall_silent_while_no_events_come(spark):
+    root = fresh_folder(spark, "tests")
+    store = BucketStore(spark, f"{root}/store", 2)
+    spark.createDataFrame([("a", datetime(2024, 1, 2), "Running", 5, None), ("b", datetime(2024, 1, 1), "Failed", None, "x")], EVENT).coalesce(1).write.parquet(f"{root}/in")
+    run = jobs.start(spark.readStream.schema(EVENT).parquet(f"{root}/in"), store, f"{root}/checkpoint", "1 second", processingTime="500 milliseconds")
+    try:
+        for _ in range(60):
+            if (own := {r.job_id: r.silent for r in store.read("jobs", jobs.FOLDED).collect()}) == {"a": True, "b": False}:
+                break
+            time.sleep(1)
+        assert own == {"a": True, "b": False} and run.isActive
+    finally:
+        run.stop()
