@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from listwright.operators import intervals, rag, search, spatial, word_index
+from listwright import shared
+from listwright.plans.registry import QUERIES
 from listwright.plans.views import view
 from listwright.shared import fresh_folder
 from listwright.sources import html
@@ -116,3 +118,12 @@ def test_jobs_fall_silent_while_no_events_come(spark):
         assert own == {"a": True, "b": False} and run.isActive
     finally:
         run.stop()
+
+
+@pytest.mark.parametrize("name", ["numbered_after"])
+def test_tasks_follow_the_table(spark, sf, name, plain_joins, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 200)
+    own = QUERIES[name](spark, sf)
+    assert own.rdd.getNumPartitions() == -(-view(spark, sf, "photos").count() // 200) > 8
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and ", 8)" not in plan and ", 8," not in plan
