@@ -177,15 +177,18 @@ def first_history(listings: DataFrame, history: DataFrame) -> DataFrame:
     return listings.filter("price IS NOT NULL").join(history.select(F.col("listing_id").alias("_h")).distinct(), F.col("id") == F.col("_h"), "left_anti").select(F.col("id").alias("listing_id"), "price", F.col("first_seen_at").alias("recorded_at"), F.lit("initial").alias("source"))
 
 
-def photo_actions(stored: DataFrame, new: DataFrame) -> DataFrame:
+def photo_actions(stored: DataFrame, new: DataFrame, tasks: int | None = None) -> DataFrame:
     """Per photo: insert, reorder, retry, reorder+retry, delete, keep.
 
     ``new``: listing_id, photos (array of addresses; the first 50 count).  Only listings in ``new`` are touched; vanished photos
-    stay once they are classified.
+    stay once they are classified.  ``tasks`` (:func:`shared.tasks_for`) is the number that the joins are dealt to, else it is the session's.
     """
-    urls = new.select("listing_id", F.posexplode(F.slice("photos", 1, MOST_PHOTOS)).alias("idx", "original_url")).groupBy("listing_id", "original_url").agg(F.max("idx").alias("idx"))
-    own = stored.join(new.select("listing_id").distinct(), "listing_id", "left_semi").withColumn("_stored", F.lit(True))
-    both = own.join(urls.withColumn("_new", F.lit(True)), ["listing_id", "original_url"], "full_outer")
+    by = lambda df, *keys: df if tasks is None else df.repartition(tasks, *keys)
+    key = ["listing_id", "original_url"]
+    urls = by(new.select("listing_id", F.posexplode(F.slice("photos", 1, MOST_PHOTOS)).alias("idx", "original_url")), *key).groupBy(*key).agg(F.max("idx").alias("idx"))
+    asked = by(new.select("listing_id"), "listing_id").distinct()
+    own = by(by(stored, "listing_id").join(asked, "listing_id", "left_semi"), *key).withColumn("_stored", F.lit(True))
+    both = own.join(urls.withColumn("_new", F.lit(True)), key, "full_outer")
     moved, retry = F.col("order_index") != F.col("idx"), F.col("stored_url").isNull()
     action = (
         F.when(F.col("_stored").isNull(), "insert").when(F.col("_new").isNull() & F.col("classified_at").isNull(), "delete").when(F.col("_new").isNull(), "keep")

@@ -120,7 +120,7 @@ def test_jobs_fall_silent_while_no_events_come(spark):
         run.stop()
 
 
-@pytest.mark.parametrize("name", ["numbered_after"])
+@pytest.mark.parametrize("name", ["photo_sync_actions", "numbered_after"])
 def test_tasks_follow_the_table(spark, sf, name, plain_joins, monkeypatch):
     monkeypatch.setattr(shared, "ROWS_A_TASK", 200)
     own = QUERIES[name](spark, sf)
