@@ -297,6 +297,32 @@ def test_substring_dedup(spark, texts, tmp_path, monkeypatch, group):
     assert got == repeats_expected(docs)
 
 
+def records_written(plan):
+    """Records of every exchange of a plan that has run."""
+    metric = plan.metrics().get("shuffleRecordsWritten")
+    own = [metric.get().value()] if metric.isDefined() else []
+    return own + [n for k in range(plan.children().size()) for n in records_written(plan.children().apply(k))]
+
+
+def test_copies_leave_before_the_exchange(spark):
+    """A text that occurs often is wanted once; its copies do not meet in one task."""
+    docs = spark.createDataFrame([(1, 2, "x" * 500)] * 300 + [(3, 4, "y" * 450), (5, 6, "z")], "u1 long, u2 long, text string").coalesce(2)
+    wanted = spark.createDataFrame([(1, 2, 112, 7, 300), (3, 4, 20, 7, 1)], "u1 long, u2 long, pos int, a long, cnt long")
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        found = substring_dedup.surroundings(docs, wanted)
+        got = sorted((r.key, r.u1, r.u2, r.pos, bytes(r.left), bytes(r.right), r.cnt) for r in found.collect())
+        counts = records_written(found._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == [(7, 1, 2, 112, b"x" * 112, b"x" * 100, 300), (7, 3, 4, 20, b"y" * 20, b"y" * 112, 1)]
+    assert counts and max(counts) < 20
+
+
 def test_collection_order():
     rng = random.Random(4)
     for _ in range(50):
