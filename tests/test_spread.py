@@ -78,6 +78,25 @@ def test_points_of_one_cell_are_dealt(spark, plain_joins):
     assert got.columns == ["id", "at", "n", "s", "e"] and got.count() == 200 and largest_share(got) < 0.5
 
 
+@pytest.mark.parametrize("cells", [0, 1000])
+def test_equal_intervals_meet_a_point_once(spark, monkeypatch, cells):
+    """Equal intervals go as lists, unfolded above the join; points that no interval's cell holds stay out where the cells are few."""
+    monkeypatch.setattr(intervals, "LIST", 3)
+    monkeypatch.setattr(intervals, "CELLS", cells)
+    at = [0, 5, 9, 10, 100, 5000, None]
+    ends = [(0, 10)] * 8 + [(5, None), (9, 9), (10, 0), (None, 5), (50, 4000), (0, 10)]
+    points = spark.createDataFrame([(i, f"k{k}", t) for i, t in enumerate(at) for k in (0, 1)], "id int, k string, t long").withColumn("t", F.timestamp_seconds("t"))
+    spans = spark.createDataFrame([(f"k{n % 2}", s, None if n == 3 else n // 4, e) for n, (s, e) in enumerate(ends)], "k string, s long, n int, e long").withColumns({c: F.timestamp_seconds(c) for c in ("s", "e")})
+    got = intervals.points_in(points, "t", spans, "s", "e", ("k",))
+    want = sorted((i, f"k{n % 2}", s, -1 if n == 3 else n // 4) for i, t in enumerate(at) for n, (s, e) in enumerate(ends) if t is not None and s is not None and s <= t and (e is None or t < e))
+    assert got.columns == ["id", "k", "t", "s", "n", "e"]
+    assert sorted(tuple(r) for r in got.select("id", "k", F.unix_seconds("s"), F.coalesce("n", F.lit(-1))).collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_rows") < plan.index("Join Inner") and ("Join LeftSemi" in plan) == (cells > 0)
+    bare = intervals.points_in(points.filter("k = 'k0'").drop("k"), "t", spans.select("s", "e"), "s", "e")
+    assert bare.columns == ["id", "t", "s", "e"] and bare.count() == len(want)
+
+
 def test_nearest_by_id_where_distances_are_equal(spark):
     items = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(900, 0, -1)], "item_id long, vector array<double>").coalesce(1)
     asked = spark.createDataFrame([(7, [0.0, 0.0])], "query_id long, vector array<double>")
