@@ -26,6 +26,32 @@ def test_duplicate_candidates_are_dealt(spark):
     assert "_salt" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+LISTED = "id string, municipality string, property_type string, price string, title string, is_active boolean"
+
+
+def test_duplicate_candidates_with_equal_words_meet_as_lists(spark, monkeypatch):
+    """Lists unfold above the join; each pair comes once, with frequent words as bits and rare ones beside."""
+    monkeypatch.setattr(rag, "LIST", 3)
+    monkeypatch.setattr(rag, "BITS", 2)
+    titles = ["dům u lesa", "Dům u vody", "les a dům", "byt", None, "", "byt 2+kk u lesa"]
+    rows = [(str(i), "T" if i % 9 else "U", "House", f"{900_000 + i * 7919 % 120_000 if i % 4 else 1_000_000}.{i % 10}0", titles[i // 2 % 7], True) for i in range(120)]
+    own = spark.createDataFrame(rows, LISTED).withColumn("price", F.col("price").cast("decimal(15,2)"))
+    words = {t: t and frozenset(t.lower().split(" ")) for t in titles}
+    words[""] = frozenset([""])
+    want = {}
+    for i, (a, town, _, p, t, _) in enumerate(rows):
+        for b, other, _, q, u, _ in rows[i + 1 :]:
+            x, y = (round(float(v) * 100) for v in (p, q))
+            if town == other and abs(x - y) * 20 <= max(x, y):
+                want[min(a, b), max(a, b)] = None if t is None or u is None else round(len(words[t] & words[u]) / len(words[t] | words[u]), 9)
+    got = rag.duplicate_candidates(own)
+    found = got.collect()
+    assert {(r.id1, r.id2): r.title_similarity if r.title_similarity is None else round(r.title_similarity, 9) for r in found} == want and len(found) == len(want) > 1000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_right") < plan.index("Generate explode(_left") < plan.index("Join Inner")
+    assert rag.duplicate_candidates(own.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", ["offer_pages", "ad_pages", "pushed_pages", "feed_items"])
 def test_page_views_are_dealt(spark, sf, name):
     assert view(spark, sf, name).rdd.getNumPartitions() > view(spark, sf, "part").rdd.getNumPartitions()
