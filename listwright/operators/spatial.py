@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, krovak, outline
@@ -11,6 +11,8 @@ from ..shared import dealt
 from .search import all_of
 
 MAP_POINTS = 2000
+#: Rows of one place, or areas of one class, that are tested together.
+LIST = 256
 MAP_COLUMNS = ["id", "title", "price", "latitude", "longitude", "property_type", "offer_type", "location_text", "source_code"]
 
 
@@ -49,26 +51,50 @@ def classes(df: DataFrame, key: str, name: str, *shape: str) -> tuple[DataFrame,
 
 
 def areas_join(listings: DataFrame, areas: DataFrame, cell: float = 0.05) -> DataFrame:
-    """listing rows x (area_id): points in polygons ``areas`` (area_id, wkt).
+    """listing rows x (area_id): points in polygons ``areas`` (area_id, wkt); the listings' columns all travel."""
+    return _members_in(listings, *classes(areas, "area_id", "_area", "wkt"), cell)
 
-    Places and shapes are compared once each, however many rows share them: both sides meet on grid cells (an equi
-    join); only then the exact test runs.  What meets is handed to the rows.
+
+def outlines_join(listings: DataFrame, routes: DataFrame, cell: float = 0.05) -> DataFrame:
+    """listing rows x (area_id): points in the dissolved outlines of ``routes`` (area_id, wkt, radius).
+
+    The routes form classes before they are outlined, so the outlines' long texts stay with few rows.
     """
-    members, own = classes(areas, "area_id", "_area", "wkt")
-    points = listings.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
-    met = _places_in(points.select("latitude", "longitude").distinct(), own.withColumnRenamed("_area", "area_id"), cell).distinct()
-    found = met.withColumnRenamed("area_id", "_area").join(members, "_area").select(F.col("latitude").alias("_y"), F.col("longitude").alias("_x"), "area_id")
-    both = dealt(points.withColumns({"_y": F.col("latitude"), "_x": F.col("longitude")}), "_y", "_x").join(dealt(found, "_y", "_x"), ["_y", "_x"])
-    return both.select(*listings.columns, "area_id")
+    members, lines = classes(routes, "area_id", "_area", "wkt", "radius")
+    shapes = corridor_shapes(lines.withColumnRenamed("_area", "area_id")).select(F.col("area_id").alias("_area"), F.col("polygon_wkt").alias("wkt"))
+    return _members_in(listings, members, shapes, cell)
 
 
-def _places_in(listings: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
-    shapes = areas.select("area_id", geo.rings_of_wkt(F.col("wkt")).alias("_rings"))
+def _members_in(listings: DataFrame, members: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
+    """Listing rows x (area_id) of ``members`` (area_id, _area) whose ``shapes`` (_area, wkt) hold them.
+
+    Places and shapes are compared as lists of LIST rows that share them: both sides meet on grid cells (an equi
+    join), the exact test runs there, and what meets unfolds in place.  Only the lists are exchanged, never pairs.
+    """
+    points = listings.filter("latitude IS NOT NULL AND longitude IS NOT NULL").withColumns({"_cx": F.floor(F.col("longitude") / cell), "_cy": F.floor(F.col("latitude") / cell)})
+    at = ["_cx", "_cy", "latitude", "longitude"]
+    place = F.row_number().over(Window.partitionBy(*at).orderBy("id"))
+    rows = dealt(points, "_cx", "_cy").withColumn("_list", F.floor((place - 1) / LIST)).groupBy(*at, "_list").agg(F.collect_list(F.struct(*listings.columns)).alias("_rows"))
+    tiles = _tiles(shapes.filter("wkt IS NOT NULL"), "_area", cell).groupBy("_area", "_cx", "_cy").agg(F.collect_list("_sides").alias("_shapes"))
+    nth = F.row_number().over(Window.partitionBy("_area").orderBy("area_id"))
+    lists = members.withColumn("_list", F.floor((nth - 1) / LIST)).groupBy("_area", "_list").agg(F.collect_list("area_id").alias("_areas")).drop("_list")
+    held = F.exists("_shapes", lambda s: geo.in_sides(F.col("longitude"), F.col("latitude"), s))
+    met = rows.join(dealt(tiles.join(lists, "_area"), "_cx", "_cy"), ["_cx", "_cy"]).filter(held)
+    return met.select("_rows", F.explode("_areas").alias("area_id")).select(F.inline("_rows"), "area_id")
+
+
+def _tiles(areas: DataFrame, key: str, cell: float) -> DataFrame:
+    """(key, _sides, _cx, _cy): the grid cells that the box of each of ``areas`` (key, wkt) meets."""
+    rings = areas.select(key, geo.rings_of_wkt(F.col("wkt")).alias("_rings"))
     ends = F.flatten("_rings")
     lons, lats = F.transform(ends, lambda p: p["lon"]), F.transform(ends, lambda p: p["lat"])
-    tiles = shapes.select("area_id", "_rings", F.explode(_cells(F.array_min(lons), F.array_max(lons), cell)).alias("_cx"), _cells(F.array_min(lats), F.array_max(lats), cell).alias("_cys")).select("area_id", "_rings", "_cx", F.explode("_cys").alias("_cy"))
+    boxes = rings.select(key, geo.sides_of_rings(F.col("_rings")).alias("_sides"), _cells(F.array_min(lons), F.array_max(lons), cell).alias("_cxs"), _cells(F.array_min(lats), F.array_max(lats), cell).alias("_cys"))
+    return boxes.select(key, "_sides", F.explode("_cxs").alias("_cx"), "_cys").select(key, "_sides", "_cx", F.explode("_cys").alias("_cy"))
+
+
+def _places_in(listings: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
     points = listings.filter("latitude IS NOT NULL AND longitude IS NOT NULL").withColumns({"_cx": F.floor(F.col("longitude") / cell), "_cy": F.floor(F.col("latitude") / cell)})
-    return dealt(points, "_cx", "_cy").join(dealt(tiles, "_cx", "_cy"), ["_cx", "_cy"]).filter(geo.in_polygon(F.col("longitude"), F.col("latitude"), F.col("_rings"))).drop("_cx", "_cy", "_rings")
+    return dealt(points, "_cx", "_cy").join(dealt(_tiles(areas, "area_id", cell), "_cx", "_cy"), ["_cx", "_cy"]).filter(geo.in_sides(F.col("longitude"), F.col("latitude"), F.col("_sides"))).drop("_cx", "_cy", "_sides")
 
 
 def segments(routes: DataFrame) -> DataFrame:
@@ -105,7 +131,8 @@ def buffer_wkt(points: Column, radius: Column) -> Column:
     def run(lines: pd.Series, radii: pd.Series) -> pd.Series:
         return pd.Series([outlined(p, r) for p, r in zip(lines, radii, strict=True)], dtype=object)
 
-    return F.pandas_udf(run, "string")(points, radius)
+    # As a fixed function it would be called by filters too, on all rows, below the step that makes them distinct.
+    return F.pandas_udf(run, "string").asNondeterministic()(points, radius)
 
 
 def outlined(points, radius) -> str | None:

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from listwright.functions import geo
 from listwright.operators import intervals, rag, search, spatial, word_index
 from listwright import shared
 from listwright.plans.registry import QUERIES
@@ -75,6 +76,32 @@ def test_equal_shapes_form_a_class(spark):
     assert sorted(map(tuple, spatial.municipalities_in_areas(towns, areas, 0.5).collect())) == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")]
 
 
+def test_outlines_are_made_once_and_pairs_unfold_where_they_meet(spark, sf, plain_joins):
+    """One call of the outline for each distinct route, none below the step that makes them distinct; no exchange above the cell join."""
+    plan = QUERIES["corridor_outline_members"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Aggregate" in plan.split("ArrowEvalPython")[1]
+    top = plan[: plan.index("Join Inner")]
+    assert "Generate explode(_areas" in top and "Generate inline(_rows" in top and "Repartition" not in top and "Aggregate" not in top
+
+
+def test_places_and_areas_meet_as_lists(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "LIST", 2)
+    left, right = "POLYGON((0 0, 1 0, 1 1, 0 1, 0 0))", "MULTIPOLYGON(((3 0, 4 0, 4 1, 3 1, 3 0)), ((0.2 0.2, 0.8 0.2, 0.8 0.8, 0.2 0.8)))"
+    areas = spark.createDataFrame([(f"a{i}", w) for i in range(5) for w in (left, right, right)] + [("only", left), ("none", None)], "area_id string, wkt string")
+    points = spark.createDataFrame([(f"p{i}", 0.5, 0.5) for i in range(5)] + [("edge", 0.5, 1.0), ("far", 0.5, 3.5), ("out", 5.0, 5.0), ("null", None, 0.5)], "id string, latitude double, longitude double")
+    got = spatial.areas_join(points, areas, 0.5)
+    assert got.columns == ["id", "latitude", "longitude", "area_id"]
+    every = [f"a{i}" for i in range(5)]
+    assert sorted((r.id, r.area_id) for r in got.collect()) == sorted([(f"p{i}", a) for i in range(5) for a in (*every, "only")] + [("edge", a) for a in (*every, "only")] + [("far", a) for a in every])
+
+
+def test_sides_agree_with_polygons(spark):
+    shapes = ["POLYGON((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 2))", "MULTIPOLYGON(((0 0, 2 3, 4 0, 2 1)), ((2 3, 4 4, 3 2, 2 3)))", "POLYGON((1 1, 1 1, 3 1, 3 1))", "POLYGON EMPTY", None]
+    grid = spark.range(0, 441).selectExpr("(id % 21) / 4D - 0.5 AS lon", "(id div 21) / 4D - 0.5 AS lat").crossJoin(spark.createDataFrame([(w,) for w in shapes], "wkt string")).withColumn("r", geo.rings_of_wkt(F.col("wkt")))
+    both = grid.select(geo.in_polygon(F.col("lon"), F.col("lat"), F.col("r")).alias("a"), geo.in_sides(F.col("lon"), F.col("lat"), geo.sides_of_rings(F.col("r"))).alias("b"))
+    assert both.filter("NOT a <=> b").count() == 0 and both.filter("a").count() > 200
+
+
 def largest_share(df):
     """The largest part of the rows that one task of the last stage gives out."""
     n = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
